@@ -89,13 +89,14 @@ def longest_name(persons: Column, person_id: Column) -> Column:
     )
 
 
-def person_index(entries: DataFrame, keys: list[str], name: str, position: str) -> DataFrame:
-    """The same rule over a flat table: longest name per `keys`, the first among equally long.
+def person_index(entries: DataFrame, keys: list[str], name: str, order: list[str]) -> DataFrame:
+    """The same rule over a flat table: longest name per `keys`, the first by `order` among equally long.
 
     One aggregation, combined map-side, so a person repeated in a third of all rows costs
-    no more than any other.
+    no more than any other. `order` are numeric columns.
     """
-    best = F.max(F.struct(F.length(name).alias("size"), (-F.col(position)).alias("first"), F.col(name).alias("name")))
+    earliest = [(-F.col(c)).alias(c) for c in order]
+    best = F.max(F.struct(F.length(name).alias("size"), *earliest, F.col(name).alias("name")))
     return entries.groupBy(*keys).agg(best.alias("best")).select(*keys, F.col("best.name").alias(name))
 
 

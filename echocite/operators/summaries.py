@@ -26,9 +26,8 @@ def usable_works(works: DataFrame) -> DataFrame:
 
 def unavailable(requests: DataFrame, works: DataFrame) -> DataFrame:
     """Requests whose `work_id` is not found or has no authors, repeats included."""
-    return requests.join(usable_works(works).select("work_id"), "work_id", "left_anti").withColumn(
-        "error", F.lit(UNAVAILABLE)
-    )
+    usable = usable_works(works).select("work_id")
+    return join_records(requests, [(usable, "work_id", "left_anti")]).withColumn("error", F.lit(UNAVAILABLE))
 
 
 def _count_where(condition: Column) -> Column:
@@ -65,9 +64,10 @@ def per_article(works: DataFrame, counts: DataFrame) -> DataFrame:
 
 def answer_requests(requests: DataFrame, summary: DataFrame) -> DataFrame:
     """One row per request, repeated ids included; an error where the id is not usable."""
-    joined = requests.join(summary, requests["work_id"] == summary["main_id"], "left")
-    error = F.when(summary["main_id"].isNull(), UNAVAILABLE)
-    return joined.drop("main_id").withColumnRenamed("work_id", "main_id").withColumn("error", error)
+    answers = summary.withColumnRenamed("main_id", "work_id").withColumn("_found", F.lit(True))
+    joined = join_records(requests, [(answers, "work_id", "left")])
+    error = F.when(F.col("_found").isNull(), UNAVAILABLE)
+    return joined.withColumn("error", error).withColumnRenamed("work_id", "main_id").drop("_found")
 
 
 def run_totals(requests: DataFrame, staging: DataFrame) -> DataFrame:

@@ -118,4 +118,4 @@ def judge_edges(
 def requested_edges(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """Edges of requested mains, each once however often it is requested."""
     wanted = requests.select(F.col("work_id").alias("main_id")).distinct()
-    return edges.join(wanted, "main_id", "left_semi")
+    return join_records(edges, [(wanted, "main_id", "left_semi")])
