@@ -25,7 +25,7 @@ def first_text(values: Column) -> Column:
 
 def last_text(values: Column) -> Column:
     """Text of the last of several children, '' when there is none."""
-    return text_of(F.get(values, F.size(values) - 1))
+    return text_of(F.try_element_at(values, F.lit(-1)))
 
 
 def citing_id(identifier: Column) -> Column:
@@ -115,12 +115,6 @@ def drop_repeated_authors(df: DataFrame, column: str = "authors") -> DataFrame:
     return df.withColumn("_keys", keys).withColumn(column, first).drop("_keys")
 
 
-def _last_nonempty(persons: Column, field: str) -> Column:
-    """A field of the last person of a bond that has it as an element at all."""
-    having = F.filter(persons, lambda p: F.size(p[field]) > 0)
-    return last_text(F.get(having, F.size(having) - 1)[field])
-
-
 def with_authors(df: DataFrame, biblio: Column, depth: int = 2) -> DataFrame:
     """Add the `authors` of each record.
 
@@ -131,19 +125,24 @@ def with_authors(df: DataFrame, biblio: Column, depth: int = 2) -> DataFrame:
     bonds = F.filter(F.coalesce(biblio["cross_biblio_person"], F.array()), lambda b: b["_role"].isin(AUTHOR_ROLES))
 
     def stated(bond: Column) -> Column:
-        people = F.coalesce(bond["rec_person"], F.array())
-        parts = (_last_nonempty(people, field) for field in ("lastname", "firstname", "labelname"))
-        person_id = text_of(F.get(people, F.size(people) - 1)["_id"])
-        return F.struct(full_name(*parts).alias("name"), person_id.alias("id"))
+        people = bond["rec_person"]
+        last, first, label = (
+            last_text(_flat(F.transform(people, lambda p: p[field]))) for field in ("lastname", "firstname", "labelname")
+        )
+        person_id = text_of(F.try_element_at(people, F.lit(-1))["_id"])
+        return F.struct(full_name(last, first, label).alias("name"), person_id.alias("id"))
 
     def looked_up(author: Column) -> Column:
         name = F.when(author["name"] != "", author["name"]).otherwise(longest_name(F.col("_persons"), author["id"]))
         return F.struct(name.alias("name"), author["id"].alias("id"))
 
-    # `_persons` stays a column: only records with an unnamed author search it.
-    unnamed = F.exists("_stated", lambda a: (a["name"] == "") & (a["id"] != "")) & (F.size("_persons") > 0)
-    staged = df.withColumn("_stated", F.transform(bonds, stated)).withColumn("_persons", record_persons(biblio, depth))
-    named = F.when(unnamed, F.transform("_stated", looked_up)).otherwise(F.col("_stated"))
+    # The record's persons are collected only where an identified author lacks a name; as a
+    # column of their own, they are collected once for all authors of the record.
+    unnamed = F.exists("_stated", lambda a: (a["name"] == "") & (a["id"] != ""))
+    staged = df.withColumn("_stated", F.transform(bonds, stated)).withColumn(
+        "_persons", F.when(unnamed, record_persons(biblio, depth))
+    )
+    named = F.when(F.size("_persons") > 0, F.transform("_stated", looked_up)).otherwise(F.col("_stated"))
     listed = staged.withColumn("authors", F.filter(named, lambda a: a["name"] != ""))
     return drop_repeated_authors(listed.drop("_stated", "_persons"))
 

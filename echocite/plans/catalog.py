@@ -18,7 +18,7 @@ from echocite.operators.errata import cheap_erratum, guarded_erratum, library_er
 from echocite.operators.shaping import citing_id, person_index, shape_citations, shape_works, since
 from echocite.operators.skew import join_records
 from echocite.plans import dataset, detect, experiments
-from echocite.session import scratch_path
+from echocite.session import scratch_path, spread_scan
 from echocite.sources import harvest, labelled, pagegraph, runlog, sinks
 from echocite.sources.pagegraph import table
 from echocite.sources.requests import request_ids
@@ -595,9 +595,10 @@ def _citation_strings(spark, sf_dir) -> DataFrame:
         F.when(F.col("l_tax") > 0.05, " [cit.] #").otherwise(", neuvedené"),
         extra,
     )
-    return table(spark, sf_dir, "lineitem").select(
+    rows = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("inputString")
     )
+    return spread_scan(rows)
 
 
 @query

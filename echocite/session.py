@@ -68,3 +68,13 @@ def fits_broadcast(df: DataFrame) -> bool:
         return False
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(size)) <= limit
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Deal out the rows of a scan with fewer splits than the session has cores.
+
+    For costly work per row on a table in few files. A large table has more splits than
+    that and is left as it is. `df` must be a scan, perhaps projected or filtered.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

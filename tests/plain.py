@@ -1,0 +1,65 @@
+"""Slow, obvious versions of the measures, for comparison."""
+
+import unicodedata
+from functools import lru_cache
+
+
+def plain_name(name):
+    decomposed = unicodedata.normalize("NFKD", name)
+    return "".join(c for c in decomposed if not unicodedata.combining(c)).lower().strip()
+
+
+def osa(a, b):
+    @lru_cache(None)
+    def cost(i, j):
+        if i == 0 or j == 0:
+            return i + j
+        options = [cost(i - 1, j) + 1, cost(i, j - 1) + 1, cost(i - 1, j - 1) + (a[i - 1] != b[j - 1])]
+        if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+            options.append(cost(i - 2, j - 2) + 1)
+        return min(options)
+
+    return cost(len(a), len(b))
+
+
+def dl(a, b):
+    return 1.0 if a == b else 1.0 - osa(a, b) / max(len(a), len(b))
+
+
+def jaro(a, b):
+    if a == b:
+        return 1.0
+    reach = max(len(a), len(b)) // 2 - 1
+    used, pairs = set(), []
+    for i, ch in enumerate(a):
+        near = [j for j in range(max(0, i - reach), min(len(b), i + reach + 1)) if j not in used and b[j] == ch]
+        if near:
+            used.add(near[0])
+            pairs.append(i)
+    m = len(pairs)
+    if not m:
+        return 0.0
+    t = sum(a[i] != b[j] for i, j in zip(pairs, sorted(used)))
+    return (m / len(a) + m / len(b) + (m - t / 2) / m) / 3
+
+
+def jaro_winkler(a, b):
+    j, prefix = jaro(a, b), 0
+    while prefix < min(4, len(a), len(b)) and a[prefix] == b[prefix]:
+        prefix += 1
+    return j + prefix * 0.1 * (1 - j)
+
+
+def author_scores(mains, citings, method):
+    """(best score, [(m, c, score)]) of two lists of (name, id)."""
+    best, pairs = 0.0, []
+    for m, (name_m, id_m) in enumerate(mains):
+        for c, (name_c, id_c) in enumerate(citings):
+            if id_m and id_c:
+                score = float(id_m == id_c)
+            else:
+                score = method(plain_name(name_m), plain_name(name_c))
+            best = max(best, score)
+            if score >= 0.65:
+                pairs.append((m, c, score))
+    return best, pairs

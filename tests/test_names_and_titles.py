@@ -1,0 +1,158 @@
+import pytest
+from pyspark.sql import functions as F
+
+from echocite.functions import editing
+from echocite.functions.names import normalize_name, plain_name
+from echocite.functions.numbers import round4, safe_ratio
+from echocite.functions.titles import has_errata_keyword, normalize_title
+from echocite.functions.vectors import cosine, title_similarity
+from echocite.operators.errata import cheap_erratum, guarded_erratum, library_erratum, scored_erratum, with_title_forms
+
+# a, b, distance, similarity, Jaro, Jaro-Winkler of the normalised names
+NAME_PAIRS = [
+    ("Novák Ján", "Novak Jan", 0, 1.0, 1.0, 1.0),
+    ("Novák", "Nvoák", 1, 0.8, 0.9333333333, 0.94),
+    ("ca", "abc", 3, 0.0, 0.0, 0.0),
+    ("Kováč Peter", "Kováčová Petra", 5, 0.6428571428571428, 0.8744588745, 0.9246753247),
+    ("Smith John", "Smyth Jon", 2, 0.8, 0.8962962963, 0.9170370370),
+    ("Łukasz A", "Lukasz A", 1, 0.875, 0.9166666667, 0.9166666667),
+    ("ﬁala", "fiala", 0, 1.0, 1.0, 1.0),
+    ("", "", 0, 1.0, 1.0, 1.0),
+    ("", "abc", 3, 0.0, 0.0, 0.0),
+    ("a", "b", 1, 0.0, 0.0, 0.0),
+    ("abxyz", "abqrs", 3, 0.4, 0.6, 0.68),
+    ("abcdef", "bcadef", 2, 0.6666666666666667, 0.9166666667, 0.9166666667),
+    ("Husár D", "Husár Damián", 5, 0.5833333333333333, 0.8611111111, 0.9166666667),
+    ("Novák Ján", "Ján Novák", 8, 0.11111111111111116, 0.5462962963, 0.5462962963),
+]
+
+
+def test_golden_name_pairs(spark):
+    rows = [(k, a, b) for k, (a, b, *_) in enumerate(NAME_PAIRS)]
+    plain = spark.createDataFrame(rows, "k int, a string, b string").select(
+        "k", normalize_name(F.col("a")).alias("a"), normalize_name(F.col("b")).alias("b")
+    )
+    a, b = F.col("a"), F.col("b")
+    found = plain.select(
+        "k",
+        editing.osa_distance(a, b).alias("distance"),
+        editing.dl_similarity(a, b).alias("dl"),
+        editing.jaro_similarity(a, b).alias("jaro"),
+        editing.jaro_winkler_similarity(a, b).alias("jw"),
+    ).orderBy("k")
+    for row, (_, _, distance, dl, jaro, jw) in zip(found.collect(), NAME_PAIRS, strict=True):
+        assert row.distance == distance
+        assert row.dl == dl
+        assert row.jaro == pytest.approx(jaro, abs=1e-9)
+        assert row.jw == pytest.approx(jw, abs=1e-9)
+
+
+def test_measures_on_raw_names_normalise_them(spark):
+    df = spark.createDataFrame([("Novák", "NOVAK"), (None, "x"), ("x", None)], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    rows = df.select(editing.name_dl(a, b).alias("dl"), editing.name_jaro_winkler(a, b).alias("jw")).collect()
+    assert [tuple(r) for r in rows] == [(1.0, 1.0), (None, None), (None, None)]
+
+
+def test_names_keep_marks_of_class_zero_and_undecomposed_letters():
+    assert plain_name("Łøß") == "łøß"
+    assert plain_name(" Žižka ") == "zizka"
+    assert plain_name("कः") == "कः"  # a spacing mark: category Mc, class 0
+    assert plain_name("①") == "1"
+    assert plain_name(None) == ""
+
+
+def test_null_names_stay_null(spark):
+    df = spark.createDataFrame([(None,), ("É",)], "n string")
+    assert [r[0] for r in df.select(normalize_name(F.col("n"))).collect()] == [None, "e"]
+
+
+def test_title_normalisation(spark):
+    cases = [
+        ("  A –  B ", "a - b"),
+        ("x‐y—z", "x-y-z"),
+        ("x‑y−z", "x‑y−z"),
+        ("a  b\x1cc\td\n", "a b c d"),
+        (None, ""),
+        ("", ""),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "k int, t string")
+    found = [r.n for r in df.select("k", normalize_title(F.col("t")).alias("n")).orderBy("k").collect()]
+    assert found == [n for _, n in cases]
+
+
+def test_keyword_is_a_whole_token(spark):
+    titles = ["correction to x", "error correction codes", "erratum: x", "oprava", "corrections", ""]
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert [r[0] for r in df.select(has_errata_keyword(F.col("t"))).collect()] == [True, True, False, True, False, False]
+
+
+# citing, main, then guarded, library, cheap without any model evidence
+TITLE_PAIRS = [
+    ("Correction to X", "Y", True, True, True),
+    ("Error correction codes", "Y", True, True, True),
+    ("Erratum: X", "X", False, False, False),
+    ("A – B", "a  -  b", True, True, True),
+    ("", "", False, True, False),
+    ("Corrigendum", "", False, True, True),
+    (None, "x", False, False, False),
+]
+
+
+def _title_pairs(spark):
+    rows = [(k, c, m) for k, (c, m, *_) in enumerate(TITLE_PAIRS)]
+    df = spark.createDataFrame(rows, "k int, citing string, main string")
+    citing = with_title_forms(df, "citing").withColumnsRenamed({"title_norm": "c", "title_keyword": "kw"})
+    return with_title_forms(citing, "main").withColumnRenamed("title_norm", "m")
+
+
+def test_erratum_tests_without_model(spark):
+    norms = (F.col("kw"), F.col("c"), F.col("m"))
+    none = F.lit(None).cast("double")
+    rows = (
+        _title_pairs(spark)
+        .select(
+            "k",
+            guarded_erratum(F.col("citing"), F.col("main"), *norms).alias("cheap_guarded"),
+            guarded_erratum(F.col("citing"), F.col("main"), *norms, none).alias("guarded"),
+            library_erratum(*norms, none).alias("library"),
+            cheap_erratum(*norms).alias("cheap"),
+            scored_erratum(*norms, F.lit(0.95)).alias("scored"),
+        )
+        .orderBy("k")
+        .collect()
+    )
+    for row, (citing, main, guarded, library, cheap) in zip(rows, TITLE_PAIRS, strict=True):
+        assert (row.guarded, row.library, row.cheap) == (guarded, library, cheap)
+        assert row.cheap_guarded == guarded
+        assert row.scored.pred
+        assert row.scored.score == (1.0 if library else 0.95)
+
+
+def test_model_decides_only_what_is_left(spark):
+    norms = (F.col("kw"), F.col("c"), F.col("m"))
+    verdicts = _title_pairs(spark).select(
+        "k", guarded_erratum(F.col("citing"), F.col("main"), *norms, F.lit(0.90)).alias("v")
+    )
+    assert [r.v for r in verdicts.orderBy("k").collect()] == [True, True, True, True, False, False, False]
+
+
+def test_cosine_and_title_similarity(spark):
+    rows = [("a", "b", [1.0, 0.0], [1.0, 1.0]), ("A ", "a", [1.0, 0.0], [0.0, 1.0]), ("", "b", [1.0], [1.0]), ("a", "b", None, [1.0])]
+    df = spark.createDataFrame(rows, "t string, u string, v array<float>, w array<float>")
+    cos = cosine(F.col("v"), F.col("w"))
+    found = [r[0] for r in df.select(title_similarity(F.col("t"), F.col("u"), cos)).collect()]
+    assert found == [pytest.approx(0.5**0.5), 1.0, 0.0, 0.0]
+
+
+def test_rounding_is_half_even_on_the_binary_value(spark):
+    values = [0.90625, 0.00005, 0.12345, 2.67505, None]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    found = [r[0] for r in df.select(round4(F.col("v"))).collect()]
+    assert found == [None if v is None else round(v, 4) for v in values]
+    assert found[0] == 0.9062
+
+
+def test_safe_ratio(spark):
+    row = spark.range(1).select(safe_ratio(F.lit(1), F.lit(0)).alias("z"), safe_ratio(F.lit(1), F.lit(4)).alias("q"))
+    assert tuple(row.first()) == (0.0, 0.25)
