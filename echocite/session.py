@@ -60,10 +60,7 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 def fits_broadcast(df: DataFrame) -> bool:
     """True where Spark's own estimate of `df` is within its broadcast threshold."""
-    spark = df.sparkSession
-    limit = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
-    )
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     if limit <= 0:
         return False
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()

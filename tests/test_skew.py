@@ -1,0 +1,74 @@
+import pytest
+from pyspark.sql import functions as F
+
+from echocite.operators.skew import copy_per_salt, hot_keys, join_records
+from echocite.operators.summaries import in_parts
+from echocite.session import fits_broadcast
+from tests.test_oracles import rows
+
+
+@pytest.fixture(scope="module")
+def facts(spark):
+    """A third of all rows have key 'hot'; some keys have no record."""
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), (F.col("id") % 50).cast("string")))
+    return spark.range(6000).select(key.alias("key"), F.col("id"))
+
+
+@pytest.fixture(scope="module")
+def records(spark):
+    names = [("hot", ["a", "b"])] + [(f"k{n}", [str(n)]) for n in range(40)] + [("unused", [])]
+    return spark.createDataFrame(names, "key string, tags array<string>")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_gives_the_plain_result(facts, records, how):
+    plain = facts.join(records, "key", how)
+    salted = join_records(facts, [(records, "key", how)], rows_per_salt=100, salted=True)
+    assert salted.columns == plain.columns
+    assert rows(salted) == rows(plain)
+
+
+def test_two_joins_in_one_call(facts, records):
+    other = records.select(F.col("key").alias("id2"), F.col("tags").alias("tags2"))
+    wide = facts.withColumn("id2", F.when(F.col("id") % 2 == 0, "hot").otherwise("k1"))
+    plain = wide.join(records, "key", "inner").join(other, "id2", "left")
+    salted = join_records(wide, [(records, "key", "inner"), (other, "id2", "left")], rows_per_salt=50, salted=True)
+    assert rows(salted.select(sorted(salted.columns))) == rows(plain.select(sorted(plain.columns)))
+
+
+def test_hot_key_is_spread_and_others_are_not(spark, facts, records):
+    hot = hot_keys(facts, "key", 100)
+    salts = {r.key: r.salts for r in hot.collect()}
+    assert salts == {"hot": 20}
+    copies = copy_per_salt(records, hot, "key", "salt").groupBy("key").count()
+    assert {r.key: r["count"] for r in copies.collect() if r["count"] > 1} == {"hot": 20}
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not fits_broadcast(records)
+        plan = join_records(facts, [(records, "key", "inner")], rows_per_salt=100)
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert "_salt0" in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_number_of_salted_keys_is_bounded(spark):
+    many = spark.range(5000).select((F.col("id") % 1000).cast("string").alias("key"))
+    assert hot_keys(many, "key", 1, limit=7).count() == 7
+
+
+def test_parts_hold_every_row_once(facts):
+    counts = facts.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
+    nested = in_parts(facts, "key", counts, ["id"], rows_per_part=100)
+    sizes = nested.select("key", "parts", F.size("entries").alias("n")).collect()
+    assert {r.parts for r in sizes if r.key == "hot"} == {20}
+    assert max(r.n for r in sizes) < 200
+    flat = nested.select("key", F.explode("entries.id").alias("id"))
+    assert rows(flat) == rows(facts)
+
+
+def test_null_keys_match_nothing(spark, records):
+    facts = spark.createDataFrame([(None, 1), ("hot", 2)], "key string, id bigint")
+    joined = join_records(facts, [(records, "key", "left")], rows_per_salt=1, salted=True)
+    assert sorted((r.id, r.tags) for r in joined.collect()) == [(1, None), (2, ["a", "b"])]
