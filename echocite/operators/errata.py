@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echocite.functions.titles import has_errata_keyword, normalize_title
-from echocite.functions.vectors import cosine, title_similarity
 
 TITLE_THRESHOLD = 0.90  # fixed value: cosine from which titles count as the same
 
@@ -27,11 +26,10 @@ def cheap_erratum(keyword: Column, citing_norm: Column, main_norm: Column) -> Co
 
 
 def library_erratum(
-    keyword: Column, citing_norm: Column, main_norm: Column, cos: Column, threshold: float = TITLE_THRESHOLD
+    keyword: Column, citing_norm: Column, main_norm: Column, similarity: Column, threshold: float = TITLE_THRESHOLD
 ) -> Column:
-    """Keyword, or equal, or cosine at least the threshold."""
-    similar = title_similarity(citing_norm, main_norm, cos) >= threshold
-    return keyword | (citing_norm == main_norm) | similar
+    """Keyword, or equal, or similarity (of `title_similarity`) at least the threshold."""
+    return keyword | (citing_norm == main_norm) | (similarity >= threshold)
 
 
 def guarded_erratum(
@@ -40,17 +38,17 @@ def guarded_erratum(
     keyword: Column,
     citing_norm: Column,
     main_norm: Column,
-    cos: Column | None = None,
+    similarity: Column | None = None,
     threshold: float = TITLE_THRESHOLD,
 ) -> Column:
     """The production test: never an erratum when either raw title is empty.
 
-    Without vectors (`cos` is None) the two cheap tests alone decide.
+    Without `similarity` the two cheap tests alone decide.
     """
     both = (F.coalesce(citing_title, F.lit("")) != "") & (F.coalesce(main_title, F.lit("")) != "")
-    if cos is None:
+    if similarity is None:
         return both & (keyword | (citing_norm == main_norm))
-    return both & library_erratum(keyword, citing_norm, main_norm, cos, threshold)
+    return both & library_erratum(keyword, citing_norm, main_norm, similarity, threshold)
 
 
 def scored_erratum(
@@ -62,7 +60,3 @@ def scored_erratum(
     return F.struct(
         (sure | (value >= threshold)).alias("pred"), F.when(sure, 1.0).otherwise(value).alias("score")
     )
-
-
-def pair_cosine(main_vector: str, citing_vector: str) -> Column:
-    return cosine(F.col(citing_vector), F.col(main_vector))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from echocite.session import fits_broadcast
+from echocite.session import fits_broadcast, settle
 
 HOT_KEYS = 1000  # at most this many keys are salted, so their list may be broadcast
 ROWS_PER_SALT = 500_000  # fact rows of one key that one task should see
@@ -38,34 +38,34 @@ def join_records(
 ) -> DataFrame:
     """Join `facts` with each (records, key, how) in turn; every key is a column of both.
 
-    Records that Spark estimates within its broadcast threshold are broadcast, so no fact
-    row moves. Larger ones are joined on (key, salt). All salts are set before the first
-    join, so counting the keys never repeats a join. `salted` overrides the size check:
-    True always salts, False leaves the choice of join to Spark.
+    `how` is inner, left, left_semi or left_anti. Records that Spark estimates within its
+    broadcast threshold are broadcast, so no fact row moves. For larger ones the hot keys
+    of `facts` are counted first; with none it is Spark's own join, otherwise the join is
+    on (key, salt). All keys are counted before the first join, so no join is repeated for
+    it. `salted` overrides the size check: True always looks for hot keys, False never.
     """
+    others = {key: [F.col(c) for c in facts.columns if c != key and not _nested(facts, c)] for _, key, _ in records}
     plans = []
-    salted_facts = facts
+    spread = facts
     for position, (table, key, how) in enumerate(records):
-        use_salt = (not fits_broadcast(table)) if salted is None else salted
+        if how not in ("inner", "left", "left_semi", "left_anti"):
+            raise ValueError(f"a {how} join would repeat salted records")
+        if salted is None and fits_broadcast(table):
+            plans.append((F.broadcast(table), [key], how))
+            continue
+        # Written once: both sides must see the same salts, whatever is computed again.
+        hot = settle(hot_keys(facts, key, rows_per_salt), "hot-keys") if salted is not False else None
+        if hot is None or hot.isEmpty():
+            plans.append((table, [key], how))
+            continue
         salt = f"_salt{position}"
-        if use_salt:
-            hot = hot_keys(facts, key, rows_per_salt)
-            others = [F.col(c) for c in facts.columns if c != key and not _nested(facts, c)]
-            numbered = F.coalesce(
-                F.pmod(F.xxhash64(*(others or [F.monotonically_increasing_id()])), F.col("salts")).cast("int"),
-                F.lit(0),
-            )
-            salted_facts = (
-                salted_facts.join(F.broadcast(hot), key, "left").withColumn(salt, numbered).drop("salts")
-            )
-            plans.append((copy_per_salt(table, hot, key, salt), [key, salt], how))
-        else:
-            plans.append((F.broadcast(table) if salted is None else table, [key], how))
-    result = salted_facts
+        number = F.pmod(F.xxhash64(*(others[key] or [F.monotonically_increasing_id()])), F.col("salts"))
+        joined = spread.join(F.broadcast(hot), key, "left")
+        spread = joined.withColumn(salt, F.coalesce(number.cast("int"), F.lit(0))).drop("salts")
+        plans.append((copy_per_salt(table, hot, key, salt), [key, salt], how))
     for table, keys, how in plans:
-        result = result.join(table, keys, how)
-        result = result.drop(*[k for k in keys if k.startswith("_salt")])
-    return result
+        spread = spread.join(table, keys, how).drop(*keys[1:])
+    return spread
 
 
 def _nested(df: DataFrame, name: str) -> bool:

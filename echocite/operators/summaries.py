@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from echocite.operators.skew import join_records
 from echocite.operators.status import AUTOCITATION, ERRATUM
+from echocite.session import settle
 
 # Fixed value: the message for an article that cannot be processed.
 UNAVAILABLE = "Záznam nenájdený alebo bez autorov"
@@ -80,18 +81,18 @@ def detected_entries(staging: DataFrame) -> DataFrame:
     return staging.filter(F.col("type").isin(ERRATUM, AUTOCITATION))
 
 
-def in_parts(
-    rows: DataFrame, key: str, counts: DataFrame, entry: list[str], rows_per_part: int = ROWS_PER_PART
-) -> DataFrame:
+def in_parts(rows: DataFrame, key: str, entry: list[str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
     """Nest `entry` columns of `rows` per key, in parts of about `rows_per_part`.
 
-    `counts` has (key, rows). The part is a hash of the row, so the parts of a hot key are
-    built by as many tasks as it needs and no task holds all of it. Entries are sorted
-    within a part.
+    The part is a hash of the row, so the parts of a hot key are built by as many tasks as
+    it needs and no task holds all of it. Entries are sorted within a part. Rows are
+    counted before they are nested, so they are written once and read from there.
     """
-    parts = counts.select(key, F.greatest(F.lit(1), F.ceil(F.col("rows") / rows_per_part)).cast("int").alias("parts"))
-    numbered = join_records(rows, [(parts, key, "inner")]).withColumn(
-        "part", F.pmod(F.xxhash64(entry[0]), F.col("parts")).cast("int")
+    settled = settle(rows.select(key, *entry), "entries")
+    counts = settled.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    parts = counts.select(key, F.ceil(F.col("rows") / rows_per_part).cast("int").alias("parts"))
+    numbered = join_records(settled, [(parts, key, "inner")]).withColumn(
+        "part", F.pmod(F.xxhash64(*entry), F.col("parts")).cast("int")
     )
     nested = F.array_sort(F.collect_list(F.struct(*entry)))
     return numbered.groupBy(key, "part", "parts").agg(nested.alias("entries"))

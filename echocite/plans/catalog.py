@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from echocite.functions import editing
 from echocite.functions.names import normalize_name
 from echocite.functions.titles import has_errata_keyword, normalize_title
-from echocite.functions.vectors import cosine, dot, title_similarity
+from echocite.functions.vectors import cosine, dot, with_norm
 from echocite.operators import citation_strings as strings
 from echocite.operators import evaluation, raw, status, summaries
 from echocite.operators.authors import AUTHOR_THRESHOLD, author_scores, compare
@@ -18,7 +18,7 @@ from echocite.operators.errata import cheap_erratum, guarded_erratum, library_er
 from echocite.operators.shaping import citing_id, person_index, shape_citations, shape_works, since
 from echocite.operators.skew import join_records
 from echocite.plans import dataset, detect, experiments
-from echocite.session import scratch_path, spread_scan
+from echocite.session import scratch_path, settle, spread_scan
 from echocite.sources import harvest, labelled, pagegraph, runlog, sinks
 from echocite.sources.pagegraph import table
 from echocite.sources.requests import request_ids
@@ -50,7 +50,8 @@ def author_text(authors: Column) -> Column:
 def works_titles_normalized(spark, sf_dir):
     """Every page title and every document's whole text, normalised and tested for keywords."""
     titles = pagegraph.works(spark, sf_dir).select("work_id", "title")
-    texts = table(spark, sf_dir, "documents").select(
+    documents = spread_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    texts = documents.select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("work_id"), F.col("text").alias("title")
     )
     rows = titles.unionByName(texts).withColumn("title_norm", normalize_title(F.col("title")))
@@ -67,7 +68,8 @@ def authors_normalized(spark, sf_dir):
 @query
 def words_normalized(spark, sf_dir):
     """Name normalisation over every word of every document, counted per result."""
-    words = table(spark, sf_dir, "documents").select(F.explode(F.split("text", r"[ \n]")).alias("word"))
+    texts = spread_scan(table(spark, sf_dir, "documents").select("text"))
+    words = texts.select(F.explode(F.split("text", r"[ \n]")).alias("word"))
     counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
     plain = counted.select(normalize_name(F.col("word")).alias("plain"), "uses")
     return plain.groupBy("plain").agg(F.sum("uses").alias("uses"), F.count(F.lit(1)).alias("spellings"))
@@ -254,10 +256,8 @@ def raw_export_citations(spark, sf_dir):
     records = raw.as_json(
         written.select(F.col("work_id").alias("record_id"), F.concat("head", F.lit(RECORD_TAIL)).alias("xml"))
     )
-    edges = pagegraph.edges(spark, sf_dir)
-    counts = edges.groupBy("main_id").agg(F.count(F.lit(1)).alias("rows"))
-    exported = raw.export_citations(edges, records)
-    nested = summaries.in_parts(exported, "main_id", counts, ["citing_id", "full_record"])
+    exported = raw.export_citations(pagegraph.edges(spark, sf_dir), records)
+    nested = summaries.in_parts(exported, "main_id", ["citing_id", "full_record"])
     title = lambda e: F.from_json(e["full_record"], "title struct<value:string>")["title"]["value"]
     return nested.select(
         "main_id", "part", F.size("entries").alias("n_entries"), joined(F.transform("entries", title)).alias("titles")
@@ -267,6 +267,11 @@ def raw_export_citations(spark, sf_dir):
 # Errata
 
 
+def _works_with_vectors(spark, sf_dir) -> DataFrame:
+    """Works and their vectors, written once: both sides of every edge read them."""
+    return settle(pagegraph.works(spark, sf_dir, vectors=True), "works")
+
+
 @query
 def errata_tests(spark, sf_dir):
     """All model-free erratum tests on every edge."""
@@ -285,17 +290,17 @@ def errata_by_vector(spark, sf_dir):
     """Guarded and unguarded erratum tests with the titles' vectors."""
     attached = detect.attach_works(
         pagegraph.edges(spark, sf_dir),
-        pagegraph.works(spark, sf_dir, vectors=True).drop("label", "site"),
+        _works_with_vectors(spark, sf_dir).drop("label", "site"),
         usable_only=False,
     )
     norms = (F.col("citing_keyword"), F.col("citing_norm"), F.col("main_norm"))
-    cos = detect.edge_cosine(attached)
-    return attached.select(
+    titles, similarity = (F.col("citing_title"), F.col("main_title")), F.col("similarity")
+    return attached.withColumn("similarity", detect.edge_similarity(attached)).select(
         "main_id",
         "citing_id",
-        F.round(title_similarity(F.col("citing_norm"), F.col("main_norm"), cos), 9).alias("similarity"),
-        guarded_erratum(F.col("citing_title"), F.col("main_title"), *norms, cos, threshold=VECTOR_CUT).alias("guarded"),
-        library_erratum(*norms, cos, threshold=VECTOR_CUT).alias("library"),
+        F.round(similarity, 9).alias("similarity"),
+        guarded_erratum(*titles, *norms, similarity, threshold=VECTOR_CUT).alias("guarded"),
+        library_erratum(*norms, similarity, threshold=VECTOR_CUT).alias("library"),
     )
 
 
@@ -394,8 +399,7 @@ def article_entries(spark, sf_dir):
     """Detected entries nested per article, in parts of bounded size."""
     staging = status.detected_status(_judged(spark, sf_dir, skip_flagged=True))
     entries = summaries.detected_entries(staging)
-    counts = entries.groupBy("main_id").agg(F.count(F.lit(1)).alias("rows"))
-    nested = summaries.in_parts(entries, "main_id", counts, ["citing_id", "type", "citing_title", "matches"])
+    nested = summaries.in_parts(entries, "main_id", ["citing_id", "type", "citing_title", "matches"])
     listed = F.transform("entries", lambda e: F.concat_ws("|", e["citing_id"], e["type"], e["citing_title"], e["matches"]))
     return nested.select("main_id", "part", joined(listed).alias("entries"))
 
@@ -444,7 +448,7 @@ def run_log_append(spark, sf_dir):
 
 def _annotations(spark, sf_dir) -> DataFrame:
     """A label for every edge: same vector class is an erratum, same site a self-citation."""
-    works = pagegraph.works(spark, sf_dir, vectors=True).select("work_id", "site", "label")
+    works = _works_with_vectors(spark, sf_dir).select("work_id", "site", "label")
 
     def side(name: str) -> DataFrame:
         return works.select(*[F.col(c).alias(f"{name}_{c.removeprefix('work_')}") for c in works.columns])
@@ -466,7 +470,10 @@ def _labelled(spark, sf_dir) -> DataFrame:
 
 
 def _annotated(spark, sf_dir) -> DataFrame:
-    return dataset.annotate(_labelled(spark, sf_dir), _annotations(spark, sf_dir))
+    records = dataset.label_edges(
+        pagegraph.edges(spark, sf_dir), pagegraph.works(spark, sf_dir), SINCE, _annotations(spark, sf_dir)
+    )
+    return dataset.evaluation_records(records)
 
 
 @query
@@ -531,23 +538,32 @@ def method_winner(spark, sf_dir):
     return evaluation.method_winner(sweep_methods(spark, sf_dir))
 
 
+# Three models of the same titles: all 64 numbers of a vector, its first and its last 32.
+MODEL_SLICES = {"all": (1, 64), "first": (1, 32), "last": (33, 32)}
+
+
 def _model_records(spark, sf_dir) -> DataFrame:
-    """Labelled records with both vectors, to be judged by three models."""
+    """Labelled records with the vectors of both titles in every model."""
     vectors = table(spark, sf_dir, "embeddings").select(
-        pagegraph.work_id(F.col("vec_id")).alias("id"), F.col("embedding").alias("vector")
+        pagegraph.work_id(F.col("vec_id")).alias("work_id"),
+        *[F.slice("embedding", *part).alias(f"{model}_vector") for model, part in MODEL_SLICES.items()],
     )
-    mains = vectors.select(F.col("id").alias("main_id"), F.col("vector").alias("main_vector"))
-    citing = vectors.select("id", F.col("vector").alias("citing_vector"))
-    return join_records(_annotated(spark, sf_dir), [(mains, "main_id", "left"), (citing, "id", "left")])
+    for model in MODEL_SLICES:
+        vectors = with_norm(vectors, f"{model}_vector", f"{model}_norm")
+    fields = [c for c in vectors.columns if c != "work_id"]
 
+    def side(key: str, prefix: str) -> DataFrame:
+        return vectors.select(F.col("work_id").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in fields])
 
-def _models() -> dict[str, Column]:
-    """Three models of the same titles: all 64 numbers of a vector, its first and its last 32."""
+    sides = [(side("main_id", "main"), "main_id", "left"), (side("id", "citing"), "id", "left")]
+    return join_records(_annotated(spark, sf_dir).drop("main_authors", "citing_authors"), sides)
 
-    def part(start: int, length: int) -> Column:
-        return cosine(F.slice("citing_vector", start, length), F.slice("main_vector", start, length))
 
-    return {"all": cosine(F.col("citing_vector"), F.col("main_vector")), "first": part(1, 32), "last": part(33, 32)}
+def _models() -> dict[str, Column]:
+    def cos(model: str) -> Column:
+        return cosine(*[F.col(f"{side}_{model}_{part}") for part in ("vector", "norm") for side in ("citing", "main")])
+
+    return {model: cos(model) for model in MODEL_SLICES}
 
 
 def _model_rows(spark, sf_dir) -> DataFrame:

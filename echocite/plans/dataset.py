@@ -20,10 +20,24 @@ def _sides(works: DataFrame) -> list[tuple[DataFrame, str, str]]:
 
 
 def label_edges(
-    edges: DataFrame, works: DataFrame, from_date: str = DEFAULT_FROM, salted: bool | None = None
+    edges: DataFrame,
+    works: DataFrame,
+    from_date: str = DEFAULT_FROM,
+    annotations: DataFrame | None = None,
+    salted: bool | None = None,
 ) -> DataFrame:
-    """Citations of every found main, authors or not, with label, confidence and reason."""
-    joined = join_records(since(edges, from_date), _sides(works), salted=salted)
+    """Citations of every found main, authors or not, with label, confidence and reason.
+
+    `annotations` (main_id, citing_id, label) fill missing labels. They join the edges
+    before titles and author lists are attached, while rows are still short.
+    """
+    dated = since(edges, from_date)
+    if annotations is None:
+        chosen = dated.withColumn("_given", F.lit(None).cast("string"))
+    else:
+        given = annotations.select("main_id", "citing_id", F.col("label").alias("_given"))
+        chosen = dated.join(given, ["main_id", "citing_id"], "left")
+    joined = join_records(chosen, _sides(works), salted=salted)
     labelled = joined.withColumn("truth", truth_label(F.col("citing_title"), F.col("is_xml")))
     return labelled.select(
         F.col("citing_id").alias("id"),
@@ -32,29 +46,26 @@ def label_edges(
         "citing_title",
         "citing_authors",
         F.col("is_xml").alias("is_xml_autocitation"),
-        F.col("truth.label").alias("true_label"),
+        F.upper(F.coalesce("truth.label", "_given")).alias("true_label"),
         F.col("truth.confidence").alias("_confidence"),
         F.col("truth.reason").alias("_reason"),
         F.col("main_id").alias("_main_article_id"),
     )
 
 
+def evaluation_records(records: DataFrame) -> DataFrame:
+    """Labelled records without the annotator's fields."""
+    kept = [c for c in records.columns if not c.startswith("_")]
+    return records.select(F.col("_main_article_id").alias("main_id"), *kept)
+
+
 def annotate(records: DataFrame, annotations: DataFrame) -> DataFrame:
-    """Fill missing labels from (main_id, citing_id, label), and drop the annotator's fields."""
+    """Fill missing labels of a dataset that was written before, and drop the annotator's fields."""
     given = annotations.select(
         F.col("main_id").alias("_main_article_id"), F.col("citing_id").alias("id"), F.col("label").alias("_given")
     )
     filled = records.join(given, ["_main_article_id", "id"], "left")
-    return filled.select(
-        F.col("_main_article_id").alias("main_id"),
-        "id",
-        "main_title",
-        "main_authors",
-        "citing_title",
-        "citing_authors",
-        "is_xml_autocitation",
-        F.upper(F.coalesce("true_label", "_given")).alias("true_label"),
-    )
+    return evaluation_records(filled.withColumn("true_label", F.upper(F.coalesce("true_label", "_given"))))
 
 
 def label_stats(records: DataFrame, requests: DataFrame, works: DataFrame) -> DataFrame:

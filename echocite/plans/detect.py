@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from echocite.functions.vectors import cosine, with_norm
+from echocite.functions.vectors import cosine, title_similarity, with_norm
 from echocite.operators.authors import AUTHOR_THRESHOLD, author_scores, compare, match_texts
 from echocite.operators.errata import TITLE_THRESHOLD, guarded_erratum, with_title_forms
 from echocite.operators.shaping import since
@@ -49,13 +49,13 @@ def attach_works(
     )
 
 
-def edge_cosine(attached: DataFrame):
-    """Cosine column of an attached edge, or None without vectors."""
+def edge_similarity(attached: DataFrame) -> Column | None:
+    """Title similarity of an attached edge, or None without vectors."""
     if "main_vector" not in attached.columns:
         return None
-    return cosine(
-        F.col("citing_vector"), F.col("main_vector"), F.col("citing_vector_norm"), F.col("main_vector_norm")
-    )
+    norms = F.col("citing_vector_norm"), F.col("main_vector_norm")
+    cos = cosine(F.col("citing_vector"), F.col("main_vector"), *norms)
+    return title_similarity(F.col("citing_norm"), F.col("main_norm"), cos)
 
 
 def flag_errata(attached: DataFrame, threshold: float = TITLE_THRESHOLD) -> DataFrame:
@@ -66,7 +66,7 @@ def flag_errata(attached: DataFrame, threshold: float = TITLE_THRESHOLD) -> Data
         F.col("citing_keyword"),
         F.col("citing_norm"),
         F.col("main_norm"),
-        edge_cosine(attached),
+        edge_similarity(attached),
         threshold,
     )
     return attached.withColumn("is_erratum", verdict).drop(

@@ -53,14 +53,24 @@ def test_hot_key_is_spread_and_others_are_not(spark, facts, records):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_joins_that_keep_unmatched_records_are_refused(facts, records):
+    with pytest.raises(ValueError):
+        join_records(facts, [(records, "key", "right")])
+
+
+def test_without_hot_keys_the_join_is_plain(facts, records):
+    plan = join_records(facts, [(records, "key", "inner")], rows_per_salt=10_000, salted=True)
+    assert "_salt0" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(plan) == rows(facts.join(records, "key"))
+
+
 def test_number_of_salted_keys_is_bounded(spark):
     many = spark.range(5000).select((F.col("id") % 1000).cast("string").alias("key"))
     assert hot_keys(many, "key", 1, limit=7).count() == 7
 
 
 def test_parts_hold_every_row_once(facts):
-    counts = facts.groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    nested = in_parts(facts, "key", counts, ["id"], rows_per_part=100)
+    nested = in_parts(facts, "key", ["id"], rows_per_part=100)
     sizes = nested.select("key", "parts", F.size("entries").alias("n")).collect()
     assert {r.parts for r in sizes if r.key == "hot"} == {20}
     assert max(r.n for r in sizes) < 200
