@@ -95,10 +95,17 @@ def _common_prefix(a, la, b, lb, limit: int) -> np.ndarray:
     return np.minimum.accumulate(agree, axis=1).sum(axis=1)
 
 
-def jaro_winkler_block(a, la, b, lb) -> np.ndarray:
-    """Jaro plus the prefix bonus, which applies at every Jaro value."""
-    jaro = jaro_block(a, la, b, lb)
-    return jaro + _common_prefix(a, la, b, lb, PREFIX_MAX) * PREFIX_WEIGHT * (1 - jaro)
+def jaro_winkler_by(weight: float = PREFIX_WEIGHT):
+    """Jaro plus the bonus for a common prefix, which applies at every Jaro value."""
+
+    def block(a, la, b, lb) -> np.ndarray:
+        jaro = jaro_block(a, la, b, lb)
+        return jaro + _common_prefix(a, la, b, lb, PREFIX_MAX) * weight * (1 - jaro)
+
+    return block
+
+
+jaro_winkler_block = jaro_winkler_by()
 
 
 def dl_block(a, la, b, lb) -> np.ndarray:

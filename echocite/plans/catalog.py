@@ -218,8 +218,7 @@ def main_records(spark, sf_dir):
     return shaped.select("work_id", "title", author_text(F.col("authors")).alias("authors"))
 
 
-@query
-def citing_records(spark, sf_dir):
+def _harvested(spark, sf_dir) -> DataFrame:
     """Every edge written as a harvested record, with its bond, and shaped back."""
     heads = _record_xml(pagegraph.works(spark, sf_dir)).select(F.col("work_id").alias("citing_id"), "head")
     bond = F.concat(
@@ -232,8 +231,14 @@ def citing_records(spark, sf_dir):
     written = join_records(pagegraph.edges(spark, sf_dir), [(heads, "citing_id", "inner")]).select(
         F.col("main_id").alias("set"), F.concat("head", bond, F.lit(RECORD_TAIL)).alias("xml")
     )
-    shaped = shape_citations(harvest.parse_records(written), "set")
-    return shaped.select("main_id", "citing_id", "title", author_text(F.col("authors")).alias("authors"), "is_xml")
+    return shape_citations(harvest.parse_records(written), "set")
+
+
+@query
+def citing_records(spark, sf_dir):
+    return _harvested(spark, sf_dir).select(
+        "main_id", "citing_id", "title", author_text(F.col("authors")).alias("authors"), "is_xml"
+    )
 
 
 @query
@@ -369,6 +374,14 @@ def edge_status_full(spark, sf_dir):
     )
 
 
+@query
+def harvested_status(spark, sf_dir):
+    """From harvested XML to the status of every citation."""
+    judged = detect.judge_citations(_harvested(spark, sf_dir), pagegraph.works(spark, sf_dir))
+    rows = status.full_status(judged)
+    return rows.select("main_id", "citing_id", "status", "score", joined("matched_authors").alias("matched_authors"))
+
+
 @query
 def edge_status_detected(spark, sf_dir):
     """Staging rows of the detected-only view."""

@@ -15,6 +15,23 @@ from echocite.operators.summaries import usable_works
 DEFAULT_FROM = "2025-01-01"  # fixed value: lower date bound of a detection
 
 
+SIDE_NAMES = {"work_id": "id", "title_norm": "norm", "title_keyword": "keyword", "title_vector": "vector"}
+
+
+def _side(table: DataFrame, prefix: str, fields: list[str], others: tuple[str, ...] = ()) -> DataFrame:
+    """`fields` under the names they have on one side of an edge, and `others` as they are."""
+    return table.select(*others, *[F.col(c).alias(f"{prefix}_{SIDE_NAMES.get(c, c)}") for c in fields])
+
+
+def _prepare(works: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Titles normalised once per record, with the lengths of vectors where there are any."""
+    prepared, fields = with_title_forms(works), ["title", "title_norm", "authors"]
+    if "title_vector" in works.columns:
+        prepared = with_norm(prepared, "title_vector", "vector_norm")
+        fields += ["title_vector", "vector_norm"]
+    return prepared, fields
+
+
 def attach_works(
     edges: DataFrame,
     works: DataFrame,
@@ -22,31 +39,28 @@ def attach_works(
     rows_per_salt: int = ROWS_PER_SALT,
     salted: bool | None = None,
 ) -> DataFrame:
-    """Edges with the fields of both records, titles normalised once per work.
+    """Edges with the fields of both records.
 
     With `title_vector` among the columns of `works`, both vectors and their lengths come along.
     """
-    prepared = with_title_forms(works)
-    extra = []
-    if "title_vector" in works.columns:
-        prepared = with_norm(prepared, "title_vector", "vector_norm")
-        extra = ["title_vector", "vector_norm"]
+    prepared, fields = _prepare(works)
+    mains = usable_works(prepared) if usable_only else prepared
+    sides = [
+        (_side(mains, "main", ["work_id", *fields]), "main_id", "inner"),
+        (_side(prepared, "citing", ["work_id", *fields, "title_keyword"]), "citing_id", "inner"),
+    ]
+    return join_records(edges, sides, rows_per_salt=rows_per_salt, salted=salted)
 
-    def side(table: DataFrame, prefix: str, fields: list[str]) -> DataFrame:
-        names = {"work_id": "id", "title_norm": "norm", "title_keyword": "keyword", "title_vector": "vector"}
-        return table.select(*[F.col(c).alias(f"{prefix}_{names.get(c, c)}") for c in fields])
 
-    mains = usable_works(prepared) if usable_only else prepared
-    shared = ["work_id", "title", "title_norm", "authors", *extra]
-    return join_records(
-        edges,
-        [
-            (side(mains, "main", shared), "main_id", "inner"),
-            (side(prepared, "citing", [*shared, "title_keyword"]), "citing_id", "inner"),
-        ],
-        rows_per_salt=rows_per_salt,
-        salted=salted,
-    )
+def attach_mains(
+    citations: DataFrame, works: DataFrame, rows_per_salt: int = ROWS_PER_SALT, salted: bool | None = None
+) -> DataFrame:
+    """The same from harvested citations, whose rows hold the citing record already: one join."""
+    prepared, fields = _prepare(citations)
+    facts = _side(prepared, "citing", [*fields, "title_keyword"], ("main_id", "citing_id", "is_xml", "datestamp"))
+    mains, main_fields = _prepare(usable_works(works))
+    side = (_side(mains, "main", ["work_id", *main_fields]), "main_id", "inner")
+    return join_records(facts, [side], rows_per_salt=rows_per_salt, salted=salted)
 
 
 def edge_similarity(attached: DataFrame) -> Column | None:
@@ -80,23 +94,18 @@ def flag_errata(attached: DataFrame, threshold: float = TITLE_THRESHOLD) -> Data
     )
 
 
-def judge_edges(
-    edges: DataFrame,
-    works: DataFrame,
-    from_date: str | None = None,
+def judge(
+    attached: DataFrame,
     author_threshold: float = AUTHOR_THRESHOLD,
     title_threshold: float = TITLE_THRESHOLD,
     skip_flagged: bool = False,
-    salted: bool | None = None,
-    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
-    """Edges of usable mains with erratum flag, author score and match texts.
+    """Erratum flag, author score and match texts of attached edges.
 
     Authors of errata are not compared; with `skip_flagged` neither are those of edges
     the catalogue already flags. Such edges carry score 0.0 and no matches.
     """
-    chosen = since(edges, from_date) if from_date else edges
-    flagged = flag_errata(attach_works(chosen, works, True, rows_per_salt, salted), title_threshold)
+    flagged = flag_errata(attached, title_threshold)
     decided = F.col("is_erratum") | F.col("is_xml") if skip_flagged else F.col("is_erratum")
     mains, citing = F.col("main_authors"), F.col("citing_authors")
     scored = flagged.withColumn("scores", compare(author_scores(author_threshold), mains, citing, unless=decided))
@@ -115,6 +124,32 @@ def judge_edges(
     )
 
 
+def judge_edges(
+    edges: DataFrame,
+    works: DataFrame,
+    from_date: str | None = None,
+    salted: bool | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
+    **options,
+) -> DataFrame:
+    """`judge` over edges of ids, both of whose records are in `works`."""
+    chosen = since(edges, from_date) if from_date else edges
+    return judge(attach_works(chosen, works, True, rows_per_salt, salted), **options)
+
+
+def judge_citations(
+    citations: DataFrame,
+    works: DataFrame,
+    from_date: str | None = None,
+    salted: bool | None = None,
+    rows_per_salt: int = ROWS_PER_SALT,
+    **options,
+) -> DataFrame:
+    """`judge` over harvested citations of the mains in `works`."""
+    chosen = since(citations, from_date) if from_date else citations
+    return judge(attach_mains(chosen, works, rows_per_salt, salted), **options)
+
+
 def requested_edges(edges: DataFrame, requests: DataFrame) -> DataFrame:
     """Edges of requested mains, each once however often it is requested."""
     wanted = requests.select(F.col("work_id").alias("main_id")).distinct()

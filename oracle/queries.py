@@ -312,6 +312,13 @@ from edges e left join best_both s using (main_id, citing_id)""",
     ),
     "edge_matches": query("select main_id, citing_id, matches from judged where not guarded", *SCORED),
     "edge_status_full": query(f"select {STATUS_COLUMNS} from statuses", *SCORED, STATUSES),
+    "harvested_status": query(
+        """
+select main_id, citing_id, status, case when not guarded then score end as score,
+       case when not guarded then matches end as matched_authors from statuses""",
+        *SCORED,
+        STATUSES,
+    ),
     "edge_status_detected": query(
         """
 select main_id, citing_id, type, main_title, main_names as main_authors, citing_title, citing_names as citing_authors,

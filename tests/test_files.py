@@ -3,13 +3,16 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from echocite.functions.editing import jaro_winkler_by, pair_column
+from echocite.functions.registry import register
 from echocite.functions.vectors import cosine, embed_titles
 from echocite.operators import status, summaries
 from echocite.operators.citation_strings import split_fields
 from echocite.operators.errata import with_title_forms
 from echocite.operators.evaluation import best_row, method_winner, threshold_grid, winner_marks
-from echocite.plans import dataset, detect, experiments
+from echocite.plans import dataset, detect, experiments, jobs
 from echocite.sources import labelled, requests, runlog, sinks
 from echocite.streaming.incremental import judge_new_edges
 
@@ -199,6 +202,85 @@ def test_parity_feeds_edit_distance_to_both_sides(spark, works, edges):
         assert [row[f"jw_{c}"] for c in ("tp", "fp", "tn", "fn")] == [row[f"dl_{c}"] for c in ("tp", "fp", "tn", "fn")]
 
 
+def test_sql_functions(spark):
+    register(spark)
+    row = spark.sql("select name_dl('Novák', 'NVOAK') a, osa_distance('ca', 'abc') b, normalize_name(' É ') c").first()
+    assert tuple(row) == (0.8, 3, "e")
+
+
+def test_prefix_weight(spark):
+    double = pair_column(jaro_winkler_by(0.2), T.DoubleType())
+    row = spark.range(1).select(double(F.lit("abxyz"), F.lit("abqrs")).alias("s")).first()
+    assert row.s == pytest.approx(0.6 + 2 * 0.2 * 0.4)
+
+
+def citations_of(edges, works):
+    return edges.join(works.withColumnRenamed("work_id", "citing_id"), "citing_id")
+
+
+def test_full_job(spark, works, edges, tmp_path):
+    wanted = spark.createDataFrame([("1000",), ("1004",), ("1000",)], "work_id string")
+    stamp = F.lit("2026-01-02 03:04:05").cast("timestamp")
+    jobs.detect_full(wanted, works, citations_of(edges, works), str(tmp_path), run_ts=stamp)
+    details = {json.loads(x)["citing_id"]: json.loads(x) for x in lines(tmp_path / "details")}
+    assert {k: v["status"] for k, v in details.items()} == {
+        "1001": "AUTOCITATION",
+        "1002": "ERRATUM",
+        "1003": "ERRATUM",
+        "1005": "AUTOCITATION",
+        "1006": "AUTOCITATION",
+    }
+    by_edges = status.full_status(detect.judge_edges(edges.filter("main_id = '1000'"), works, "2025-01-01")).collect()
+    assert {r.citing_id: r.status for r in by_edges} == {k: v["status"] for k, v in details.items()}
+    articles = [json.loads(x) for x in lines(tmp_path / "articles")]
+    assert sorted((a["main_id"], a.get("autocitations_found")) for a in articles if "error" not in a) == [("1000", 3)] * 2
+    assert [a["main_id"] for a in articles if "error" in a] == ["1004"]
+    assert runlog.read_runs(spark, str(tmp_path / "run_log")).count() == 3
+
+
+def test_detected_only_job(spark, works, edges, tmp_path):
+    wanted = spark.createDataFrame([("1000",), ("1001",), ("9999",)], "work_id string")
+    jobs.detect_only(wanted, works, citations_of(edges, works), str(tmp_path))
+    entries = [json.loads(x) for x in lines(tmp_path / "entries")]
+    assert [e["main_id"] for e in entries] == ["1000"]
+    assert [(e["citing_id"], e["type"]) for e in entries[0]["entries"]] == [
+        ("1001", "AUTOCITATION"),
+        ("1002", "ERRATUM"),
+        ("1003", "ERRATUM"),
+        ("1005", "AUTOCITATION"),
+    ]
+    assert {(a["main_id"], a["total_processed"], a["entries_detected"]) for a in map(json.loads, lines(tmp_path / "articles"))} == {
+        ("1000", 5, 4),
+        ("1001", 1, 0),
+    }
+    assert [json.loads(x) for x in lines(tmp_path / "totals")] == [{"total_requests": 3, "autocitations_queued": 2}]
+
+
+def test_dataset_and_raw_jobs(spark, works, edges, tmp_path):
+    wanted = spark.createDataFrame([("1000",), ("9999",)], "work_id string")
+    jobs.build_dataset(wanted, works, edges, str(tmp_path))
+    assert len(lines(tmp_path / "dataset")) == 5
+    assert json.loads(lines(tmp_path / "stats")[0]) == {
+        "total": 5, "erratum": 1, "autocitation_xml": 1, "needs_review": 3, "skipped": 1,
+    }
+    raw_records = spark.createDataFrame([("1000", '<r><rec_biblio id="1000"/></r>')], "record_id string, xml string")
+    jobs.export_raw(wanted, edges, raw_records, str(tmp_path))
+    mains = {m["main_id"]: json.loads(m["full_record"]) for m in map(json.loads, lines(tmp_path / "mains"))}
+    assert mains == {"1000": {"id": "1000"}, "9999": {"error": "Záznam nedostupný"}}
+    (citations,) = [json.loads(x) for x in lines(tmp_path / "citations")]
+    assert len(citations["entries"]) == 5
+
+
+def test_works_and_edges_of_a_harvest(works, edges):
+    citations = citations_of(edges, works)
+    twice = citations.unionByName(citations.withColumn("is_xml", F.lit(False)))
+    assert jobs.edges_of(twice).count() == edges.count()
+    assert sorted(map(str, jobs.edges_of(twice).select(edges.columns).collect())) == sorted(map(str, edges.collect()))
+    mains = works.filter("work_id in ('1000', '1004')")
+    merged = jobs.works_of(twice, mains)
+    assert sorted(map(str, merged.collect())) == sorted(map(str, works.collect()))
+
+
 def test_run_log(spark, works, tmp_path):
     path = str(tmp_path / "log")
     assert runlog.read_runs(spark, path).count() == 0
