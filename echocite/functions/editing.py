@@ -20,7 +20,7 @@ PREFIX_WEIGHT = 0.1  # fixed value: weight of one common leading character
 PREFIX_MAX = 4  # fixed value: leading characters that count
 
 # Matrix cells one step may hold; longer strings are taken in smaller slices.
-CELL_BUDGET = 1 << 20
+CELL_BUDGET = 1 << 18
 
 
 def code_points(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -28,7 +28,8 @@ def code_points(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     lengths = np.array([len(s) for s in strings], dtype=np.int64)
     width = max(1, int(lengths.max(initial=0)))
     codes = np.array(strings, dtype=f"U{width}").view(np.uint32).reshape(len(strings), width)
-    return codes.astype(np.int32), lengths
+    narrow = np.uint16 if codes.max(initial=0) < 1 << 16 else np.uint32
+    return codes.astype(narrow), lengths
 
 
 def osa_block(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
@@ -36,25 +37,25 @@ def osa_block(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> n
 
     Row i of the table is built for all pairs together. Deletion, replacement and swap
     look at earlier rows only; insertions run along the row and are a running minimum
-    of (value - column).
+    of (value - column). Pairs lie along the last axis, so every step is contiguous.
     """
-    n, wa = a.shape
-    cols = np.arange(b.shape[1] + 1, dtype=np.int32)
-    older = row = np.broadcast_to(cols, (n, len(cols)))
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    small = np.int16 if len(a) + len(b) < 30_000 else np.int32
+    cols = np.arange(len(b) + 1, dtype=small)[:, None]
+    # Values are kept with their column already subtracted.
+    older = row = np.zeros((len(b) + 1, a.shape[1]), dtype=small)
     result = lb.astype(np.int32)
-    for i in range(1, wa + 1):
-        here = a[:, i - 1 : i]
-        differ = (b != here).astype(np.int32)
-        best = np.empty((n, len(cols)), dtype=np.int32)
-        best[:, 0] = i
-        np.minimum(row[:, 1:] + 1, row[:, :-1] + differ, out=best[:, 1:])
-        if i > 1 and b.shape[1] > 1:
-            swapped = (b[:, :-1] == here) & (b[:, 1:] == a[:, i - 2 : i - 1])
-            via_swap = np.where(swapped, older[:, :-2] + differ[:, 1:], best[:, 2:])
-            np.minimum(best[:, 2:], via_swap, out=best[:, 2:])
-        older, row = row, np.minimum.accumulate(best - cols, axis=1) + cols
+    for i in range(1, len(a) + 1):
+        differ = (b != a[i - 1]).view(np.int8)
+        best = np.empty_like(row)
+        best[0] = i
+        np.minimum(row[1:] + 1, row[:-1] + differ - 1, out=best[1:])
+        if i > 1 and len(b) > 1:
+            swapped = (b[:-1] == a[i - 1]) & (b[1:] == a[i - 2])
+            np.minimum(best[2:], older[:-2] + differ[1:] - 2, out=best[2:], where=swapped)
+        older, row = row, np.minimum.accumulate(best, axis=0, out=best)
         ends = np.flatnonzero(la == i)
-        result[ends] = row[ends, lb[ends]]
+        result[ends] = row[lb[ends], ends] + cols[lb[ends], 0]
     return result
 
 
