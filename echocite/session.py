@@ -15,6 +15,8 @@ def build_session(app: str = "echocite", master: str | None = None, **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # Rows here are short and costly, so small shuffles should still use all cores.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
         **conf,
     }
