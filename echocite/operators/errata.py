@@ -29,7 +29,7 @@ def library_erratum(
     keyword: Column, citing_norm: Column, main_norm: Column, similarity: Column, threshold: float = TITLE_THRESHOLD
 ) -> Column:
     """Keyword, or equal, or similarity (of `title_similarity`) at least the threshold."""
-    return keyword | (citing_norm == main_norm) | (similarity >= threshold)
+    return keyword | (citing_norm == main_norm) | F.coalesce(similarity >= threshold, F.lit(False))
 
 
 def guarded_erratum(

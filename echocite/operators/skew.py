@@ -59,9 +59,11 @@ def join_records(
             plans.append((table, [key], how))
             continue
         salt = f"_salt{position}"
-        number = F.pmod(F.xxhash64(*(others[key] or [F.monotonically_increasing_id()])), F.col("salts"))
+        # A NULL key matches nothing under any salt, so such rows are dealt out as well.
+        salts = F.when(F.col(key).isNull(), HOT_KEYS).otherwise(F.coalesce("salts", F.lit(1)))
+        number = F.pmod(F.xxhash64(*(others[key] or [F.monotonically_increasing_id()])), salts)
         joined = spread.join(F.broadcast(hot), key, "left")
-        spread = joined.withColumn(salt, F.coalesce(number.cast("int"), F.lit(0))).drop("salts")
+        spread = joined.withColumn(salt, number.cast("int")).drop("salts")
         plans.append((copy_per_salt(table, hot, key, salt), [key, salt], how))
     for table, keys, how in plans:
         spread = spread.join(table, keys, how).drop(*keys[1:])

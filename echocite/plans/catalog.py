@@ -22,6 +22,7 @@ from echocite.session import scratch_path, settle, spread_scan
 from echocite.sources import harvest, labelled, pagegraph, runlog, sinks
 from echocite.sources.pagegraph import table
 from echocite.sources.requests import request_ids
+from echocite.streaming import incremental
 
 SINCE = "1998-01-01"
 
@@ -382,6 +383,18 @@ def harvested_status(spark, sf_dir):
     return rows.select("main_id", "citing_id", "status", "score", joined("matched_authors").alias("matched_authors"))
 
 
+@query
+def incremental_status(spark, sf_dir):
+    """Statuses from a stream: edges arrive in two deliveries, later ones first, and are judged as they come."""
+    inbox, out, state = (scratch_path(spark, name) for name in ("edges", "judged", "state"))
+    works, edges = pagegraph.works(spark, sf_dir), pagegraph.edges(spark, sf_dir)
+    since(edges, SINCE).write.parquet(inbox)
+    incremental.judge_new_edges(works, inbox, out, state).awaitTermination()
+    edges.write.mode("append").parquet(inbox)
+    incremental.judge_new_edges(works, inbox, out, state).awaitTermination()
+    return spark.read.parquet(out).select("main_id", "citing_id", "status", "score")
+
+
 @query
 def edge_status_detected(spark, sf_dir):
     """Staging rows of the detected-only view."""

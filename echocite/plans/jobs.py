@@ -65,7 +65,10 @@ def detect_only(
 def build_dataset(
     requests: DataFrame, works: DataFrame, edges: DataFrame, out: str, from_date: str = dataset.DEFAULT_FROM
 ) -> None:
-    """Labelled records of the requested mains as `dataset`, and their counts as `stats`."""
+    """Labelled records of the requested mains as `dataset`, and their counts as `stats`.
+
+    A dataset takes the loose flag: shape its citations with `loose=True`.
+    """
     records = settle(dataset.label_edges(detect.requested_edges(edges, requests), works, from_date), "labelled")
     sinks.write_labelled(records, f"{out}/dataset")
     sinks.write_json(dataset.label_stats(records, requests, works), f"{out}/stats")

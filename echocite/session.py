@@ -28,6 +28,9 @@ def build_session(app: str = "echocite", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see, as the cluster names it in spark.checkpoint.dir.
 
@@ -35,12 +38,13 @@ def shared_dir(spark: SparkSession) -> str:
     folder is an error, because a machine-local path is lost with its machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        named = tempfile.mkdtemp(prefix="echocite-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    if not _own_dir:
+        _own_dir.append(tempfile.mkdtemp(prefix="echocite-"))
+    return _own_dir[0]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -21,7 +21,9 @@ def _already_judged(spark: SparkSession, out: str, batch: int) -> DataFrame | No
     """Edges that earlier batches wrote; None before the first one."""
     try:
         written = spark.read.parquet(out)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     return written.filter(F.col("batch") < batch).select("main_id", "citing_id")
 

@@ -319,6 +319,9 @@ select main_id, citing_id, status, case when not guarded then score end as score
         *SCORED,
         STATUSES,
     ),
+    "incremental_status": query(
+        "select main_id, citing_id, status, case when not guarded then score end as score from statuses", *SCORED, STATUSES
+    ),
     "edge_status_detected": query(
         """
 select main_id, citing_id, type, main_title, main_names as main_authors, citing_title, citing_names as citing_authors,

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from echocite.operators.skew import copy_per_salt, hot_keys, join_records
 from echocite.operators.summaries import in_parts
-from echocite.session import fits_broadcast
+from echocite.session import fits_broadcast, shared_dir
 from tests.test_oracles import rows
 
 
@@ -78,6 +78,18 @@ def test_parts_hold_every_row_once(facts):
     assert rows(flat) == rows(facts)
 
 
+def test_own_folder_only_for_a_local_master(spark):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default: None)})
+        sparkContext = type("Context", (), {"master": "yarn"})
+
+    with pytest.raises(ValueError):
+        shared_dir(Elsewhere)
+    Elsewhere.sparkContext.master = "local[2]"
+    assert shared_dir(Elsewhere) == shared_dir(Elsewhere)
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+
+
 def test_null_keys_match_nothing(spark, records):
     facts = spark.createDataFrame([(None, 1), ("hot", 2)], "key string, id bigint")
     joined = join_records(facts, [(records, "key", "left")], rows_per_salt=1, salted=True)
