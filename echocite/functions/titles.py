@@ -15,6 +15,15 @@ DASHES = "‐–—"
 SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
+# Every character that Python's str.strip removes; all of them lie up to U+3000.
+WHITE_SPACE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def strip(text: Column) -> Column:
+    """Cut white space of any kind from both ends; `trim` alone knows the space only."""
+    return F.trim(text, F.lit(WHITE_SPACE))
+
+
 def normalize_title(title: Column) -> Column:
     """Unify dashes, collapse white space, strip, lower-case; NULL becomes ''."""
     unified = F.translate(title, DASHES, "-" * len(DASHES))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from echocite.functions.titles import strip
+
 
 def dot(a: Column, b: Column) -> Column:
     """Sum of products in DOUBLE, in index order."""
@@ -28,11 +30,17 @@ def cosine(a: Column, b: Column, norm_a: Column | None = None, norm_b: Column |
     return F.try_divide(dot(a, b), norm_a * norm_b)
 
 
-def title_similarity(title_a: Column, title_b: Column, cos: Column) -> Column:
-    """Similarity of two titles: an empty one scores 0, equal ones 1, others their cosine."""
-    a, b = F.lower(F.trim(title_a)), F.lower(F.trim(title_b))
-    empty = (F.coalesce(title_a, F.lit("")) == "") | (F.coalesce(title_b, F.lit("")) == "")
-    return F.when(empty, 0.0).when(a == b, 1.0).otherwise(F.coalesce(cos, F.lit(0.0)))
+def title_similarity(norm_a: Column, norm_b: Column, cos: Column) -> Column:
+    """Similarity of two normalised titles: an empty one scores 0, equal ones 1, others their cosine."""
+    empty = (norm_a == "") | (norm_b == "")
+    return F.when(empty, 0.0).when(norm_a == norm_b, 1.0).otherwise(F.coalesce(cos, F.lit(0.0)))
+
+
+def text_similarity(text_a: Column, text_b: Column, cos: Column) -> Column:
+    """The same for raw texts: empty as given, equal after lower-casing and stripping."""
+    a, b = F.coalesce(text_a, F.lit("")), F.coalesce(text_b, F.lit(""))
+    equal = F.lower(strip(a)) == F.lower(strip(b))
+    return F.when((a == "") | (b == ""), 0.0).when(equal, 1.0).otherwise(F.coalesce(cos, F.lit(0.0)))
 
 
 def embed_titles(

@@ -9,13 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from echocite.functions.titles import strip
+
 # Roles that count as authorship.
 AUTHOR_ROLES = ["author", "author_corporation"]
 
 
 def text_of(value: Column) -> Column:
-    """Trimmed text, '' for NULL."""
-    return F.coalesce(F.trim(value), F.lit(""))
+    """Stripped text, '' for NULL."""
+    return F.coalesce(strip(value), F.lit(""))
 
 
 def first_text(values: Column) -> Column:
@@ -56,7 +58,7 @@ def _persons_of(bonds: Column) -> Column:
 
 def full_name(last: Column, first: Column, label: Column) -> Column:
     """`last first` when there is a last name, otherwise the label."""
-    return F.when(last != "", F.trim(F.concat(last, F.lit(" "), first))).otherwise(label)
+    return F.when(last != "", strip(F.concat(last, F.lit(" "), first))).otherwise(label)
 
 
 def _person_entry(person: Column) -> Column:
@@ -178,7 +180,7 @@ def shape_citations(
 ) -> DataFrame:
     """Citing records of `target` (a column of `records`): id, title, authors, flag, date."""
     biblios = F.col(_biblio_path(wrapper))
-    biblio, main = F.get(biblios, F.lit(0)), F.trim(F.col(target).cast("string"))
+    biblio, main = F.get(biblios, F.lit(0)), strip(F.col(target).cast("string"))
     targets = flagged_targets_anywhere(biblios, depth) if loose else flagged_targets(biblio)
     return with_authors(live_records(records), biblio, depth).select(
         main.alias("main_id"),

@@ -252,7 +252,9 @@ def raw_export(spark, sf_dir):
     requests = request_ids(pagegraph.requests(spark, sf_dir), keep=["request_id"])
     mains = raw.export_mains(requests.select("work_id").distinct(), records)
     fields = F.from_json("full_record", "id string, title struct<lang:string,value:string>, error string")
-    return mains.select("main_id", fields["id"].alias("id"), fields["title"]["value"].alias("title"), fields["error"].alias("error"))
+    return mains.select(
+        "main_id", fields["id"].alias("id"), fields["title"]["value"].alias("title"), fields["error"].alias("error")
+    )
 
 
 @query

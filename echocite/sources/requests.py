@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from echocite.functions.titles import strip
+
 ID_PATTERN = r"(\d{4,})"  # fixed value: every run of four or more digits is an id
 
 
@@ -16,5 +18,5 @@ def request_ids(requests: DataFrame, text: str = "request", keep: list[str] | No
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """One id per line; blank lines are skipped."""
-    lines = spark.read.text(path).select(F.trim("value").alias("work_id"))
+    lines = spark.read.text(path).select(strip(F.col("value")).alias("work_id"))
     return lines.filter(F.length("work_id") > 0)

@@ -4,7 +4,6 @@ from oracle.model import (
     ATTACHED,
     EDGES,
     JARO,
-    JUDGED,
     OSA,
     PAIR_NAMES,
     PAIR_SCORES,
@@ -13,7 +12,6 @@ from oracle.model import (
     STAGING,
     STATUSES,
     WORKS,
-    EDGE_SCORES,
     query,
 )
 
@@ -37,7 +35,8 @@ requests as (
   from (select o_orderkey, regexp_extract_all(concat(o_orderstatus, ' ', 100000 + o_custkey, ' ; page ',
           100000 + o_orderkey, ' ', o_orderpriority), '(\d{4,})', 1) as ids from orders))"""
 
-RECENT = EDGES.replace("edges as (", "all_edges as (") + ", edges as (select * from all_edges where datestamp >= timestamp '1998-01-01')"
+RECENT = f"""{EDGES.replace("edges as (", "all_edges as (")},
+edges as (select * from all_edges where datestamp >= timestamp '1998-01-01')"""
 
 ARTICLES = """
 articles as (
@@ -109,7 +108,8 @@ SIDE_BY_SIDE = "side_by_side as (select j.threshold, " + ", ".join(
     + [f"{m}.{c} as {m}_{c}" for m in ("jw", "dl") for c in ("tp", "fp", "tn", "fn")]
 ).replace("jw.", "j.").replace("dl.", "d.") + " from jw_sweep j join dl_sweep d on j.threshold = d.threshold)"
 
-DOT = "list_reduce(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::double * {1}[i]::double), lambda t, p: t + p, 0.0::double)"
+DOT = """list_reduce(list_transform(range(1, len({0}) + 1), lambda i: {0}[i]::double * {1}[i]::double),
+                    lambda t, p: t + p, 0.0::double)"""
 
 
 def cosine(a: str, b: str) -> str:
@@ -207,7 +207,9 @@ from (select word, trim(lower(strip_accents(word))) as plain, count(*) as uses
       from (select unnest(regexp_split_to_array(text, '[ \n]')) as word from documents) group by word)
 group by plain""",
     "authors_dedup": query(
-        "select w.work_id, coalesce(n, 0)::integer as n_authors, coalesce(authors, '') as authors from works w left join author_texts using (work_id)",
+        """
+select w.work_id, coalesce(n, 0)::integer as n_authors, coalesce(authors, '') as authors
+from works w left join author_texts using (work_id)""",
         WORKS,
         AUTHOR_TEXT,
     ),
@@ -250,7 +252,9 @@ from (select doc_id, regexp_extract_all(text, '(\d{4,})', 1) as ids from documen
     ),
     "edges_since": query("select main_id, citing_id, is_xml, datestamp from edges", RECENT),
     "main_records": query(
-        "select w.work_id, trim(w.title) as title, coalesce(authors, '') as authors from works w left join author_texts using (work_id)",
+        """
+select w.work_id, trim(w.title) as title, coalesce(authors, '') as authors
+from works w left join author_texts using (work_id)""",
         WORKS,
         AUTHOR_TEXT,
     ),

@@ -20,15 +20,14 @@ select doc_id as work_id, concat(case when doc_id % 17 = 5 then 'Erratum: ' when
 AUTHORS = """
 select doc_id as work_id, i as pos, concat(get(tok,2*i),' ',get(tok,2*i+1)) as name,
   case when (doc_id+i)%3=0 then '' else substr(md5(concat(get(tok,2*i),' ',get(tok,2*i+1))),1,8) end as person_id
-from (select doc_id, split(replace(text, chr(10), ' '),' ') as tok from documents) t cross join (values (0),(1),(2),(3)) v(i)
-where i <= doc_id%4 and get(tok,2*i) is not null and get(tok,2*i+1) is not null
+from (select doc_id, split(replace(text, chr(10), ' '),' ') as tok from documents) t
+lateral view explode(array(0, 1, 2, 3)) v as i where i <= doc_id%4 and get(tok,2*i) is not null and get(tok,2*i+1) is not null
 """
 EDGES = """
 select main_id, citing_id, max(is_copy) as is_copy, max(is_xml) as is_xml, max(datestamp) as datestamp from (
-select l_orderkey % n as main_id, l_partkey % n as citing_id, 0 as is_copy,
+select l_orderkey % (select count(*) from documents) as main_id, l_partkey % (select count(*) from documents) as citing_id, 0 as is_copy,
   case when l_returnflag='R' and l_linenumber=2 and l_linestatus='F' then 1 else 0 end as is_xml, l_shipdate as datestamp
-from lineitem cross join (select count(*) as n from documents) c
-where l_linenumber <= 2 and l_shipdate >= timestamp '2001-01-01'
+from lineitem where l_linenumber <= 2 and l_shipdate >= timestamp '2001-01-01'
 union all
 select m.main_id, d.doc_id as citing_id, 1 as is_copy, 0 as is_xml, timestamp '2001-06-01 00:00:00' as datestamp
 from (select substr(text,1,60) as k, min(doc_id) as main_id from documents group by substr(text,1,60)) m

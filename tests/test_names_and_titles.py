@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 from echocite.functions import editing
 from echocite.functions.names import normalize_name, plain_name
 from echocite.functions.numbers import round4, safe_ratio
-from echocite.functions.titles import has_errata_keyword, normalize_title
-from echocite.functions.vectors import cosine, title_similarity
+from echocite.functions.titles import has_errata_keyword, normalize_title, strip
+from echocite.functions.vectors import cosine, text_similarity, title_similarity
 from echocite.operators.errata import cheap_erratum, guarded_erratum, library_erratum, scored_erratum, with_title_forms
 
 # a, b, distance, similarity, Jaro, Jaro-Winkler of the normalised names
@@ -138,11 +138,24 @@ def test_model_decides_only_what_is_left(spark):
 
 
 def test_cosine_and_title_similarity(spark):
-    rows = [("a", "b", [1.0, 0.0], [1.0, 1.0]), ("A ", "a", [1.0, 0.0], [0.0, 1.0]), ("", "b", [1.0], [1.0]), ("a", "b", None, [1.0])]
+    rows = [
+        ("a", "b", [1.0, 0.0], [1.0, 1.0]),
+        ("A\t", "a", [1.0, 0.0], [0.0, 1.0]),
+        ("", "b", [1.0], [1.0]),
+        ("a", "b", None, [1.0]),
+    ]
     df = spark.createDataFrame(rows, "t string, u string, v array<float>, w array<float>")
     cos = cosine(F.col("v"), F.col("w"))
-    found = [r[0] for r in df.select(title_similarity(F.col("t"), F.col("u"), cos)).collect()]
-    assert found == [pytest.approx(0.5**0.5), 1.0, 0.0, 0.0]
+    t, u = F.col("t"), F.col("u")
+    found = df.select(text_similarity(t, u, cos).alias("raw"), title_similarity(t, u, cos).alias("norm")).collect()
+    assert [r.raw for r in found] == [pytest.approx(0.5**0.5), 1.0, 0.0, 0.0]
+    assert [r.norm for r in found] == [pytest.approx(0.5**0.5), 0.0, 0.0, 0.0]
+
+
+def test_strip_is_that_of_python(spark):
+    texts = ["\u00a0 a b\t\n", "\x1c\u3000x\x85", " ", "", "\u200bz"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(strip(F.col("t"))).collect()] == [t.strip() for t in texts]
 
 
 def test_rounding_is_half_even_on_the_binary_value(spark):
