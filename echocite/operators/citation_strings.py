@@ -130,8 +130,10 @@ def clean(text: Column) -> Column:
 def _take(df: DataFrame, rule: tuple[str, str, int]) -> DataFrame:
     """Move what a rule finds in `row` to its field; NULL where it finds nothing."""
     field, pattern, group = rule
-    found = F.regexp_extract("row", pattern, group)
-    return df.withColumn(field, F.nullif(found, F.lit(""))).withColumn("row", F.regexp_replace("row", pattern, ""))
+    found = F.nullif(F.regexp_extract("row", pattern, group), F.lit(""))
+    # Only rows with a find are searched a second time.
+    rest = F.when(F.col(field).isNotNull(), F.regexp_replace("row", pattern, "")).otherwise(F.col("row"))
+    return df.withColumn(field, found).withColumn("row", rest)
 
 
 def _take_pages(df: DataFrame) -> DataFrame:
