@@ -1,0 +1,124 @@
+"""Near-copy groups against all pairs, on given and awkward texts."""
+
+import random
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from echocite.llm import queries, simhash
+from echocite.llm.components import components
+
+SCHEMA = "doc_id long, text string, key string, fingerprint long, bits long, n_chars long"
+
+
+def plain_simhash(text):
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    words = [w for w in low.replace("\t", " ").replace("\n", " ").replace("\x0b", " ").replace("\x0c", " ").replace("\r", " ").split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + 3]) for k in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(rows):
+    """[(id, fingerprint, smallest id reachable)] by comparing all pairs."""
+    prints = [plain_simhash(t) for _, t in rows]
+    group = list(range(len(rows)))
+    for _ in rows:
+        changed = False
+        for i, a in enumerate(prints):
+            for j, b in enumerate(prints):
+                if (a ^ b).bit_count() <= 3 and group[i] > group[j]:
+                    group[i], changed = group[j], True
+        if not changed:
+            break
+    low = {}
+    for (i, _), g in zip(rows, group):
+        if i is not None:
+            low[g] = min(low.get(g, i), i)
+    return [(i, f"{p:016x}", low.get(g)) for (i, _), p, g in zip(rows, prints, group)]
+
+
+def order(rows):
+    return sorted(rows, key=str)
+
+
+def test_given_documents(spark, sf_dir):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    mine = [tuple(r) for r in queries.op1_simhash(spark, sf_dir).select("doc_id", "fingerprint", "component_id").collect()]
+    assert order(mine) == order(plain_groups(rows))
+
+
+AWKWARD = [
+    (7, None), (3, ""), (9, " \t\n"), (4, "one"), (5, "ONE"), (6, "one two"), (8, "É é"), (10, "a b c"),
+    (11, "x " * 200_000), (12, "same words in this text here"), (12, "same words in this text here"),
+    (None, "same words in this text here"), (None, None), (None, "alone without any id"), (13, "a\x0bb\x0cc\rd"),
+]
+
+
+def test_awkward_rows_and_clashing_columns(spark):
+    data = [(i, t, "k", 1, 2, 3) for i, t in AWKWARD]
+    found = simhash.near_duplicates(spark.createDataFrame(data, SCHEMA))
+    mine = [tuple(r) for r in found.select("id", "fingerprint", "component_id").collect()]
+    assert order(mine) == order(plain_groups(AWKWARD))
+
+
+def test_one_row_of_each_group_stays(spark):
+    docs = spark.createDataFrame([(i, t, "k", 1, 2, 3) for i, t in AWKWARD], SCHEMA)
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    groups = {(g[2] if g[2] is not None else g[1]) for g in plain_groups(AWKWARD)}
+    ids = [r.doc_id for r in kept.collect()]
+    assert len(ids) == len(groups)
+    assert 3 in ids and 12 in ids and 7 not in ids and 9 not in ids and ids.count(12) == 1
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], SCHEMA)
+    assert simhash.near_duplicates(docs).collect() == []
+    assert simhash.keep_one(docs).collect() == []
+
+
+def test_planted_distances_are_linked_exactly(spark):
+    rnd = random.Random(3)
+    prints = set()
+    for _ in range(60):
+        base = rnd.getrandbits(64)
+        prints.add(base)
+        for distance in (1, 2, 3, 4, 5):
+            prints.add(base ^ sum(1 << b for b in rnd.sample(range(64), distance)))
+    prints = sorted(prints)
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    frame = spark.createDataFrame([(p,) for p in signed], "bits long")
+    links = components(simhash.linked_fingerprints(frame)).collect()
+    root = {p: p for p in signed} | {r.node: r.root for r in links}
+    group = {p: p for p in prints}
+    for _ in prints:
+        for a in prints:
+            for b in prints:
+                if (a ^ b).bit_count() <= 3:
+                    group[a] = group[b] = min(group[a], group[b])
+        if all(group[a] == group[b] for a in prints for b in prints if (a ^ b).bit_count() <= 3):
+            break
+    mine, theirs = {}, {}
+    for p, s in zip(prints, signed):
+        mine.setdefault(root[s], set()).add(p)
+        theirs.setdefault(group[p], set()).add(p)
+    assert sorted(map(sorted, mine.values())) == sorted(map(sorted, theirs.values()))
+
+
+@pytest.mark.parametrize("size", [1, 2, 17, 200])
+def test_chains_are_one_component(spark, size):
+    order_of = list(range(size + 1))
+    random.Random(size).shuffle(order_of)
+    links = spark.createDataFrame(list(zip(order_of, order_of[1:])) * 2, "a long, b long")
+    found = components(links).orderBy("node").collect()
+    assert [tuple(r) for r in found] == [(k, 0) for k in range(1, size + 1)]
+
+
+def test_links_with_null_are_ignored(spark):
+    links = spark.createDataFrame([(1, None), (None, None), (2, 2), (4, 3)], "a long, b long")
+    assert [tuple(r) for r in components(links).collect()] == [(4, 3)]
+    assert components(links.filter(F.lit(False))).count() == 0
