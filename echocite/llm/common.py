@@ -33,6 +33,12 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.coalesce(F.col(id_col).cast("long"), stand_in)
 
 
+def id_of(key: str | Column) -> Column:
+    """The id that a row key stands for; NULL for a stand-in."""
+    key = F.col(key) if isinstance(key, str) else key
+    return F.when(key < NO_ID, key)
+
+
 def tasks_for(rows: float, rows_per_task: int, spark: SparkSession) -> int:
     """Partitions of at most about `rows_per_task` rows, and no fewer than shuffles have."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(-(-rows // rows_per_task)))
