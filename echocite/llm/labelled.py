@@ -20,17 +20,17 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def training_sample(labels: DataFrame, label: str, rows: int = MAX_TRAIN, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, label, half) for at most `rows` labelled ids outside fold 0, small enough to broadcast.
+    """(doc_id, label, part) for at most `rows` labelled ids outside fold 0, small enough to broadcast.
 
     An id labelled more than once counts once, with its greatest label; labels other than 0 and 1 and missing ids are
-    left out. half is 0 or 1, by the same hash, for steps that must not see the same rows.
+    left out. part is 0 to 3, by the same hash, for steps that must not see the same rows.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     known = known.filter((fold("doc_id") != 0) & F.col("label").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id")
     known = known.orderBy(order, "doc_id").limit(rows)
-    return known.withColumn("half", F.pmod(order, F.lit(2)).cast("int"))
+    return known.withColumn("part", F.pmod(order, F.lit(4)).cast("int"))
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 50) -> np.ndarray:

@@ -3,9 +3,9 @@
 Tokens are words and word beginnings. Their log-odds between toxic and other labelled documents are shrunk by a
 Dirichlet prior in proportion to their overall frequency; those that stand out by their z-score keep their log-odds,
 all other words cost a small constant. One linear scan finds all maximal segments of a document (no part of one scores
-more than the whole, and none can be extended with profit). By extreme-value theory the best segment of n clean words
-exceeds S with probability about K n e^(-L S), so each segment counts with what L S exceeds ln(K n) by, and a logistic
-curve fitted on other labelled rows turns the sum into a score.
+more than the whole, and none can be extended with profit). By extreme-value theory n clean words have
+about E = K n e^(-L S) segments of score S or more by chance, so a segment counts with ln(1 + 1 / E), which grows as
+L S once that exceeds ln(K n), and a logistic curve fitted on other labelled rows turns the sum into a score.
 """
 
 from __future__ import annotations
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 from echocite.llm.common import fresh, small_batches, strings
 from echocite.llm.labelled import MAX_TRAIN, fit_logistic, held_out, training_sample
 
-PRIOR = 500.0  # pseudo-documents that the prior is worth
+PRIOR = 50.0  # pseudo-documents that the prior is worth
 MIN_Z = 4.0
+MIN_TOXIC = 3  # toxic documents that a token is in at least
 MAX_TOKENS = 50_000  # tokens that a model holds at most, those with the greatest z-scores
-DRIFT = 0.5  # what a word without significance costs
+DRIFT = 0.3  # what a word without significance costs
 BEGINNINGS = (6, 5, 4)
 HELD_WORDS = 300_000
 EULER = 0.5772156649015329
@@ -105,7 +106,7 @@ class Scorer:
         n, segments = self.segments(text)
         bar = self.model.log_k + math.log(max(n, 1))
         significant = [s for s in segments if self.model.rate * s[2] > bar]
-        evidence = sum(self.model.rate * s[2] - bar for s in significant)
+        evidence = sum(float(np.logaddexp(0, self.model.rate * s[2] - bar)) for s in segments)
         return n, max((s[2] for s in segments), default=0.0), evidence, significant
 
     def score(self, evidence: float) -> float:
@@ -133,6 +134,7 @@ def significant_tokens(sample: DataFrame) -> DataFrame:
     """(token, log_odds, z, share) from (text, label) rows: shrunk log-odds, and the share of other documents."""
     counted = sample.mapInArrow(_count_tokens, "token string, toxic long, other long")
     counts = counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = counts.filter(F.col("toxic") >= MIN_TOXIC)
     totals = sample.agg(F.sum("label").alias("n1"), F.count(F.lit(1)).alias("n")).first()
     n1, n0 = float(totals["n1"] or 0), float((totals["n"] or 0) - (totals["n1"] or 0))
     prior = (F.col("toxic") + F.col("other")) * (PRIOR / max(n1 + n0, 1.0))
@@ -166,17 +168,17 @@ def _rate(scores: dict[str, float], shares: dict[str, float], words: float) -> f
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MAX_TRAIN, text_col: str = "text"):
-    """A model from at most `rows` labelled documents outside the held-out fold: tokens from one half of them, the
-    extreme-value parameters and the curve from the other. Without labels of both kinds every score is the same."""
+    """A model from at most `rows` labelled documents outside the held-out fold: tokens from three quarters of
+    them, the extreme-value parameters and the curve from the rest. Without labels of both kinds every score is the same."""
     small_batches(docs.sparkSession)
     sample = F.broadcast(training_sample(labels, label, rows))  # `rows` pairs of numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(sample, "doc_id").select("text", "label", "half")
-    found = significant_tokens(texts.filter("half = 0").select("text", "label")).filter(F.col("z") >= MIN_Z)
+    texts = texts.join(sample, "doc_id").select("text", "label", "part")
+    found = significant_tokens(texts.filter("part < 3").select("text", "label")).filter(F.col("z") >= MIN_Z)
     found = found.filter(F.col("log_odds") > 0).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
     scores = {r["token"]: r["log_odds"] for r in found}
     shares = {r["token"]: r["share"] for r in found}
-    others = texts.filter("half = 1").select("text", "label")
+    others = texts.filter("part = 3").select("text", "label")
     rows_of = others.mapInArrow(_measure(Model(scores)), "words double, best double, evidence double, label int")
     seen = np.array([tuple(r) for r in rows_of.collect()], float).reshape(-1, 4)
     clean = seen[seen[:, 3] == 0]
