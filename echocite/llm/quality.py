@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echocite.llm.common import small_batches, strings
-from echocite.llm.labelled import MAX_TRAIN, held_out, training_sample
+from echocite.llm.labelled import MAX_TRAIN, fit_logistic, held_out, training_sample
 from echocite.session import settle
 
 PAIRS_PER_POOR = 24  # good documents that each poor one of the sample is compared with
@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     small_batches(docs.sparkSession)
     sample = F.broadcast(training_sample(labels, label, rows))  # `rows` pairs of numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(sample, "doc_id")
-    coded = texts.select("doc_id", "text", (F.col("label") + 2 * F.col("half")).cast("int").alias("label"))
+    coded = texts.select("doc_id", "text", (F.col("label") + 2 * (F.col("part") % 2)).cast("int").alias("label"))
     found = sorted(tuple(r) for r in coded.mapInArrow(_features, "doc_id long, label int, x array<double>").collect())
     width = len(FEATURES)
     x = np.array([r[2] for r in found], float).reshape(-1, width)
@@ -165,8 +165,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int
     s, y = s[order], y[order]
     poor_below, good_below = np.cumsum(y == 0) / max((y == 0).sum(), 1), np.cumsum(y == 1) / max((y == 1).sum(), 1)
     best = int(np.argmax(poor_below - good_below))
-    spread = max(float(np.quantile(s, 0.9) - np.quantile(s, 0.1)), 1e-6)
-    return Model(mean, scale, weights, (best + 1) / len(s), 4 / spread)
+    centred = (s - s[best]) / max(float(s.std()), 1e-6)
+    slope = max(float(fit_logistic(np.stack([centred, np.ones(len(s))], axis=1), y)[0]), 0.1)
+    return Model(mean, scale, weights, (best + 1) / len(s), slope / max(float(s.std()), 1e-6))
 
 
 def _strengths(model: Model):
