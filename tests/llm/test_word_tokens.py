@@ -1,0 +1,133 @@
+"""Ids and decoded texts equal to the library's, with and without a lexicon."""
+
+import hashlib
+import json
+import random
+import struct
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from echocite.llm import queries, word_tokens
+from echocite.llm.lexicon import Lexicon, build
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, n_tokens string, word string, n long, token_ids string"
+
+
+@pytest.fixture(scope="module")
+def library():
+    return Tokenizer.from_file(PATH)
+
+
+def digests(library, text):
+    ids = library.encode(text or "", add_special_tokens=False).ids
+    text = library.decode(ids, skip_special_tokens=False)
+    return len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_given_documents(spark, sf_dir, library):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    mine = {r.doc_id: tuple(r)[1:] for r in queries.op4_bpe(spark, sf_dir).collect()}
+    assert mine == {r.doc_id: digests(library, r.text) for r in docs}
+
+
+AWKWARD = [None, "", " \n", "a", "<|endoftext|> x", "Σίσυφος İ", "é", "x\x1cy", "中文 字", "don't I'LL 've", "a" * 5000, "w " * 50_000]
+
+
+def test_awkward_rows_and_clashing_columns(spark, library):
+    docs = [(k, t, "n", "w", 1, "t") for k, t in enumerate([*AWKWARD, *AWKWARD])] + [(None, "no id", "n", "w", 1, "t")]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    mine = sorted((tuple(r) for r in word_tokens.encode_digests(frame).collect()), key=str)
+    assert mine == sorted(((d[0], *digests(library, d[1])) for d in docs), key=str)
+    coded = word_tokens.encode(frame)
+    assert coded.columns == [*frame.columns, "_token_ids"]
+    back = word_tokens.decode(coded, "_token_ids").select("doc_id", "text", "decoded").collect()
+    for r in back:
+        ids = library.encode(r.text or "", add_special_tokens=False).ids
+        assert r.decoded == library.decode(ids, skip_special_tokens=False)
+
+
+def test_empty_table(spark):
+    assert word_tokens.encode_digests(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_any_text(library):
+    rnd = random.Random(2)
+    letters = [*" \n\t!-'9", "  ", "a", "The", "É", "ß", "²", "Ⅷ", "\x1c", " ", "🙂", "ĳ", "ŉ", "ª", "µ", "­", "½", "ʼ", "×", "'s", "Å"]
+    tokens = word_tokens.WordTokens(PATH)
+    for _ in range(4000):
+        text = "".join(rnd.choice(letters) for _ in range(rnd.randint(0, 9)))
+        ids = library.encode(text, add_special_tokens=False).ids
+        data, decoded = tokens.encode(text)
+        assert np.frombuffer(data, "<u4").tolist() == ids, text
+        assert decoded == library.decode(ids, skip_special_tokens=False), text
+
+
+def plain_ids(model, ranks, word):
+    """The pair of lowest rank is merged, everywhere in the word, until no pair has a rank."""
+    letters = word_tokens.byte_letters()
+    parts = [letters[b] for b in word]
+    parts[-1] += "</w>"
+    while len(parts) > 1:
+        best = min(zip(parts, parts[1:]), key=lambda pair: ranks.get(pair, len(ranks)))
+        if best not in ranks:
+            break
+        made, k = [], 0
+        while k < len(parts):
+            both = k + 1 < len(parts) and (parts[k], parts[k + 1]) == best
+            made.append(parts[k] + parts[k + 1] if both else parts[k])
+            k += 2 if both else 1
+        parts = made
+    return [model["vocab"][p] for p in parts]
+
+
+def test_merges_equal_the_plain_ones():
+    with open(PATH, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    ranks = {tuple(m.split(" ")) if isinstance(m, str) else tuple(m): k for k, m in enumerate(model["merges"])}
+    merges, rnd = word_tokens.Merges(PATH), random.Random(6)
+    pieces = [t.removesuffix("</w>") for t in model["vocab"]]
+    bytes_of = {c: b for b, c in word_tokens.byte_letters().items()}
+    for k in range(20_000):
+        if k % 2:
+            word = "".join(rnd.choice("etaoinshrdlucmfwypvbgkjqxzéèüöñß") for _ in range(rnd.randint(1, 20))).encode()
+        else:
+            word = bytes(bytes_of[c] for c in "".join(rnd.choice(pieces) for _ in range(rnd.randint(1, 3))))
+        if word and b"\0" not in word:
+            assert merges.ids(word) == plain_ids(model, ranks, word), word
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij", "aé中"])
+def test_lexicon_holds_exactly_its_words(tmp_path, letters):
+    rnd = random.Random(len(letters))
+    words = {"".join(rnd.choice(letters) for _ in range(rnd.randint(0, 8))).encode() for _ in range(800)}
+    ids = {w: [rnd.randrange(1 << 20) for _ in range(rnd.randint(0, 4))] for w in words}
+    path = tmp_path / "lexicon.bin"
+    path.write_bytes(build(ids))
+    held = Lexicon(str(path))
+    assert all(held.get(w) == ids[w] for w in words)
+    for _ in range(2000):
+        word = "".join(rnd.choice(letters + "z") for _ in range(rnd.randint(0, 9))).encode()
+        assert held.get(word) == ids.get(word)
+
+
+def test_the_automaton_is_minimal():
+    rnd = random.Random(4)
+    words = {f"{rnd.choice('bcdfg')}{rnd.choice('lmn')}{end}".encode() for end in ("ation", "ing", "ingly", "") for _ in range(9)}
+    prefixes = {w[:k] for w in words for k in range(len(w) + 1)}
+    endings = {frozenset(w[len(p) :] for w in words if w.startswith(p)) for p in prefixes}
+    states = struct.unpack_from("<4s4I", build({w: [1] for w in words}))[1]
+    assert states == len(endings)
+
+
+def test_a_lexicon_does_not_change_ids(tmp_path, library):
+    texts = ["The cat sat on the mat, again and again.", "unseen wörds ünd Zahlen 123"]
+    merges = word_tokens.Merges(PATH)
+    path = tmp_path / "lexicon.bin"
+    path.write_bytes(build({w: merges.ids(w) for w in (b"the", b"again", b"cat", b"on")}))
+    with_file, without = word_tokens.WordTokens(PATH, str(path)), word_tokens.WordTokens(PATH)
+    for text in texts:
+        assert with_file.encode(text) == without.encode(text)
