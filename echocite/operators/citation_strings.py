@@ -193,10 +193,11 @@ def split_fields(
     )
     ignored = F.col("row").isin(*excluded) if excluded else F.lit(False)
     left_over = F.when(~ignored, F.col("row"))
-    return rows.select(
-        *kept,
+    result = F.struct(
         F.to_json(F.struct(*FIELDS)).alias("data"),
         text,
         F.coalesce("_error", F.when(left_over.isNotNull(), UNHANDLED)).alias("errorCode"),
         left_over.alias("unhandledInput"),
     )
+    # Generated, not projected: a filter on the result must not be pushed through the rules, each of which would repeat it.
+    return rows.select(*kept, F.inline(F.array(result)))

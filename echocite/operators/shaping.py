@@ -1,7 +1,7 @@
 """From a harvested record to identifier, title, authors and self-citation flags.
 
-Everything here is a column expression over one record's own nested fields, so shaping
-is a narrow job: no shuffle, however many records or authors there are.
+Everything here is a column expression over one record's own nested fields or its text, so
+shaping is a narrow job: no shuffle, however many records or authors there are.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echocite.functions.titles import strip
+from echocite.operators.raw import record_facts_of
 
 # Roles that count as authorship.
 AUTHOR_ROLES = ["author", "author_corporation"]
@@ -43,8 +44,8 @@ def live_records(records: DataFrame) -> DataFrame:
 
 
 def since(records: DataFrame, from_date: str, datestamp: str = "datestamp") -> DataFrame:
-    """Inclusive lower bound on the record date."""
-    return records.filter(F.col(datestamp) >= F.lit(from_date).cast("timestamp"))
+    """Inclusive lower bound on the record date; records without a readable date are kept."""
+    return records.filter(F.col(datestamp).isNull() | (F.col(datestamp) >= F.lit(from_date).cast("timestamp")))
 
 
 def _flat(arrays: Column) -> Column:
@@ -52,45 +53,11 @@ def _flat(arrays: Column) -> Column:
     return F.flatten(F.filter(arrays, lambda a: a.isNotNull()))
 
 
-def _persons_of(bonds: Column) -> Column:
-    return _flat(F.transform(bonds, lambda bond: bond["rec_person"]))
-
-
 def full_name(last: Column, first: Column, label: Column) -> Column:
     """`last first` when there is a last name, otherwise the label."""
     return F.when(last != "", strip(F.concat(last, F.lit(" "), first))).otherwise(label)
 
 
-def _person_entry(person: Column) -> Column:
-    name = full_name(last_text(person["lastname"]), last_text(person["firstname"]), last_text(person["labelname"]))
-    return F.struct(text_of(person["_id"]).alias("id"), name.alias("name"))
-
-
-def record_persons(biblio: Column, depth: int = 2) -> Column:
-    """(id, name) of every identified and named person of a record, bonded records included.
-
-    Direct persons of every role come first, then those of bonded records, level by level.
-    """
-    found = [_persons_of(biblio["cross_biblio_person"])]
-    level = _flat(F.transform(biblio["cross_biblio_biblio"], lambda bond: bond["rec_biblio"]))
-    for remaining in range(depth, 0, -1):
-        found.append(_flat(F.transform(level, lambda r: _persons_of(r["cross_biblio_person"]))))
-        if remaining > 1:
-            bonds = _flat(F.transform(level, lambda r: r["cross_biblio_biblio"]))
-            level = _flat(F.transform(bonds, lambda bond: bond["rec_biblio"]))
-    known = [F.coalesce(persons, F.array()) for persons in found]
-    entries = F.transform(F.concat(*known), _person_entry)
-    return F.filter(entries, lambda p: (p["id"] != "") & (p["name"] != ""))
-
-
-def longest_name(persons: Column, person_id: Column) -> Column:
-    """The longest name an id has in the record, the first one among equally long; '' if none."""
-    same = F.filter(persons, lambda p: p["id"] == person_id)
-    return F.aggregate(
-        same, F.lit(""), lambda best, p: F.when(F.length(p["name"]) > F.length(best), p["name"]).otherwise(best)
-    )
-
-
 def person_index(entries: DataFrame, keys: list[str], name: str, order: list[str]) -> DataFrame:
     """The same rule over a flat table: longest name per `keys`, the first by `order` among equally long.
 
@@ -117,12 +84,13 @@ def drop_repeated_authors(df: DataFrame, column: str = "authors") -> DataFrame:
     return df.withColumn("_keys", keys).withColumn(column, first).drop("_keys")
 
 
-def with_authors(df: DataFrame, biblio: Column, depth: int = 2) -> DataFrame:
+def with_authors(df: DataFrame, biblio: Column) -> DataFrame:
     """Add the `authors` of each record.
 
     A bond may hold several persons: the last one gives the id, and each name part comes
     from the last person that states it. A name is built from last and first name, or is
-    the label, or is looked up by id among the record's persons; unnamed ones are dropped.
+    the label, or is looked up by id among all persons that the record's text (`record_xml`)
+    states at any depth; unnamed ones are dropped.
     """
     bonds = F.filter(F.coalesce(biblio["cross_biblio_person"], F.array()), lambda b: b["_role"].isin(AUTHOR_ROLES))
 
@@ -135,16 +103,15 @@ def with_authors(df: DataFrame, biblio: Column, depth: int = 2) -> DataFrame:
         return F.struct(full_name(last, first, label).alias("name"), person_id.alias("id"))
 
     def looked_up(author: Column) -> Column:
-        name = F.when(author["name"] != "", author["name"]).otherwise(longest_name(F.col("_persons"), author["id"]))
-        return F.struct(name.alias("name"), author["id"].alias("id"))
+        known = F.coalesce(F.try_element_at("_persons", author["id"]), F.lit(""))
+        return F.struct(F.when(author["name"] != "", author["name"]).otherwise(known).alias("name"), author["id"].alias("id"))
 
-    # The record's persons are collected only where an identified author lacks a name; as a
-    # column of their own, they are collected once for all authors of the record.
+    # The text is read for persons only where an identified author lacks a name, once for all authors of the record.
     unnamed = F.exists("_stated", lambda a: (a["name"] == "") & (a["id"] != ""))
-    staged = df.withColumn("_stated", F.transform(bonds, stated)).withColumn(
-        "_persons", F.when(unnamed, record_persons(biblio, depth))
-    )
-    named = F.when(F.size("_persons") > 0, F.transform("_stated", looked_up)).otherwise(F.col("_stated"))
+    staged = df.withColumn("_stated", F.transform(bonds, stated))
+    facts = record_facts_of(F.when(unnamed, F.col("record_xml")))["persons"]
+    staged = staged.select("*", F.explode(F.array(facts)).alias("_persons"))
+    named = F.when(F.col("_persons").isNotNull(), F.transform("_stated", looked_up)).otherwise(F.col("_stated"))
     listed = staged.withColumn("authors", F.filter(named, lambda a: a["name"] != ""))
     return drop_repeated_authors(listed.drop("_stated", "_persons"))
 
@@ -160,49 +127,59 @@ def flagged_targets(biblio: Column) -> Column:
     return F.coalesce(_flagged_targets(biblio["cross_biblio_biblio"]), F.array())
 
 
-def flagged_targets_anywhere(biblios: Column, depth: int = 2) -> Column:
-    """Loose form: self-citation bonds of all records of the entry, bonded records included."""
-    bonds = _flat(F.transform(biblios, lambda r: r["cross_biblio_biblio"]))
-    found = [_flagged_targets(bonds)]
-    for _ in range(depth - 1):
-        level = _flat(F.transform(bonds, lambda b: b["rec_biblio"]))
-        bonds = _flat(F.transform(level, lambda r: r["cross_biblio_biblio"]))
-        found.append(_flagged_targets(bonds))
-    return F.flatten(F.array(*[F.coalesce(f, F.array()) for f in found]))
-
-
 def _biblio_path(wrapper: str) -> str:
     return f"metadata.{wrapper}.rec_biblio" if wrapper else "metadata.rec_biblio"
 
 
-def shape_citations(
-    records: DataFrame, target: str, depth: int = 2, wrapper: str = "xml", loose: bool = False
-) -> DataFrame:
-    """Citing records of `target` (a column of `records`): id, title, authors, flag, date."""
+def shape_citations(records: DataFrame, target: str, wrapper: str = "xml", loose: bool = False) -> DataFrame:
+    """Citing records of `target` (a column of `records`): id, title, authors, flag, date.
+
+    The flag's strict form looks at self-citation bonds that are direct children of the first record; `loose` looks
+    at those of all records of the entry, at any depth. A stamp that is no date is NULL.
+    """
     biblios = F.col(_biblio_path(wrapper))
     biblio, main = F.get(biblios, F.lit(0)), strip(F.col(target).cast("string"))
-    targets = flagged_targets_anywhere(biblios, depth) if loose else flagged_targets(biblio)
-    return with_authors(live_records(records), biblio, depth).select(
+    targets = record_facts_of(F.col("record_xml"))["flagged"] if loose else flagged_targets(biblio)
+    return with_authors(live_records(records), biblio).select(
         main.alias("main_id"),
         citing_id(F.get(F.col("header.identifier"), F.lit(0))).alias("citing_id"),
-        F.to_timestamp("header.datestamp").alias("datestamp"),
+        F.try_to_timestamp("header.datestamp").alias("datestamp"),
         text_of(F.get(biblio["title"], F.lit(0))["_VALUE"]).alias("title"),
         "authors",
         F.coalesce(F.array_contains(targets, main), F.lit(False)).alias("is_xml"),
     )
 
 
-def shape_works(records: DataFrame, depth: int = 2, wrapper: str = "xml") -> DataFrame:
-    """Main records: id, title, authors. An entry without a record is absent."""
+def shape_works(records: DataFrame, wrapper: str = "xml") -> DataFrame:
+    """Main records: id, title, authors, date. An entry without a record is absent."""
     biblio = F.get(F.col(_biblio_path(wrapper)), F.lit(0))
     stated_id = citing_id(F.get(F.col("header.identifier"), F.lit(0)))
-    return with_authors(records.filter(biblio.isNotNull()), biblio, depth).select(
+    return with_authors(records.filter(biblio.isNotNull()), biblio).select(
         F.coalesce(stated_id, text_of(biblio["_id"])).alias("work_id"),
         text_of(F.get(biblio["title"], F.lit(0))["_VALUE"]).alias("title"),
         "authors",
+        F.try_to_timestamp("header.datestamp").alias("datestamp"),
     )
 
 
+def _newest(rows: DataFrame, keys: list[str], others: list) -> DataFrame:
+    """One row for each key: title and authors of the newest, undated ones last, and then the greatest title."""
+    stamp = F.col("datestamp") if "datestamp" in rows.columns else F.lit(None).cast("timestamp")
+    best = F.max(F.struct(stamp.alias("datestamp"), "title", "authors")).alias("best")
+    return rows.groupBy(*keys).agg(best, *others)
+
+
+def newest_works(works: DataFrame) -> DataFrame:
+    """`works` with one row for each work_id, however often it was harvested. Other columns are left out."""
+    return _newest(works, ["work_id"], []).select("work_id", "best.title", "best.authors")
+
+
+def merge_citations(citations: DataFrame) -> DataFrame:
+    """Citations of overlapping harvests as one row for each pair: flagged if any is, as new as the newest."""
+    merged = _newest(citations, ["main_id", "citing_id"], [F.max("is_xml").alias("is_xml")])
+    return merged.select("main_id", "citing_id", "best.datestamp", "best.title", "best.authors", "is_xml")
+
+
 def coerce_authors(authors: Column) -> Column:
     """Author structs from a list of variants: objects, or bare values taken as a name."""
 

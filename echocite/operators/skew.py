@@ -2,25 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from echocite.session import fits_broadcast, settle
 
-HOT_KEYS = 1000  # at most this many keys are salted, so their list may be broadcast
 ROWS_PER_SALT = 500_000  # fact rows of one key that one task should see
+LEAST_SHARE = 10_000  # a key with less than one in so many of all rows isn't hot, so there are at most so many hot keys
+NULL_SALTS = 1000  # NULL keys match nothing, so their rows are dealt out over so many salts
 
 
-def hot_keys(facts: DataFrame, key: str, rows_per_salt: int, limit: int = HOT_KEYS) -> DataFrame:
-    """(key, salts) for the most frequent keys of `facts` with more rows than one task should take.
+def hot_keys(facts: DataFrame, key: str, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """(key, salts) for every key of `facts` with more rows than one task should take, written once.
 
-    A key outside the first 1000 holds under a thousandth of the rows. The count is
-    combined map-side, and it reads the key column only. Which keys are salted never
+    The bound is `rows_per_salt` or a ten-thousandth of all rows, whichever is more, so the list is short whatever
+    the size of `facts`. The count is combined map-side and reads the key column only. Which keys are salted never
     changes a join's result, only how its rows are spread.
     """
-    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > rows_per_salt)
-    top = counts.orderBy(F.desc("rows"), key).limit(limit)
-    return top.select(key, F.ceil(F.col("rows") / rows_per_salt).cast("int").alias("salts"))
+    counts = facts.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+    seen = Observation()
+    counts = counts.observe(seen, F.sum("rows").alias("total")).filter(F.col("rows") > rows_per_salt)
+    counts = settle(counts, "hot-keys")  # both sides of a join must see the same salts, whatever is computed again
+    least = max(rows_per_salt, (seen.get["total"] or 0) // LEAST_SHARE)
+    hot = counts.filter((F.col("rows") > least) & F.col(key).isNotNull())
+    return hot.select(key, F.ceil(F.col("rows") / least).cast("int").alias("salts"))
 
 
 def copy_per_salt(records: DataFrame, hot: DataFrame, key: str, salt: str) -> DataFrame:
@@ -38,37 +43,42 @@ def join_records(
 ) -> DataFrame:
     """Join `facts` with each (records, key, how) in turn; every key is a column of both.
 
-    `how` is inner, left, left_semi or left_anti. Records that Spark estimates within its
-    broadcast threshold are broadcast, so no fact row moves. For larger ones the hot keys
-    of `facts` are counted first; with none it is Spark's own join, otherwise the join is
-    on (key, salt). All keys are counted before the first join, so no join is repeated for
-    it. `salted` overrides the size check: True always looks for hot keys, False never.
+    `how` is inner, left, left_semi or left_anti. Where Spark estimates the records within its broadcast threshold the
+    join is left to Spark. For larger ones the facts are written once, the hot keys are counted from there, and the
+    join is on (key, salt); with no hot key it is Spark's own join. The salt is a hash of the row's other columns, so
+    a row computed again gets the same one; rows that have none are counted and joined once. All keys are counted
+    before the first join, so no join is repeated for it. `salted` overrides the size check: True always looks for
+    hot keys, False never.
     """
-    others = {key: [F.col(c) for c in facts.columns if c != key and not _nested(facts, c)] for _, key, _ in records}
-    plans = []
-    spread = facts
-    for position, (table, key, how) in enumerate(records):
+    for _, _, how in records:
         if how not in ("inner", "left", "left_semi", "left_anti"):
             raise ValueError(f"a {how} join would repeat salted records")
-        if salted is None and fits_broadcast(table):
-            plans.append((F.broadcast(table), [key], how))
-            continue
-        # Written once: both sides must see the same salts, whatever is computed again.
-        hot = settle(hot_keys(facts, key, rows_per_salt), "hot-keys") if salted is not False else None
+    large = [salted is True or salted is None and not fits_broadcast(table) for table, _, _ in records]
+    if len(facts.columns) == 1 and any(large):
+        n = "_n" if facts.columns[0] != "_n" else "__n"
+        unique = facts.groupBy(*facts.columns).agg(F.count(F.lit(1)).alias(n))
+        joined = join_records(unique, records, rows_per_salt, False)
+        return joined.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).drop(n)
+    if any(large) and salted is None:
+        facts = settle(facts, "facts")
+    plans = []
+    spread = facts
+    for position, ((table, key, how), salt_it) in enumerate(zip(records, large)):
+        hot = hot_keys(facts, key, rows_per_salt) if salt_it else None
         if hot is None or hot.isEmpty():
             plans.append((table, [key], how))
             continue
         salt = f"_salt{position}"
-        # A NULL key matches nothing under any salt, so such rows are dealt out as well.
-        salts = F.when(F.col(key).isNull(), HOT_KEYS).otherwise(F.coalesce("salts", F.lit(1)))
-        number = F.pmod(F.xxhash64(*(others[key] or [F.monotonically_increasing_id()])), salts)
+        salts = F.when(F.col(key).isNull(), NULL_SALTS).otherwise(F.coalesce("salts", F.lit(1)))
+        others = [F.col(c) for c in facts.columns if c != key and _hashable(facts, c)]
         joined = spread.join(F.broadcast(hot), key, "left")
-        spread = joined.withColumn(salt, number.cast("int")).drop("salts")
+        spread = joined.withColumn(salt, F.pmod(F.xxhash64(*others), salts).cast("int")).drop("salts")
         plans.append((copy_per_salt(table, hot, key, salt), [key, salt], how))
     for table, keys, how in plans:
         spread = spread.join(table, keys, how).drop(*keys[1:])
     return spread
 
 
-def _nested(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() in ("array", "map", "struct", "variant")
+def _hashable(df: DataFrame, name: str) -> bool:
+    text = df.schema[name].dataType.simpleString()
+    return "map<" not in text and "variant" not in text

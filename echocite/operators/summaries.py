@@ -1,8 +1,7 @@
 """Per-article and per-run totals.
 
 A report nests all citations of an article in one value; here counts and detail rows are
-two tables, because one article may hold a third of all citations. `in_parts` nests rows
-for export in pieces of bounded size.
+two tables, because one article may hold a third of all citations.
 """
 
 from __future__ import annotations
@@ -12,13 +11,10 @@ from pyspark.sql import functions as F
 
 from echocite.operators.skew import join_records
 from echocite.operators.status import AUTOCITATION, ERRATUM
-from echocite.session import settle
 
 # Fixed value: the message for an article that cannot be processed.
 UNAVAILABLE = "Záznam nenájdený alebo bez autorov"
 
-ROWS_PER_PART = 1000
-
 
 def usable_works(works: DataFrame) -> DataFrame:
     """Works that can be a main article of a detection: they have an author."""
@@ -71,8 +67,15 @@ def answer_requests(requests: DataFrame, summary: DataFrame) -> DataFrame:
     return joined.withColumn("error", error).withColumnRenamed("work_id", "main_id").drop("_found")
 
 
+def as_often_as_asked(rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """`rows` of main articles, each as often as its article is requested; judged once, repeated here."""
+    asked = requests.groupBy(F.col("work_id").alias("main_id")).agg(F.count(F.lit(1)).alias("_times"))
+    joined = join_records(rows, [(asked, "main_id", "inner")])
+    return joined.select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("col")
+
+
 def run_totals(requests: DataFrame, staging: DataFrame) -> DataFrame:
-    """Requests, repeats included, and rows queued for confirmation, as one row."""
+    """Requests and rows queued for confirmation, repeats included in both, as one row."""
     queued = staging.agg(_count_where(F.col("type") == AUTOCITATION)).scalar()
     return requests.agg(F.count(F.lit(1)).alias("total_requests")).withColumn("autocitations_queued", queued)
 
@@ -80,19 +83,3 @@ def run_totals(requests: DataFrame, staging: DataFrame) -> DataFrame:
 def detected_entries(staging: DataFrame) -> DataFrame:
     return staging.filter(F.col("type").isin(ERRATUM, AUTOCITATION))
 
-
-def in_parts(rows: DataFrame, key: str, entry: list[str], rows_per_part: int = ROWS_PER_PART) -> DataFrame:
-    """Nest `entry` columns of `rows` per key, in parts of about `rows_per_part`.
-
-    The part is a hash of the row, so the parts of a hot key are built by as many tasks as
-    it needs and no task holds all of it. Entries are sorted within a part. Rows are
-    counted before they are nested, so they are written once and read from there.
-    """
-    settled = settle(rows.select(key, *entry), "entries")
-    counts = settled.groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-    parts = counts.select(key, F.ceil(F.col("rows") / rows_per_part).cast("int").alias("parts"))
-    numbered = join_records(settled, [(parts, key, "inner")]).withColumn(
-        "part", F.pmod(F.xxhash64(*entry), F.col("parts")).cast("int")
-    )
-    nested = F.array_sort(F.collect_list(F.struct(*entry)))
-    return numbered.groupBy(key, "part", "parts").agg(nested.alias("entries"))

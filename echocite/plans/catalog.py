@@ -14,14 +14,14 @@ from echocite.functions.vectors import cosine, dot, with_norm
 from echocite.operators import citation_strings as strings
 from echocite.operators import evaluation, raw, status, summaries
 from echocite.operators.authors import AUTHOR_THRESHOLD, author_scores, compare
-from echocite.operators.errata import cheap_erratum, guarded_erratum, library_erratum
-from echocite.operators.shaping import citing_id, person_index, shape_citations, shape_works, since
+from echocite.operators.errata import TITLE_THRESHOLD, cheap_erratum, guarded_erratum, library_erratum
+from echocite.operators.shaping import citing_id, merge_citations, person_index, shape_citations, shape_works, since
 from echocite.operators.skew import join_records
 from echocite.plans import dataset, detect, experiments
 from echocite.session import scratch_path, settle, spread_scan
 from echocite.sources import harvest, labelled, pagegraph, runlog, sinks
 from echocite.sources.pagegraph import table
-from echocite.sources.requests import request_ids
+from echocite.sources.requests import read_ids, request_ids
 from echocite.streaming import incremental
 
 SINCE = "1998-01-01"
@@ -242,6 +242,70 @@ def citing_records(spark, sf_dir):
     )
 
 
+def _faulty(spark, sf_dir) -> DataFrame:
+    """(set, xml) of every edge in two overlapping harvests: flagged edges are deleted records, those of January have
+    no date, those of February none at all, and the second harvest repeats the first under a newer title."""
+    works, edges = pagegraph.works(spark, sf_dir), pagegraph.edges(spark, sf_dir)
+    titles = works.select(F.col("work_id").alias("citing_id"), "title")
+    rows = join_records(edges, [(titles, "citing_id", "inner")])
+    month, day = F.month("datestamp"), F.date_format("datestamp", "yyyy-MM-dd")
+
+    def harvest_of(stamp: Column, mark: str) -> DataFrame:
+        status_text = F.when(F.col("is_xml"), ' status="deleted"').otherwise("")
+        stamped = F.when(month == 1, "<datestamp>2025-13-45</datestamp>").when(month == 2, "")
+        stamped = stamped.otherwise(F.concat(F.lit("<datestamp>"), stamp, F.lit("</datestamp>")))
+        xml = F.concat(
+            F.lit("<record><header"), status_text, F.lit("><identifier>oai:example:biblio/"), F.col("citing_id"),
+            F.lit("</identifier>"), stamped, F.lit('</header><metadata><xml><rec_biblio id="'), F.col("citing_id"),
+            F.lit('"><title>'), _xml_text(F.col("title")), F.lit(f"{mark}</title></rec_biblio></xml></metadata></record>"),
+        )
+        return rows.select(F.col("main_id").alias("set"), xml.alias("xml"))
+
+    return harvest_of(F.lit("1990-01-01"), "").unionByName(harvest_of(day, " II"))
+
+
+@query
+def harvest_faults(spark, sf_dir):
+    """Citations from overlapping harvests with deleted, undated and misdated records, merged, from a date on."""
+    shaped = shape_citations(harvest.parse_records(_faulty(spark, sf_dir)), "set")
+    return since(merge_citations(shaped), SINCE).select("main_id", "citing_id", "datestamp", "title")
+
+
+@query
+def deep_records(spark, sf_dir):
+    """Authors named, and self-citations marked, five records deep and on a path of their own.
+
+    Every page is a record whose identified authors have no names of their own. Their last names are stated by an
+    editor of the record, their full names within bonds five levels deep, and an equally long name, in capitals, comes
+    after that below an element that is no bond. The deepest bond is marked as a self-citation of the page itself.
+    """
+    works = pagegraph.works(spark, sf_dir)
+    authors = F.filter("authors", lambda a: a["id"] != "")
+    bare = F.concat_ws("", F.transform(authors, lambda a: _bond_xml(a, "author", False)))
+    full = F.concat_ws("", F.transform(authors, lambda a: _bond_xml(a, "editor", True)))
+    loud = lambda a: F.struct(F.upper(a["name"]).alias("name"), a["id"].alias("id"))
+    late = F.concat_ws("", F.transform(authors, lambda a: _person_xml(loud(a), True)))
+    deep = full
+    for level in range(5):
+        mark = "true" if level == 0 else "false"
+        target = F.concat(F.lit('<n:rec_biblio id="'), F.col("work_id") if level == 0 else F.lit(""), F.lit('">'))
+        deep = F.concat(
+            F.lit(f"<n:cross_biblio_biblio><autocitation>{mark}</autocitation>"), target, deep,
+            F.lit("</n:rec_biblio></n:cross_biblio_biblio>"),
+        )
+    xml = F.concat(
+        F.lit("<record><header><identifier>oai:example:biblio/"), F.col("work_id"), F.lit("</identifier></header>"),
+        F.lit('<metadata><xml xmlns:n="urn:records"><n:rec_biblio id="'), F.col("work_id"), F.lit('"><title>'),
+        _xml_text(F.col("title")), F.lit("</title>"), bare, deep, F.lit("<n:note>"), late, F.lit("</n:note>"),
+        F.lit(RECORD_TAIL),
+    )
+    records = harvest.parse_records(works.select(F.col("work_id").alias("set"), xml.alias("xml")))
+    strict, loose = (shape_citations(records, "set", loose=loose) for loose in (False, True))
+    flags = loose.select("citing_id", F.col("is_xml").alias("loose"))
+    shaped = strict.select("citing_id", author_text(F.col("authors")).alias("authors"), F.col("is_xml").alias("strict"))
+    return shaped.join(flags, "citing_id")
+
+
 @query
 def raw_export(spark, sf_dir):
     """Requested mains with their raw record as nested JSON, an error object where there is none."""
@@ -259,16 +323,19 @@ def raw_export(spark, sf_dir):
 
 @query
 def raw_export_citations(spark, sf_dir):
-    """Citing records of every main as nested JSON, in parts of bounded size."""
+    """Citing records of every main as nested JSON, a row each."""
     written = _record_xml(pagegraph.works(spark, sf_dir))
     records = raw.as_json(
         written.select(F.col("work_id").alias("record_id"), F.concat("head", F.lit(RECORD_TAIL)).alias("xml"))
     )
     exported = raw.export_citations(pagegraph.edges(spark, sf_dir), records)
-    nested = summaries.in_parts(exported, "main_id", ["citing_id", "full_record"])
-    title = lambda e: F.from_json(e["full_record"], "title struct<value:string>")["title"]["value"]
-    return nested.select(
-        "main_id", "part", F.size("entries").alias("n_entries"), joined(F.transform("entries", title)).alias("titles")
+    fields = F.from_json("full_record", "id string, title struct<lang:string,value:string>")
+    return exported.select(
+        "main_id",
+        "citing_id",
+        fields["id"].alias("id"),
+        fields["title"]["value"].alias("title"),
+        fields["title"]["lang"].alias("lang"),
     )
 
 
@@ -377,6 +444,35 @@ def edge_status_full(spark, sf_dir):
     )
 
 
+def _judged_by_vector(spark, sf_dir, cut: float, **options) -> DataFrame:
+    works = _works_with_vectors(spark, sf_dir).drop("label", "site")
+    return detect.judge_edges(pagegraph.edges(spark, sf_dir), works, title_threshold=cut, **options)
+
+
+@query
+def edge_status_by_vector(spark, sf_dir):
+    """Status of every edge of a usable main, titles compared by vector as well, at two cuts."""
+    rows = [
+        status.full_status(_judged_by_vector(spark, sf_dir, cut)).select(
+            F.lit(cut).alias("cut"), "main_id", "citing_id", "status", "score", joined("matched_authors").alias("matches")
+        )
+        for cut in (VECTOR_CUT, TITLE_THRESHOLD)
+    ]
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def work_queue_by_vector(spark, sf_dir):
+    """The work queue where errata are found by vector as well."""
+    return status.work_queue(status.detected_status(_judged_by_vector(spark, sf_dir, VECTOR_CUT, skip_flagged=True)))
+
+
+@query
+def article_summary_by_vector(spark, sf_dir):
+    rows = status.full_status(_judged_by_vector(spark, sf_dir, VECTOR_CUT))
+    return summaries.per_article(pagegraph.works(spark, sf_dir), summaries.count_full(rows))
+
+
 @query
 def harvested_status(spark, sf_dir):
     """From harvested XML to the status of every citation."""
@@ -387,14 +483,14 @@ def harvested_status(spark, sf_dir):
 
 @query
 def incremental_status(spark, sf_dir):
-    """Statuses from a stream: edges arrive in two deliveries, later ones first, and are judged as they come."""
+    """Statuses from a stream: edges and works arrive in two deliveries, so some edges come before their works."""
     inbox, out, state = (scratch_path(spark, name) for name in ("edges", "judged", "state"))
     works, edges = pagegraph.works(spark, sf_dir), pagegraph.edges(spark, sf_dir)
     since(edges, SINCE).write.parquet(inbox)
-    incremental.judge_new_edges(works, inbox, out, state).awaitTermination()
+    incremental.judge_new_edges(works.filter(F.col("title") < "M"), inbox, out, state).awaitTermination()
     edges.write.mode("append").parquet(inbox)
     incremental.judge_new_edges(works, inbox, out, state).awaitTermination()
-    return spark.read.parquet(out).select("main_id", "citing_id", "status", "score")
+    return incremental.judged(spark, out).select("main_id", "citing_id", "status", "score")
 
 
 @query
@@ -424,12 +520,9 @@ def article_summary_detected(spark, sf_dir):
 
 @query
 def article_entries(spark, sf_dir):
-    """Detected entries nested per article, in parts of bounded size."""
+    """Detected entries of every article, a row each."""
     staging = status.detected_status(_judged(spark, sf_dir, skip_flagged=True))
-    entries = summaries.detected_entries(staging)
-    nested = summaries.in_parts(entries, "main_id", ["citing_id", "type", "citing_title", "matches"])
-    listed = F.transform("entries", lambda e: F.concat_ws("|", e["citing_id"], e["type"], e["citing_title"], e["matches"]))
-    return nested.select("main_id", "part", joined(listed).alias("entries"))
+    return summaries.detected_entries(staging).select("main_id", "citing_id", "type", "citing_title", "matches")
 
 
 def _requests(spark, sf_dir) -> DataFrame:
@@ -456,7 +549,29 @@ def run_totals(spark, sf_dir):
     requests = _requests(spark, sf_dir)
     edges = detect.requested_edges(pagegraph.edges(spark, sf_dir), requests)
     judged = detect.judge_edges(edges, pagegraph.works(spark, sf_dir), skip_flagged=True)
-    return summaries.run_totals(requests, status.detected_status(judged))
+    return summaries.run_totals(requests, summaries.as_often_as_asked(status.detected_status(judged), requests))
+
+
+@query
+def requested_queue(spark, sf_dir):
+    """The work queue of a run, written to its file and read back; articles asked for twice are in it twice."""
+    path = scratch_path(spark, "queue")
+    requests = _requests(spark, sf_dir)
+    edges = detect.requested_edges(pagegraph.edges(spark, sf_dir), requests)
+    judged = detect.judge_edges(edges, pagegraph.works(spark, sf_dir), skip_flagged=True)
+    staging = summaries.as_often_as_asked(status.detected_status(judged), requests)
+    sinks.write_work_queue(status.work_queue(staging), path)
+    return spark.read.options(**sinks.CSV_OPTIONS).csv(path)
+
+
+@query
+def ids_from_file(spark, sf_dir):
+    """Customers' article numbers, written one a line with blank lines between, and read back as requests."""
+    path = scratch_path(spark, "ids")
+    number = F.concat(F.lit(" "), (F.col("c_custkey") + pagegraph.FIRST_ID).cast("string"), F.lit(" "))
+    lines = table(spark, sf_dir, "customer").select(F.explode(F.array(number, F.lit("  "))).alias("value"))
+    lines.write.text(path)
+    return read_ids(spark, path)
 
 
 @query
@@ -555,6 +670,26 @@ def sweep_methods(spark, sf_dir):
     return experiments.method_sweep(experiments.score_records(_annotated(spark, sf_dir)))
 
 
+@query
+def sweep_file(spark, sf_dir):
+    """The single sweep, written to its file and read back: thresholds and counts."""
+    path = scratch_path(spark, "sweep")
+    sinks.write_sweep(sweep_dl(spark, sf_dir), path)
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    names = {header: column for column, header in sinks.SWEEP_HEADER.items()}
+    return rows.select(*[F.col(f"`{h}`").alias(names[h]) for h in names if names[h] not in evaluation.METRICS])
+
+
+@query
+def experiment_files(spark, sf_dir):
+    """All experiments run and written; the models' matrices and numbers of errors read back from their files."""
+    out = scratch_path(spark, "experiments")
+    experiments.run_experiments(_model_records(spark, sf_dir, authors=True), _models(), out, VECTOR_CUT)
+    models = spark.read.json(f"{out}/errata_model_comparison").select(F.col("model_name").alias("model"), "confusion_matrix.*")
+    errors = spark.read.json(f"{out}/errata_errors").groupBy("model").agg(F.count(F.lit(1)).alias("errors"))
+    return models.join(errors, "model", "left").select("model", "tp", "fp", "tn", "fn", "errors")
+
+
 @query
 def best_threshold(spark, sf_dir):
     """The sweep's row with the highest F1, the lowest threshold among equals."""
@@ -566,17 +701,23 @@ def method_winner(spark, sf_dir):
     return evaluation.method_winner(sweep_methods(spark, sf_dir))
 
 
-# Three models of the same titles: all 64 numbers of a vector, its first and its last 32.
-MODEL_SLICES = {"all": (1, 64), "first": (1, 32), "last": (33, 32)}
+def _model_slices(vector: str) -> dict[str, Column]:
+    """Three models of the same titles: the whole vector, its first half, and the rest."""
+    size = F.size(vector)
+    half = F.floor(size / 2).cast("int")
+    return {"all": F.col(vector), "first": F.slice(vector, F.lit(1), half), "last": F.slice(vector, half + 1, size - half)}
+
+
+MODEL_NAMES = ("all", "first", "last")
 
 
-def _model_records(spark, sf_dir) -> DataFrame:
+def _model_records(spark, sf_dir, authors: bool = False) -> DataFrame:
     """Labelled records with the vectors of both titles in every model."""
     vectors = table(spark, sf_dir, "embeddings").select(
         pagegraph.work_id(F.col("vec_id")).alias("work_id"),
-        *[F.slice("embedding", *part).alias(f"{model}_vector") for model, part in MODEL_SLICES.items()],
+        *[part.alias(f"{model}_vector") for model, part in _model_slices("embedding").items()],
     )
-    for model in MODEL_SLICES:
+    for model in MODEL_NAMES:
         vectors = with_norm(vectors, f"{model}_vector", f"{model}_norm")
     fields = [c for c in vectors.columns if c != "work_id"]
 
@@ -584,14 +725,15 @@ def _model_records(spark, sf_dir) -> DataFrame:
         return vectors.select(F.col("work_id").alias(key), *[F.col(c).alias(f"{prefix}_{c}") for c in fields])
 
     sides = [(side("main_id", "main"), "main_id", "left"), (side("id", "citing"), "id", "left")]
-    return join_records(_annotated(spark, sf_dir).drop("main_authors", "citing_authors"), sides)
+    records = _annotated(spark, sf_dir)
+    return join_records(records if authors else records.drop("main_authors", "citing_authors"), sides)
 
 
 def _models() -> dict[str, Column]:
     def cos(model: str) -> Column:
         return cosine(*[F.col(f"{side}_{model}_{part}") for part in ("vector", "norm") for side in ("citing", "main")])
 
-    return {model: cos(model) for model in MODEL_SLICES}
+    return {model: cos(model) for model in MODEL_NAMES}
 
 
 def _model_rows(spark, sf_dir) -> DataFrame:
@@ -618,8 +760,8 @@ def best_model(spark, sf_dir):
 # Citation strings
 
 
-def _citation_strings(spark, sf_dir) -> DataFrame:
-    """A citation string for every order line."""
+def _citation_strings(spark, sf_dir, *others: str) -> DataFrame:
+    """A citation string for every order line, with `others` of its columns."""
     extra = (
         F.when(F.col("l_returnflag") == "R", " na CD")
         .when(F.col("l_returnflag") == "A", F.concat(F.lit(" Dostupné na internete http://example.org/"), "l_orderkey"))
@@ -640,7 +782,7 @@ def _citation_strings(spark, sf_dir) -> DataFrame:
         extra,
     )
     rows = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("inputString")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.alias("inputString"), *others
     )
     return spread_scan(rows)
 
@@ -663,3 +805,14 @@ def citation_string_clean(spark, sf_dir):
 def citation_fields(spark, sf_dir):
     """Fields, remainder and status of every citation string."""
     return strings.split_fields(_citation_strings(spark, sf_dir), excluded=["1"])
+
+
+@query
+def citation_errors(spark, sf_dir):
+    """Citation strings with an error: a remainder, or an earlier code; a remainder that is excluded is none."""
+    rows = _citation_strings(spark, sf_dir, "l_quantity", "l_discount")
+    more = F.when(F.col("l_quantity") > 45, " x7y").when(F.col("l_quantity") < 5, " x9z").otherwise("")
+    rows = rows.withColumn("inputString", F.concat("inputString", more))
+    rows = rows.withColumn("earlier", F.when(F.col("l_discount") >= 0.1, 7)).drop("l_quantity", "l_discount")
+    split = strings.split_fields(rows, excluded=["x9z"], error="earlier")
+    return split.filter(F.col("errorCode").isNotNull()).drop("data", "inputString")

@@ -108,7 +108,9 @@ def judge(
     flagged = flag_errata(attached, title_threshold)
     decided = F.col("is_erratum") | F.col("is_xml") if skip_flagged else F.col("is_erratum")
     mains, citing = F.col("main_authors"), F.col("citing_authors")
-    scored = flagged.withColumn("scores", compare(author_scores(author_threshold), mains, citing, unless=decided))
+    # Generated, not projected: a filter on what follows then stays above the scoring in place of repeating it.
+    scores = compare(author_scores(author_threshold), mains, citing, unless=decided)
+    scored = flagged.select("*", F.explode(F.array(scores)).alias("scores"))
     return scored.select(
         "main_id",
         "citing_id",

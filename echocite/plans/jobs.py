@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from echocite.operators import raw, status, summaries
 from echocite.operators.authors import AUTHOR_THRESHOLD
+from echocite.operators.shaping import merge_citations, newest_works
 from echocite.operators.skew import join_records
 from echocite.plans import dataset, detect
 from echocite.session import settle
@@ -26,7 +27,7 @@ def detect_full(
     Writes `details` (a row per citation), `articles` (a row per request, errors
     included), and adds the run to `run_log`.
     """
-    chosen = detect.requested_edges(citations, requests)
+    chosen, works = merge_citations(detect.requested_edges(citations, requests)), newest_works(works)
     rows = settle(status.full_status(detect.judge_citations(chosen, works, from_date)), "statuses")
     answers = settle(
         summaries.answer_requests(requests, summaries.per_article(works, summaries.count_full(rows))), "answers"
@@ -45,18 +46,17 @@ def detect_only(
 ) -> None:
     """Errata and self-citations not yet flagged.
 
-    Writes `entries` (nested per article, in parts), `articles`, `queue` (self-citations to
+    Writes `entries` (a row each), `articles`, `queue` (self-citations to
     confirm) and `totals`. Unusable mains are left out, and no run is logged.
     """
-    chosen = detect.requested_edges(citations, requests)
+    chosen, works = merge_citations(detect.requested_edges(citations, requests)), newest_works(works)
     judged = settle(detect.judge_citations(chosen, works, from_date, skip_flagged=True), "judged")
-    staging = status.detected_status(judged)
+    staging = summaries.as_often_as_asked(status.detected_status(judged), requests)
     counts = summaries.count_detected(judged, AUTHOR_THRESHOLD)
     asked = requests.select(F.col("work_id").alias("main_id")).distinct()
     articles = summaries.per_article(works, counts).join(asked, "main_id", "left_semi")
     entries = summaries.detected_entries(staging)
-    fields = ["citing_id", "type", "citing_title", "matches"]
-    sinks.write_json(summaries.in_parts(entries, "main_id", fields), f"{out}/entries")
+    sinks.write_json(entries.select("main_id", "citing_id", "type", "citing_title", "matches"), f"{out}/entries")
     sinks.write_json(articles, f"{out}/articles")
     sinks.write_work_queue(status.work_queue(staging), f"{out}/queue")
     sinks.write_json(summaries.run_totals(requests, staging), f"{out}/totals")
@@ -75,12 +75,11 @@ def build_dataset(
 
 
 def export_raw(requests: DataFrame, citations: DataFrame, raw_records: DataFrame, out: str) -> None:
-    """Raw records of the requested `mains`, and of their `citations` nested in parts."""
+    """Raw records of the requested `mains`, and of their `citations`, a row each."""
     records = settle(raw.as_json(raw_records), "records")
     chosen = detect.requested_edges(citations, requests)
     sinks.write_json(raw.export_mains(requests, records), f"{out}/mains")
-    nested = summaries.in_parts(raw.export_citations(chosen, records), "main_id", ["citing_id", "full_record"])
-    sinks.write_json(nested, f"{out}/citations")
+    sinks.write_json(raw.export_citations(chosen, records), f"{out}/citations")
 
 
 def edges_of(citations: DataFrame) -> DataFrame:

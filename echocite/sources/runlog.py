@@ -18,8 +18,8 @@ def append_run(summary: DataFrame, path: str, run_ts: Column | None = None) -> N
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """All runs so far; none where there is no log yet, damaged files are passed over."""
-    reader = spark.read.schema(RUN_LOG).option("ignoreCorruptFiles", "true")
+    """All runs so far; none where there is no log yet. A damaged file is an error, not a run less."""
+    reader = spark.read.schema(RUN_LOG)
     try:
         return reader.parquet(path)
     except AnalysisException as problem:

@@ -2,7 +2,8 @@
 
 The lower date bound of a harvest is what makes it incremental; as a stream, the files
 seen so far are that bound. Each micro-batch is judged as in a batch run and written to a
-folder of its own, so a batch repeated after a failure replaces itself.
+folder of its own, so a batch repeated after a failure replaces itself. Edges whose works
+are not there yet wait beside it and are tried again with the next batch.
 """
 
 from __future__ import annotations
@@ -12,37 +13,61 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from echocite.operators.skew import join_records
 from echocite.operators.status import full_status
+from echocite.operators.summaries import usable_works
 from echocite.plans.detect import judge_edges
 from echocite.schemas import EDGE
 
+BUCKETS = 32  # that pairs are dealt to; a batch reads only the buckets it touches
 
-def _already_judged(spark: SparkSession, out: str, batch: int) -> DataFrame | None:
-    """Edges that earlier batches wrote; None before the first one."""
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        written = spark.read.parquet(out)
+        return spark.read.parquet(path)
     except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
+        if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
-    return written.filter(F.col("batch") < batch).select("main_id", "citing_id")
+
+
+def judged(spark: SparkSession, out: str) -> DataFrame:
+    """The statuses that all batches wrote."""
+    return spark.read.parquet(f"{out}/judged")
+
+
+def waiting(spark: SparkSession, out: str, batch: int) -> DataFrame | None:
+    """The edges that were left waiting after a batch."""
+    return _read(spark, f"{out}/waiting/batch={batch}")
 
 
 def judge_new_edges(works: DataFrame, edge_dir: str, out: str, checkpoint: str) -> StreamingQuery:
-    """Judge the edge files that arrived since the last call, then stop.
+    """Judge the edge files that arrived since the last call, and edges that waited for their works, then stop.
 
-    An edge harvested again is not judged again. `works` is read anew for every batch.
+    An edge harvested again is not judged again. `works` is read anew for every batch. A batch looks at earlier
+    results only in the hash buckets that its own pairs fall in.
     """
     spark = works.sparkSession
+    pair = ["main_id", "citing_id"]
 
     def judge(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy("main_id", "citing_id").agg(
-            F.max("is_xml").alias("is_xml"), F.max("datestamp").alias("datestamp")
-        )
-        earlier = _already_judged(spark, out, number)
+        held = waiting(spark, out, number - 1)
+        edges = batch if held is None else batch.unionByName(held.select(batch.columns))
+        fresh = edges.groupBy(*pair).agg(F.max("is_xml").alias("is_xml"), F.max("datestamp").alias("datestamp"))
+        bucket = F.pmod(F.xxhash64(*pair), F.lit(BUCKETS)).cast("int")
+        fresh = fresh.withColumn("bucket", bucket)
+        earlier = _read(spark, f"{out}/judged")
         if earlier is not None:
-            fresh = fresh.join(earlier, ["main_id", "citing_id"], "left_anti")
-        full_status(judge_edges(fresh, works)).write.mode("overwrite").parquet(f"{out}/batch={number}")
+            touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # BUCKETS numbers at most
+            earlier = earlier.filter(F.col("bucket").isin(touched) & (F.col("batch") < number))
+            fresh = fresh.join(earlier.select("bucket", *pair), ["bucket", *pair], "left_anti")
+        usable = usable_works(works).select(F.col("work_id").alias("main_id")).distinct()
+        known = works.select(F.col("work_id").alias("citing_id")).distinct()
+        ready = join_records(fresh, [(usable, "main_id", "left_semi"), (known, "citing_id", "left_semi")])
+        left = fresh.join(ready.select(*pair), pair, "left_anti").drop("bucket")
+        left.write.mode("overwrite").parquet(f"{out}/waiting/batch={number}")
+        rows = full_status(judge_edges(ready.drop("bucket"), works)).withColumn("bucket", bucket)
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{out}/judged/batch={number}")
 
     stream = spark.readStream.schema(EDGE).parquet(edge_dir)
     writer = stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)

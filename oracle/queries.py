@@ -116,6 +116,16 @@ def cosine(a: str, b: str) -> str:
     return f"{DOT.format(a, b)} / (sqrt({DOT.format(a, a)}) * sqrt({DOT.format(b, b)}))"
 
 
+def by_vector(cut: float) -> str:
+    """Edges whose erratum test looks at the titles' vectors as well."""
+    return f"""
+by_title as (select * from plain_attached),
+attached as (
+  select a.* exclude (guarded), guarded or (citing_title <> '' and main_title <> '' and citing_norm <> '' and main_norm <> ''
+    and coalesce({cosine('m.embedding', 'c.embedding')}, 0.0::double) >= {cut}::double) as guarded
+  from by_title a left join vectors m on a.main_id = m.work_id left join vectors c on a.citing_id = c.work_id)"""
+
+
 VECTORS = "vectors as (select cast(100000 + vec_id as varchar) as work_id, embedding from embeddings)"
 
 MODELS = f"""
@@ -123,8 +133,8 @@ model_scores as (
   select a.main_id, a.citing_id as id, a.true_label = 'ERRATUM' as truth, model, ord,
          a.keyword or a.citing_norm = a.main_norm as sure,
          case ord when 0 then {cosine('m.embedding', 'c.embedding')}
-                  when 1 then {cosine('m.embedding[1:32]', 'c.embedding[1:32]')}
-                  else {cosine('m.embedding[33:64]', 'c.embedding[33:64]')} end as cos
+                  when 1 then {cosine('m.embedding[1:len(m.embedding)//2]', 'c.embedding[1:len(c.embedding)//2]')}
+                  else {cosine('m.embedding[len(m.embedding)//2+1:]', 'c.embedding[len(c.embedding)//2+1:]')} end as cos
   from annotated a left join vectors m on a.main_id = m.work_id left join vectors c on a.citing_id = c.work_id,
        (values (0, 'all'), (1, 'first'), (2, 'last')) v(ord, model)
   where a.true_label in ('ERRATUM', 'NOT_AUTOCITATION')),
@@ -137,6 +147,22 @@ model_matrix as (
            count(*) filter (where not truth and not pred) as tn, count(*) filter (where truth and not pred) as fn
     from model_rows group by ord, model)))"""
 
+PLAIN_ATTACHED = ATTACHED.replace("attached as (", "plain_attached as (")
+SCORED_BY_VECTOR = tuple(
+    part for p in SCORED for part in ((PLAIN_ATTACHED, VECTORS, by_vector(0.6)) if p is ATTACHED else (p,))
+)
+AT_TWO_CUTS = (
+    *SCORED_BY_VECTOR,
+    STATUSES,
+    by_vector(0.9).replace("by_title as", "by_title_90 as").replace("from by_title a", "from by_title_90 a")
+    .replace("attached as (\n  select a.*", "attached_90 as (\n  select a.*"),
+    """
+judged_90 as (
+  select a.*, coalesce(s.best, 0.0::double) as score, coalesce(s.matches, '') as matches
+  from attached_90 a left join edge_scores s using (main_id, citing_id) where a.main_n > 0)""",
+    STATUSES.replace("statuses as (", "statuses_90 as (").replace("from judged)", "from judged_90)"),
+)
+
 MODELLED = (WORKS, RECENT, ATTACHED, LABELS, VECTORS, MODELS)
 
 CITATION_STRINGS = """
@@ -276,11 +302,28 @@ from (select distinct work_id from requests) r left join works w using (work_id)
     ),
     "raw_export_citations": query(
         """
-select e.main_id, 0 as part, count(*)::integer as n_entries, string_agg(trim(w.title), '; ' order by e.citing_id) as titles
-from edges e join works w on e.citing_id = w.work_id group by e.main_id""",
+select e.main_id, e.citing_id, e.citing_id as id, trim(w.title) as title, 'und' as lang
+from edges e join works w on e.citing_id = w.work_id""",
         WORKS,
         EDGES,
     ),
+    "harvest_faults": query(
+        """
+select main_id, citing_id, case when month(datestamp) > 2 then datestamp::timestamp end as datestamp,
+       trim(concat(title, ' II')) as title
+from edges e join works w on e.citing_id = w.work_id
+where not is_xml and (month(datestamp) <= 2 or datestamp >= timestamp '1998-01-01')""",
+        WORKS,
+        EDGES,
+    ),
+    "deep_records": query(
+        """
+select w.work_id as citing_id, coalesce(t.authors, '') as authors, false as strict, true as loose
+from works w left join (
+  select work_id, string_agg(concat(name, '|', id), '; ' order by pos) as authors
+  from authors where id <> '' group by work_id) t using (work_id)""",
+        WORKS,
+    ),
     "errata_tests": query("select main_id, citing_id, cheap, guarded from attached", WORKS, EDGES, ATTACHED),
     "errata_by_vector": query(
         f"""
@@ -316,6 +359,21 @@ from edges e left join best_both s using (main_id, citing_id)""",
     ),
     "edge_matches": query("select main_id, citing_id, matches from judged where not guarded", *SCORED),
     "edge_status_full": query(f"select {STATUS_COLUMNS} from statuses", *SCORED, STATUSES),
+    "edge_status_by_vector": query(
+        """
+select cut, main_id, citing_id, status, case when not guarded then score end as score,
+       case when not guarded then matches end as matches
+from (select 0.6::double as cut, * from statuses union all by name select 0.9::double as cut, * from statuses_90)""",
+        *AT_TWO_CUTS,
+    ),
+    "work_queue_by_vector": query(
+        """
+select main_id as "mainArticleId", main_title as "mainArticleTitle", citing_id as "citingId",
+       citing_title as "citingTitle", matches from staging where type = 'AUTOCITATION'""",
+        *SCORED_BY_VECTOR,
+        STAGING,
+    ),
+    "article_summary_by_vector": query("select * from articles", *SCORED_BY_VECTOR, STATUSES, ARTICLES),
     "harvested_status": query(
         """
 select main_id, citing_id, status, case when not guarded then score end as score,
@@ -355,9 +413,8 @@ where t.n_authors > 0""",
     ),
     "article_entries": query(
         """
-select main_id, 0 as part, string_agg(concat_ws('|', citing_id, type, citing_title, case when guarded then '' else matches end),
-                                      '; ' order by citing_id) as entries
-from staging where type in ('ERRATUM', 'AUTOCITATION') group by main_id""",
+select main_id, citing_id, type, citing_title, case when guarded then '' else matches end as matches
+from staging where type in ('ERRATUM', 'AUTOCITATION')""",
         *SCORED,
         STAGING,
     ),
@@ -383,11 +440,27 @@ from requests r left join titled t on r.work_id = t.work_id and t.n_authors > 0
     "run_totals": query(
         """
 select (select count(*) from requests) as total_requests,
-       (select count(*) from staging where type = 'AUTOCITATION' and main_id in (select work_id from requests)) as autocitations_queued""",
+       (select count(*) from staging s join requests r on s.main_id = r.work_id where type = 'AUTOCITATION') as autocitations_queued""",
         *SCORED,
         STAGING,
         REQUESTS,
     ),
+    "requested_queue": query(
+        """
+select main_id as "mainArticleId", main_title as "mainArticleTitle", citing_id as "citingId",
+       citing_title as "citingTitle", matches
+from staging s join requests r on s.main_id = r.work_id where type = 'AUTOCITATION'""",
+        *SCORED,
+        STAGING,
+        REQUESTS,
+    ),
+    "ids_from_file": "select cast(100000 + c_custkey as varchar) as work_id from customer",
+    "sweep_file": query("select threshold, tp, fp, tn, fn from dl_sweep", *EVALUATED, swept("dl_sweep", "dl_score")),
+    "experiment_files": query(
+        """
+select model, tp, fp, tn, fn, nullif(fp + fn, 0) as errors from model_matrix""",
+        *MODELLED,
+    ),
     "run_log_append": query(
         """
 select timestamp '2026-01-01 08:00:00' as run_ts, main_id, main_title, total_processed, autocitations_found from articles
@@ -485,4 +558,9 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey, data, echoed as "inputStr
         CLEANED,
         FIELDS,
     ),
+    "citation_errors": """
+select l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       case when l_discount >= 0.1 then 7 else 10001 end::integer as "errorCode",
+       case when l_quantity > 45 then 'x7y' end as "unhandledInput"
+from lineitem where l_discount >= 0.1 or l_quantity > 45""",
 }

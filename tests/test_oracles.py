@@ -4,7 +4,9 @@ import collections
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from echocite.plans.catalog import CATALOG
+from oracle.queries import ORACLES
 from tools.compare import connect, rows_of
 
 
@@ -18,13 +20,13 @@ def db(sf_dir):
 
 
 def test_every_query_has_an_oracle():
-    assert set(queries()) == set(oracle_sql())
+    assert set(CATALOG) == set(ORACLES)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(CATALOG))
 def test_query_equals_sql(spark, db, sf_dir, name):
-    df = queries()[name](spark, sf_dir)
-    cursor = db.execute(oracle_sql()[name])
+    df = CATALOG[name](spark, sf_dir)
+    cursor = db.execute(ORACLES[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(columns) == sorted(df.columns)
     theirs = rows_of(columns, cursor.fetchall())

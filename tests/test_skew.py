@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from echocite.operators.skew import copy_per_salt, hot_keys, join_records
-from echocite.operators.summaries import in_parts
 from echocite.session import fits_broadcast, shared_dir
 from tests.test_oracles import rows
 
@@ -64,18 +63,46 @@ def test_without_hot_keys_the_join_is_plain(facts, records):
     assert rows(plan) == rows(facts.join(records, "key"))
 
 
-def test_number_of_salted_keys_is_bounded(spark):
-    many = spark.range(5000).select((F.col("id") % 1000).cast("string").alias("key"))
-    assert hot_keys(many, "key", 1, limit=7).count() == 7
+def test_every_hot_key_is_salted(spark):
+    many = spark.range(12_000).select((F.col("id") % 3000).cast("string").alias("key"))
+    assert hot_keys(many, "key", 3).count() == 3000
+    assert hot_keys(many, "key", 4).count() == 0
 
 
-def test_parts_hold_every_row_once(facts):
-    nested = in_parts(facts, "key", ["id"], rows_per_part=100)
-    sizes = nested.select("key", "parts", F.size("entries").alias("n")).collect()
-    assert {r.parts for r in sizes if r.key == "hot"} == {20}
-    assert max(r.n for r in sizes) < 200
-    flat = nested.select("key", F.explode("entries.id").alias("id"))
-    assert rows(flat) == rows(facts)
+def test_rows_with_a_key_only_are_joined_once_and_kept(spark, facts, records):
+    keys = facts.select("key")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain = keys.join(records, "key", how)
+        assert rows(join_records(keys, [(records, "key", how)], rows_per_salt=10, salted=True)) == rows(plain)
+
+
+def test_salts_do_not_depend_on_where_a_row_is_computed(spark, facts, records):
+    tagged = facts.join(records, "key", "left")
+    join = [(records.withColumnRenamed("tags", "more"), "key", "inner")]
+    for parts in (1, 7):
+        salted = join_records(tagged.repartition(parts), join, rows_per_salt=50, salted=True)
+        assert "monotonically" not in salted._jdf.queryExecution().optimizedPlan().toString()
+        assert rows(salted) == rows(tagged.join(*join[0]))
+
+
+def test_facts_are_computed_once(spark, facts, records):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        costly = facts.withColumn("id", counted(F.col("id")))
+        other = records.select(F.col("key").alias("id2"), F.col("tags").alias("tags2"))
+        wide = costly.withColumn("id2", F.lit("k1"))
+        join_records(wide, [(records, "key", "inner"), (other, "id2", "left")], rows_per_salt=100).collect()
+        assert seen.value == facts.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
 def test_own_folder_only_for_a_local_master(spark):
