@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
+import tiktoken
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,35 +45,31 @@ def byte_letters() -> dict[int, str]:
 
 
 class Merges:
-    """Exact ids of one word: the pair of lowest rank is merged until no pair has a rank."""
+    """Exact ids of one word: the pair of lowest rank is merged until no pair has a rank.
+
+    A merge's result is numbered after all earlier ones, so a library that merges bytes by the rank of the result does
+    the same; the word's end is a byte of its own, which merges with the letter before it first of all.
+    """
+
+    END = b"\0"  # stands for the end of a word, and so can't be in one
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
+        vocab, end = model["vocab"], model["end_of_word_suffix"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.ranks = {pair: k for k, pair in enumerate(pairs)}
-        self.vocab, self.end = model["vocab"], model["end_of_word_suffix"]
-        self.letters = byte_letters()
-        self.texts = {i: t for t, i in self.vocab.items()}
+        if any(vocab[a + b] != 512 + k for k, (a, b) in enumerate(pairs)):
+            raise ValueError(f"{path}: ids are not in the order of merges")
+        bytes_of = {letter: b for b, letter in byte_letters().items()}
+        ranks = {}
+        for text, number in vocab.items():
+            letters = text.removesuffix(end)
+            ranks[bytes(bytes_of[c] for c in letters) + (self.END if letters != text else b"")] = number
+        self.merged = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})
+        self.texts = {number: text for text, number in vocab.items()}
 
     def ids(self, word: bytes) -> list[int]:
-        parts = [self.letters[b] for b in word]
-        parts[-1] += self.end
-        ranks, none = self.ranks, len(self.ranks)
-        while len(parts) > 1:
-            best = min((ranks.get(pair, none) for pair in zip(parts, parts[1:])), default=none)
-            if best == none:
-                break
-            made, k = [], 0
-            while k < len(parts):
-                if k + 1 < len(parts) and ranks.get((parts[k], parts[k + 1])) == best:
-                    made.append(parts[k] + parts[k + 1])
-                    k += 2
-                else:
-                    made.append(parts[k])
-                    k += 1
-            parts = made
-        return [self.vocab[p] for p in parts if p in self.vocab]
+        return self.merged._encode_single_piece(word + self.END)
 
 
 class _Chunks(dict):
