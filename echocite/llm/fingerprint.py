@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from echocite.llm.common import row_key
 
-SAMPLES = 64
+SAMPLES = 32
 LEVELS = 1024  # steps of the gamma quantiles
 BLOCK_ROWS = 50_000
 BLANKS = " \t\n\x0b\x0c\r"
@@ -41,7 +41,7 @@ def _sample(term: Column, log_weight: Column, number: int, gamma: Column, log_ga
     r = F.get(gamma, h.bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
     log_c = F.get(log_gamma, F.shiftright(h, 10).bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
     b = F.shiftrightunsigned(h, 24).cast("double") / float(1 << 40)
-    t = F.floor(log_weight / r + b)
+    t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
     score = log_c - r * (t.cast("double") - b) - r
     whole = ((score + SCORE_SHIFT) * SCORE_SCALE).cast("long")
     return F.shiftleft(whole, 32).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(LOW)))
