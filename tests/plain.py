@@ -5,8 +5,20 @@ from functools import lru_cache
 
 
 def plain_name(name):
-    decomposed = unicodedata.normalize("NFKD", name)
-    return "".join(c for c in decomposed if not unicodedata.combining(c)).lower().strip()
+    """Letter by letter: a letter with a spelling of its own is spelt out, and marks are left out."""
+    out = []
+
+    def spell(letter):
+        parts = [p for p in unicodedata.decomposition(letter).split() if not p.startswith("<")]
+        if parts:
+            for part in parts:
+                spell(chr(int(part, 16)))
+        elif not unicodedata.category(letter).startswith("M"):
+            out.append(letter)
+
+    for letter in name:
+        spell(letter)
+    return "".join(out).lower().strip()
 
 
 def osa(a, b):
