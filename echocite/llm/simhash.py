@@ -109,7 +109,13 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     rows = distinct.count() * (len(_EVEN_FLIPS) + len(_FLIPS_1)) / 2
     tasks = tasks_for(rows, VARIANTS_PER_TASK, spark)
     made = distinct.select("bits").repartition(tasks, "bits").mapInArrow(_variants, "variant long, bits long")
-    return made.repartition(tasks, "variant").mapInArrow(_meetings, "a long, b long")
+    # Equal variants agree in both numbers, so they meet. Flips of the lower half leave the first one as it is and
+    # reach few of the sixteen values of the second, so rows of one fingerprint lie together and compress well.
+    folded = F.col("variant")
+    for k in (16, 8, 4):
+        folded = folded.bitwiseXOR(F.shiftrightunsigned(folded, k))
+    meet = [F.shiftrightunsigned("variant", 32), folded.bitwiseAND(F.lit(15))]
+    return made.repartition(tasks, *meet).mapInArrow(_meetings, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
