@@ -3,7 +3,9 @@
 Two fingerprints within 3 bits meet at a variant that is at most 1 flip from one and 2 flips from the other. Every
 fingerprint emits its variants within one flip. Variants with two flips are needed only for a distance of exactly 3,
 where one fingerprint has an even and the other an odd number of ones, so the even ones emit them; and of any three
-positions two lie in the same half of the word, so pairs within a half are enough. Rows are shuffled on the variant.
+positions two lie in the same half of the word, so pairs within a half are enough. Rows are shuffled on the variant:
+on the half that two flips leave alone, so those of one fingerprint lie together and compress well. Variants of at most
+one flip go by either half, and one side of every link is such a variant, so they meet in any case.
 """
 
 from __future__ import annotations
@@ -26,11 +28,13 @@ SHINGLE = 3
 SEED = 42
 BLOCK = 65536  # shingles whose bits are counted at a time
 VARIANTS_PER_TASK = 1_000_000
+VARIANT = ["place", "variant", "bits"]
 
-_ONE = np.uint64(1) << np.arange(64, dtype=np.uint64)
-_FLIPS_1 = np.concatenate([np.zeros(1, np.uint64), _ONE])
-_FLIPS_2 = np.array([1 << i | 1 << j for h in (0, 32) for i, j in combinations(range(h, h + 32), 2)], np.uint64)
-_EVEN_FLIPS = np.concatenate([_FLIPS_1, _FLIPS_2])
+_FLIPS_1 = np.array([0, *(1 << i for i in range(64))], np.uint64)
+_FLIPS_2 = [np.array([1 << i | 1 << j for i, j in combinations(range(h, h + 32), 2)], np.uint64) for h in (0, 32)]
+_ODD = [_FLIPS_1, _FLIPS_1]  # to be shuffled on the upper half, and on the lower one
+_EVEN = [np.concatenate([_FLIPS_1, two]) for two in _FLIPS_2]
+_ROWS = sum(map(len, _ODD + _EVEN)) / 2  # that a fingerprint emits on average
 
 
 def simhash(text: bytes, shingle: int = SHINGLE) -> int:
@@ -58,15 +62,21 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(place, variant, bits). The place is a half of the variant and, to part large groups, parities of the other."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             held = batch.column(0).slice(at, 256).to_numpy(zero_copy_only=False).view(np.uint64)
             even = np.bitwise_count(held) % 2 == 0
-            for own, flips in ((held[even], _EVEN_FLIPS), (held[~even], _FLIPS_1)):
-                if len(own):
-                    made = (own[:, None] ^ flips[None, :]).ravel().view(np.int64)
-                    by = np.repeat(own, len(flips)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(made), pa.array(by)], ["variant", "bits"])
+            for own, sides in ((held[even], _EVEN), (held[~even], _ODD)):
+                for side, flips in enumerate(sides if len(own) else []):
+                    made = (own[:, None] ^ flips[None, :]).ravel()
+                    halves = made >> np.uint64(32), made & np.uint64(0xFFFFFFFF)
+                    other = halves[1 - side].copy()
+                    for shift in (16, 8, 4):
+                        other ^= other >> np.uint64(shift)
+                    place = halves[side] << np.uint64(5) | np.uint64(side << 4) | other & np.uint64(15)
+                    columns = (place, made, np.repeat(own, len(flips)))
+                    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], VARIANT)
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,17 +115,10 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     """(a, b) links that connect all fingerprints (column bits, distinct, settled) within 3 bits of each other."""
-    spark = distinct.sparkSession
-    rows = distinct.count() * (len(_EVEN_FLIPS) + len(_FLIPS_1)) / 2
-    tasks = tasks_for(rows, VARIANTS_PER_TASK, spark)
-    made = distinct.select("bits").repartition(tasks, "bits").mapInArrow(_variants, "variant long, bits long")
-    # Equal variants agree in both numbers, so they meet. Flips of the lower half leave the first one as it is and
-    # reach few of the sixteen values of the second, so rows of one fingerprint lie together and compress well.
-    folded = F.col("variant")
-    for k in (16, 8, 4):
-        folded = folded.bitwiseXOR(F.shiftrightunsigned(folded, k))
-    meet = [F.shiftrightunsigned("variant", 32), folded.bitwiseAND(F.lit(15))]
-    return made.repartition(tasks, *meet).mapInArrow(_meetings, "a long, b long")
+    tasks = tasks_for(distinct.count() * _ROWS, VARIANTS_PER_TASK, distinct.sparkSession)
+    kind = ", ".join(f"{c} long" for c in VARIANT)
+    made = distinct.select("bits").repartition(tasks, "bits").mapInArrow(_variants, kind)
+    return made.repartition(tasks, "place").mapInArrow(_meetings, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
