@@ -142,6 +142,7 @@ def with_successor(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     first = F.first("head").over(around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = heads.select("block", F.coalesce(F.lead("head").over(around), first).alias("head"))
     heads = heads.select("block", "head.key", "head.text_hash")
+    heads = F.broadcast(heads)  # as many rows of three numbers as there are blocks
     texts = named.select("key", "text_hash", F.col("text").alias("next")).join(heads, ["key", "text_hash"])
     texts = texts.select("block", "next").dropDuplicates(["block"])
     at_end = (placed["block"] == texts["block"]) & placed["following"].isNull()
