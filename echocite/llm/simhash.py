@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from echocite.llm.common import fresh, merged, row_key, small_batches, tasks_for, utf8
 from echocite.llm.components import LINK_SCHEMA, components, spanning_links
+from echocite.llm.near_copies import near_copies
 from echocite.session import settle
 
 RADIUS = 3  # the variants below are made for this distance
@@ -140,10 +141,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row for each component: that with the smallest id. Rows without id come last; of rows with
-    the same id one stays."""
-    found = near_duplicates(docs, id_col, text_col)
-    key = fresh(docs, "row_key")
-    stays = found.filter("key = component_key").select(F.col("key").alias(key)).distinct()
-    held = docs.withColumn(key, row_key(id_col, text_col)).join(stays, key, "left_semi")
-    return held.dropDuplicates([key]).drop(key)
+    """`docs` with one row of each group of near copies by five-word shingles (`near_copies`): that with the smallest id.
+    Rows without id come last; of rows with the same id and text one stays."""
+    found = near_copies(docs, id_col, text_col)
+    names = {n: fresh(docs, n) for n in ("row_key", "text_hash")}
+    stays = found.filter("key = first_key and text_hash = first_hash").select("key", "text_hash").distinct()
+    keyed = docs.withColumn(names["row_key"], row_key(id_col, text_col))
+    keyed = keyed.withColumn(names["text_hash"], F.xxhash64(text_col))
+    held = keyed.join(stays.toDF(*names.values()), list(names.values()), "left_semi")
+    return held.dropDuplicates(list(names.values())).select(*docs.columns)

@@ -1,0 +1,70 @@
+"""The near-copy stage against the Jaccard similarity of all pairs."""
+
+import random
+
+import corpus_pipeline
+from echocite.llm import lines
+
+SCHEMA = "doc_id long, text string, row_key string, text_hash string, node int"
+
+
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+
+
+def plain_kept(rows):
+    """Ids that stay by comparing all pairs: the least of each group, of distinct ids."""
+    sets = {i: shingles(t) for i, t in rows}
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    ids, holders = sorted(sets), {}
+    for i in ids:
+        for s in sets[i]:
+            holders.setdefault(s, []).append(i)
+    shared = {}
+    for held in holders.values():
+        for k, i in enumerate(held):
+            for j in held[:k]:
+                shared[i, j] = shared.get((i, j), 0) + 1
+    for (i, j), n in shared.items():
+        if n >= 0.8 * (len(sets[i]) + len(sets[j]) - n):
+            i, j = root(i), root(j)
+            group[max(i, j)] = min(i, j)
+    return sorted(i for i in ids if root(i) == i)
+
+
+def edited(rnd, words, edits):
+    words = list(words)
+    for at in rnd.sample(range(len(words)), edits):
+        words[at] = f"edit{rnd.random()}"
+    return " ".join(words)
+
+
+def test_edited_copies_against_all_pairs(spark):
+    rnd, texts = random.Random(4), []
+    for k in range(60):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([8, 40, 150, 400]))]
+        texts += [" ".join(words)] + [edited(rnd, words, rnd.randint(0, max(1, len(words) // 40))) for _ in range(4)]
+    words = [f"big{k}" for k in range(200)]  # one large group, and texts that share a passage
+    texts += [edited(rnd, words, rnd.randint(0, 3)) for _ in range(120)]
+    texts += [" ".join(words[:100] + [f"own{rnd.random()}" for _ in range(rnd.randint(5, 60))]) for _ in range(80)]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "r", "h", 1) for i, t in rows], SCHEMA)
+    found = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert found.columns == docs.columns
+    assert sorted(r.doc_id for r in found.collect()) == plain_kept(rows)
+
+
+def test_given_documents_against_all_pairs(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = lines.drop_repeated_lines(docs)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    found = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in found.collect()) == plain_kept(rows)
