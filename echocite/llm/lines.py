@@ -1,11 +1,12 @@
-"""Deletion of repeated runs of lines, found by winnowing, in DataFrame functions only.
-
-Every two lines that follow each other (blank ones aside) make a gram. Of each window of grams the one with the least
-hash is a fingerprint, so a run that repeats and is as long as a window is sure to have a fingerprint in common with
-its repeat. A fingerprint's first place, by id and position, is its anchor; every later one is compared with the
-anchor's neighbours and extended both ways as far as the lines agree. A window's length is as far as it need go:
-beyond that lies the run's next fingerprint. What is matched is deleted from the later place, so the first of any
-equal lines is always kept.
+"""Deletion of repeated lines and runs of them, in DataFrame functions only.
+
+Every line that isn't blank is a fingerprint. Its first place, by id and position, is its anchor; all later ones repeat
+it, and later ones that follow each other make runs (blank lines aside). Runs of MIN_CHARS or more are deleted, so the
+first of any equal lines is always kept, and a repeated line of MIN_CHARS or more always goes, whatever is around it.
+
+With longer grams (`gram` lines) or windows (of each window of grams the one with the least hash is a fingerprint) fewer
+rows are compared, but then only runs of gram + window - 1 lines are sure to be found. Fingerprints are extended both
+ways as far as the lines around the anchor agree; a window's length is as far as it need go.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from echocite.llm.common import fresh, row_key
 
-GRAM = 2  # lines; a shorter run is never deleted
-WINDOW = 2  # grams; any run of GRAM + WINDOW - 1 lines is found
+GRAM = 1  # lines; a shorter run is never deleted
+WINDOW = 1  # grams; any run of GRAM + WINDOW - 1 lines is found
 MIN_CHARS = 40  # that a deleted run has at least
 BLANKS = " \t\x0b\x0c\r"
 
@@ -65,12 +66,18 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, gram: int = GRAM,
         F.sequence(F.lit(0), F.size("h") - gram),
         lambda k: F.struct(F.xxhash64(F.slice(F.col("h"), k + 1, F.lit(gram))).alias("print"), (-k).alias("minus")),
     )
+    if window == 1:  # every gram is selected
+        return _around(marked.select("key", "text_hash", "h", F.inline(grams)), gram, window)
     marked = _once(marked, grams=grams)
     least = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("grams") - window, F.lit(0))),
         lambda k: F.array_min(F.slice(F.col("grams"), k + 1, F.lit(window))),
     )
-    chosen = marked.select("key", "text_hash", "h", F.inline(F.array_distinct(least)))
+    return _around(marked.select("key", "text_hash", "h", F.inline(F.array_distinct(least))), gram, window)
+
+
+def _around(chosen: DataFrame, gram: int, window: int) -> DataFrame:
+    """Selected grams with the line hashes around them."""
     at, reach = -F.col("minus"), F.lit(window - 1)
     left = F.least(at, reach)
     before = F.reverse(F.slice("h", at - left + 1, left))
