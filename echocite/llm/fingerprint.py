@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from echocite.llm.common import row_key
 
-SAMPLES = 32
+SAMPLES = 64
 LEVELS = 1024  # steps of the gamma quantiles
 BLOCK_ROWS = 50_000
 BLANKS = " \t\n\x0b\x0c\r"

@@ -114,3 +114,18 @@ def test_given_documents(spark, sf_dir):
 def test_no_python_runs_on_executors(spark, sf_dir):
     plan = queries.op3_fingerprint(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_mean_error_is_within_a_fixed_bound(spark):
+    """The bound doesn't move with the number of samples."""
+    rows = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    order = sorted(rows)
+    mine = {r.doc_id: r.near_edited for r in queries.op3_fingerprint(spark, "/root/testdata/sf0.01").collect()}
+    errors = []
+    for k, i in enumerate(order):
+        text, following = rows[i], rows[order[(k + 1) % len(order)]]
+        half = len(text) // 2
+        errors.append(abs(mine[i] - likeness(text, text[: len(text) - half] + following[:half])))
+    assert fingerprint.SAMPLES >= 64
+    assert sum(errors) / len(errors) < 0.055
+    assert sorted(errors)[len(errors) * 95 // 100] < 0.14
