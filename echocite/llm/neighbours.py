@@ -1,8 +1,8 @@
 """Near-duplicate embeddings: a navigable small-world graph for each shard, every shard searched for every vector.
 
 Equal vectors are one class and are searched once. A class's queries visit all shards in blocks. In each block some
-queries, chosen by their number, are also compared with the whole shard; while they miss a link the block's beams are
-doubled. A query whose beam is full of links is searched again with a wider one until it isn't, or else compared with
+queries, chosen by their number, and some that are known to have links are also compared with the whole shard; while they
+miss a link the block's beam is doubled, and where they have too few links to judge it is wide from the start. A query whose beam is full of links is searched again with a wider one until it isn't, or else compared with
 the whole shard, so large groups lose nothing. Each block counts its links and hands on a spanning forest of them, not
 the links.
 """
@@ -26,7 +26,9 @@ QUERY_ROWS = 16_384  # of a block
 BEAM = 16
 WIDEST = 128  # beam of a query whose beam is full of links, before it is compared with the whole shard
 AUDITS = 64  # queries of a block that are compared with the whole shard
-RECALL = 0.999  # of an audit's links
+RECALL = 0.999  # of the audits' links
+JUDGED = 32  # links that audits need to judge a beam
+PART = 2048  # queries whose pairs are held at a time
 
 INDEX = "shard long, dim int, nodes binary, sizes binary, vectors binary, levels binary, layers array<binary>, widths array<int>"
 
@@ -68,40 +70,63 @@ def _build(key: tuple, table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=kind)
 
 
-def linked(graph: Graph, queries: np.ndarray, audits: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of similarity `threshold` or more. `audits` are numbers of queries to compare in full."""
-    size = len(graph.vectors)
+def chosen_beam(graph: Graph, queries: np.ndarray, selves: np.ndarray, threshold: float) -> int | None:
+    """The beam with which a block's audits miss nothing, or None if the block has to be compared with the whole shard.
+
+    Audited are every so many-th query and as many that are known to have links; `selves` are the queries' own nodes
+    (-1: none), which don't count. A query whose beam is full of links is searched again in any case and says nothing.
+    Where the others have too few links to judge by, the beam is as wide as it gets.
+    """
+    size, beam = len(graph.vectors), min(BEAM, len(graph.vectors))
+    audits = np.linspace(0, len(queries) - 1, min(AUDITS, len(queries))).astype(int)
+    known: list[int] = []
+    for k in range(0, len(queries), PART):
+        found, sims = graph.search(queries[k : k + PART], beam)
+        others = (sims >= threshold) & (found >= 0) & (found != selves[k : k + PART, None])
+        known += (np.flatnonzero(others.any(axis=1)) + k).tolist()
+        if len(known) >= AUDITS:
+            known = [known[i] for i in np.linspace(0, len(known) - 1, AUDITS).astype(int)]
+            break
+    audits = np.union1d(audits, np.array(known, int))
+    truth = queries[audits] @ graph.vectors.T >= threshold
+    inside = np.flatnonzero(selves[audits] >= 0)
+    truth[inside, selves[audits][inside]] = False
+    while beam < size:
+        found, sims = graph.search(queries[audits], beam)
+        hit = (sims >= threshold) & (found >= 0)
+        mine = np.zeros_like(truth)
+        r, c = np.nonzero(hit)
+        mine[r, found[r, c]] = True
+        judged = ~hit.all(axis=1)
+        want, got = truth[judged].sum(), (mine & truth)[judged].sum()
+        if got >= RECALL * want:
+            return beam if want >= JUDGED else min(max(beam, WIDEST), size)
+        beam = 2 * beam
+        if beam > 4 * WIDEST:
+            break
+    return None
+
+
+def linked(graph: Graph, queries: np.ndarray, beam: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs of similarity `threshold` or more, by beams of `beam`; None: all compared with the shard."""
+    size, left = len(graph.vectors), np.arange(len(queries))
     rows: list[np.ndarray] = []
     nodes: list[np.ndarray] = []
-    truth = queries[audits] @ graph.vectors.T >= threshold
-    beam, left = min(BEAM, size), np.arange(len(queries))
-    while True:
+    while beam is not None and beam < size and len(left):
         found, sims = graph.search(queries[left], beam)
         hit = (sims >= threshold) & (found >= 0)
-        mine = np.zeros_like(truth)
-        at = np.flatnonzero(np.isin(left, audits))
-        r, c = np.nonzero(hit[at])
-        mine[np.searchsorted(audits, left[at])[r], found[at][r, c]] = True
-        open_audits = np.isin(audits, left)
-        want = truth[open_audits] & (truth[open_audits].sum(axis=1) < beam)[:, None]
-        got = (mine[open_audits] & want).sum()
-        if beam < size and got < RECALL * want.sum():
-            beam = min(2 * beam, size)
-            continue
-        full = hit.all(axis=1) & (beam < size)
+        full = hit.all(axis=1)
         r, c = np.nonzero(hit & ~full[:, None])
         rows.append(left[r])
         nodes.append(found[r, c])
         left = left[full]
-        if not len(left):
-            break
-        beam = min(4 * beam, size)
-        if beam > WIDEST or 4 * beam >= size:  # the exact way for the rest, in pieces
-            for k in range(0, len(left), 64):
-                r, c = np.nonzero(queries[left[k : k + 64]] @ graph.vectors.T >= threshold)
-                rows.append(left[k : k + 64][r])
-                nodes.append(c)
+        beam = 4 * beam
+        if beam > WIDEST or 4 * beam >= size:
             break
+    for k in range(0, len(left), 64):  # the exact way for the rest, in pieces
+        r, c = np.nonzero(queries[left[k : k + 64]] @ graph.vectors.T >= threshold)
+        rows.append(left[k : k + 64][r])
+        nodes.append(c)
     return np.concatenate(rows), np.concatenate(nodes)
 
 
@@ -119,13 +144,13 @@ def _query(threshold: float):
         graph = Graph(np.frombuffer(row["vectors"], np.float64).reshape(-1, dim), levels, layers)
         block = block.sort_by("node")
         own = block.column("node").to_numpy().astype(np.int64)
-        # Every so many-th query, by place among the block's sorted numbers.
-        audits = np.unique(np.linspace(0, len(own) - 1, min(AUDITS, len(own))).astype(int))
+        at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
+        selves = np.where(nodes[at] == own, at, -1)
         queries, counts = _unit(block, dim), np.zeros(len(own), np.int64)
         forest: tuple[list[int], list[int]] = ([], [])
-        for k in range(0, len(own), 2048):  # pairs of a part of the block at a time
-            part = audits[(audits >= k) & (audits < k + 2048)] - k
-            r, c = linked(graph, queries[k : k + 2048], part, threshold)
+        beam = chosen_beam(graph, queries, selves, threshold)
+        for k in range(0, len(own), PART):  # pairs of a part of the block at a time
+            r, c = linked(graph, queries[k : k + PART], beam, threshold)
             r = r + k
             other = own[r] != nodes[c]
             r, c = r[other], c[other]
