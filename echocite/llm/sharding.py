@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -110,6 +111,19 @@ def read_map(spark: SparkSession, path: str, version: int | None = None) -> Data
     return rows.groupBy("virtual_slot").agg(F.max_by("shard", "version").alias("shard"))
 
 
+def stored_map(spark: SparkSession, path: str) -> tuple[int, dict[int, int]]:
+    """The last version and its map, slot to shard; 0 and an empty map where `path` holds none."""
+    try:
+        last = spark.read.schema(MAP_SCHEMA).parquet(path).agg(F.max("version")).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        last = None
+    if last is None:
+        return 0, {}
+    return last, {r["virtual_slot"]: r["shard"] for r in read_map(spark, path, last).collect()}
+
+
 def assign(sized: DataFrame, slot_map: DataFrame) -> DataFrame:
     """`sized` with its shard and `slot`, a gapless number from 0 within the shard.
 
@@ -136,12 +150,16 @@ def shard_by_bytes(
     """(doc_id, size, text_crc32, shard, slot, virtual_slot) of every row, with shards of nearly equal bytes.
 
     `map_path` is where the versioned map lies; where it holds none, or by default in a new folder, version 1 is made.
+    A stored map is rebalanced for the slots in use now, new ones included, and what moves is appended as a new version.
+    `slots` must be what the map was made with; `shards` may differ.
     Equal rows get different numbers in the same shard. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     sized = settle(records(docs, id_col, text_col, slots), "records")
-    if map_path is None:
-        map_path = scratch_path(spark, "slot-map")
-        write_version(spark, map_path, 1, first_map(loads(sized), shards))
-    placed = assign(sized, read_map(spark, map_path))
+    path = map_path or scratch_path(spark, "slot-map")
+    version, held = stored_map(spark, path) if map_path else (0, {})
+    moves = rebalance(held, loads(sized), shards) if version else first_map(loads(sized), shards)
+    if moves or not version:
+        write_version(spark, path, version + 1, moves)
+    placed = assign(sized, read_map(spark, path))
     return placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot", "virtual_slot")
