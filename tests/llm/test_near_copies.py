@@ -68,3 +68,12 @@ def test_given_documents_against_all_pairs(spark):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     found = corpus_pipeline.without_near_copies(spark, docs, "")
     assert sorted(r.doc_id for r in found.collect()) == plain_kept(rows)
+
+
+def test_unrelated_texts_of_one_id_all_stay(spark):
+    texts = {k: " ".join(f"t{k}w{j}" for j in range(30)) for k in range(4)}
+    rows = [(1, texts[0]), (2, texts[0]), (2, texts[1]), (2, texts[1]), (2, texts[2]), (3, texts[2]), (None, texts[3])]
+    docs = spark.createDataFrame([(i, t, "r", "h", 1) for i, t in rows], SCHEMA)
+    found = corpus_pipeline.without_near_copies(spark, docs, "").collect()
+    assert sorted(r.text for r in found) == sorted(texts.values())
+    assert {(r.doc_id, r.text) for r in found} == {(1, texts[0]), (2, texts[1]), (2, texts[2]), (None, texts[3])}
