@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from echocite.llm.common import fresh, merged, row_key, small_batches, tasks_for, utf8
 from echocite.llm.components import LINK_SCHEMA, components, spanning_links
-from echocite.llm.near_copies import near_copies
 from echocite.session import settle
 
 RADIUS = 3  # the variants below are made for this distance
@@ -58,8 +57,8 @@ def simhash(text: bytes, shingle: int = SHINGLE) -> int:
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        values = np.array([simhash(t) for t in utf8(batch.column(2))], np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values)], ["key", "id", "bits"])
+        values = np.array([simhash(t) for t in utf8(batch.column(3))], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(values)], ["key", "text_hash", "id", "bits"])
 
 
 def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,10 +107,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(key, id, bits) of every row; a text that is missing or has no words has the fingerprint 0."""
+    """(key, text_hash, id, bits) of every row; a text that is missing or has no words has the fingerprint 0."""
     small_batches(docs.sparkSession)
-    narrow = docs.select(row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id"), text_col)
-    return narrow.mapInArrow(_fingerprints, "key long, id long, bits long")
+    key, given = row_key(id_col, text_col).alias("key"), F.col(id_col).cast("long").alias("id")
+    narrow = docs.select(key, F.xxhash64(text_col).alias("text_hash"), given, text_col)
+    return narrow.mapInArrow(_fingerprints, "key long, text_hash long, id long, bits long")
 
 
 def linked_fingerprints(distinct: DataFrame) -> DataFrame:
@@ -122,31 +122,36 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     return made.repartition(tasks, "place").mapInArrow(_meetings, "a long, b long")
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The settled fingerprints of all rows, and (bits, root, id, first) for every distinct one: its component, the
+    smallest id with it, and the smallest (key, text_hash). Equal fingerprints are one node, however many rows share them."""
+    marked = settle(fingerprints(docs, id_col, text_col), "fingerprints")
+    first = F.min(F.struct("key", "text_hash")).alias("first")
+    classes = settle(marked.groupBy("bits").agg(F.min("id").alias("id"), first), "fingerprint-classes")
+    roots = components(linked_fingerprints(classes)).withColumnRenamed("node", "bits")
+    return marked, classes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(key, id, fingerprint, component_id, component_key) of every row, repeated rows included.
 
     component_id is the smallest id in the component, NULL where no member has one; component_key is the smallest
-    row key (an id, or a stand-in for a missing one). Equal fingerprints are one node, however many rows share them.
-    Nothing in it depends on other columns. An empty table gives an empty result.
+    row key (an id, or a stand-in for a missing one). Nothing in it depends on other columns. An empty table gives an
+    empty result.
     """
-    marked = settle(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = marked.groupBy("bits").agg(F.min("id").alias("id"), F.min("key").alias("key"))
-    classes = settle(classes, "fingerprint-classes")
-    roots = components(linked_fingerprints(classes)).withColumnRenamed("node", "bits")
-    joined = classes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
-    lowest = joined.groupBy("root").agg(F.min("id").alias("component_id"), F.min("key").alias("component_key"))
-    named = joined.select("bits", "root").join(lowest, "root").drop("root")
+    marked, classes = _grouped(docs, id_col, text_col)
+    lowest = classes.groupBy("root").agg(F.min("id").alias("component_id"), F.min("first.key").alias("component_key"))
+    named = classes.select("bits", "root").join(lowest, "root").drop("root")
     hexed = F.lower(F.lpad(F.hex("bits"), 16, "0"))
     return marked.join(named, "bits").select("key", "id", hexed.alias("fingerprint"), "component_id", "component_key")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` with one row of each group of near copies by five-word shingles (`near_copies`): that with the smallest id.
-    Rows without id come last; of rows with the same id and text one stays."""
-    found = near_copies(docs, id_col, text_col)
-    names = {n: fresh(docs, n) for n in ("row_key", "text_hash")}
-    stays = found.filter("key = first_key and text_hash = first_hash").select("key", "text_hash").distinct()
-    keyed = docs.withColumn(names["row_key"], row_key(id_col, text_col))
-    keyed = keyed.withColumn(names["text_hash"], F.xxhash64(text_col))
-    held = keyed.join(stays.toDF(*names.values()), list(names.values()), "left_semi")
-    return held.dropDuplicates(list(names.values())).select(*docs.columns)
+    """`docs` with one row of each component of `near_duplicates`: that with the smallest id, and of rows with that id the
+    one whose text has the least hash; rows without id come last. Of rows with the same id and text one stays."""
+    _, classes = _grouped(docs, id_col, text_col)
+    stays = classes.groupBy("root").agg(F.min("first").alias("first")).select("first.key", "first.text_hash")
+    names = [fresh(docs, n) for n in ("row_key", "text_hash")]
+    keyed = docs.withColumns(dict(zip(names, (row_key(id_col, text_col), F.xxhash64(text_col)))))
+    held = keyed.join(stays.toDF(*names), names, "left_semi")
+    return held.dropDuplicates(names).select(*docs.columns)
