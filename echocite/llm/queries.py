@@ -7,7 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from echocite.llm import fingerprint, lines, neighbours, packing, quality, sharding, simhash, substrings, toxicity, word_tokens
+from echocite.llm import (
+    fingerprint,
+    lines,
+    merkle,
+    neighbours,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    substrings,
+    toxicity,
+    vector_codes,
+    word_tokens,
+)
 from echocite.llm.common import id_of
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +84,14 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_proofs(_table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_errors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
@@ -82,6 +103,11 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_lines": op9_lines,
     "op10_embeddings": op10_embeddings,
+    "op12_manifest": op12_manifest,
+    "op13_vector_codes": op13_vector_codes,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op12_manifest": merkle.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
+}
