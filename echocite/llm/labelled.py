@@ -29,7 +29,16 @@ def training_sample(labels: DataFrame, label: str, rows: int = MAX_TRAIN, id_col
     known = known.filter((fold("doc_id") != 0) & F.col("label").isin(0, 1))
     known = known.groupBy("doc_id").agg(F.max("label").alias("label"))
     order = F.xxhash64("doc_id")
-    known = known.orderBy(order, "doc_id").limit(rows)
+    slot = F.shiftright(order, 52)  # ascends with the hash, 4096 values
+    held, last = 0, None
+    for r in known.groupBy(slot.alias("slot")).count().orderBy("slot").collect():
+        if held + r["count"] > rows:
+            last = r["slot"]
+            break
+        held += r["count"]
+    if last is not None:
+        rest = known.filter(slot == last).orderBy(order, "doc_id").limit(rows - held)
+        known = known.filter(slot < last).unionAll(rest)
     return known.withColumn("part", F.pmod(order, F.lit(4)).cast("int"))
 
 

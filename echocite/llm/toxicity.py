@@ -1,11 +1,12 @@
 """Toxicity by maximum-scoring segments of token log-odds.
 
-Tokens are words and word beginnings. Their log-odds between toxic and other labelled documents are shrunk by a
-Dirichlet prior in proportion to their overall frequency; those that stand out by their z-score keep their log-odds,
-all other words cost a small constant. One linear scan finds all maximal segments of a document (no part of one scores
-more than the whole, and none can be extended with profit). By extreme-value theory n clean words have
+Tokens are words and word beginnings. Their log-odds between toxic and other labelled documents are taken under a
+Dirichlet prior of half a document each way, whatever the sample's size, and a token scores what is left of them after
+some standard errors, if that is above a floor; how many errors and which floor is decided on labelled rows that the
+counts have not seen. All other words cost a small constant. One linear scan finds all maximal segments of a document (no
+part of one scores more than the whole, and none can be extended with profit). By extreme-value theory n clean words have
 about E = K n e^(-L S) segments of score S or more by chance, so a segment counts with ln(1 + 1 / E), which grows as
-L S once that exceeds ln(K n), and a logistic curve fitted on other labelled rows turns the sum into a score.
+L S once that exceeds ln(K n), and a logistic curve fitted on the unseen labelled rows turns the sum into a score.
 """
 
 from __future__ import annotations
@@ -23,14 +24,13 @@ from pyspark.sql import functions as F
 
 from echocite.llm.common import fresh, small_batches, strings
 from echocite.llm.labelled import MAX_TRAIN, fit_logistic, held_out, training_sample
+from echocite.session import settle
 
-PRIOR = 50.0  # pseudo-documents that the prior is worth
-MIN_Z = 4.0
-MIN_TOXIC = 3  # toxic documents that a token is in at least
-MAX_TOKENS = 50_000  # tokens that a model holds at most, those with the greatest z-scores
-DRIFT = 0.3  # what a word without significance costs
+PRIOR = 0.5  # documents with a token, and without it, that the prior is worth in each class
+CHOICES = ((2.0, 0.5), (2.0, 1.0), (2.0, 2.0), (2.0, 3.0), (3.0, 0.5), (3.0, 1.0), (3.0, 2.0))  # (errors, floor)
+DRIFT = 0.3  # what a word without a score costs
 BEGINNINGS = (6, 5, 4)
-HELD_WORDS = 300_000
+HEAD = 4  # letters by which words without a score are told quickly
 EULER = 0.5772156649015329
 
 _EDGES = re.compile(r"^\W+|\W+$")
@@ -69,49 +69,53 @@ def maximal_segments(places: list[int], scores: list[float], drift: float) -> li
 
 @dataclass(frozen=True)
 class Model:
-    """Scores of significant tokens, the extreme-value parameters, and the logistic curve."""
+    """Scores of tokens, the extreme-value parameters, and the logistic curve."""
 
     scores: dict[str, float]
     rate: float = 1.0  # L
     log_k: float = 0.0
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def word(self, word: str) -> float:
-        """The score of the longest known token, negative for none."""
-        return next((self.scores[t] for t in tokens_of(word) if t in self.scores), -DRIFT)
+    def bar(self, n: int) -> float:
+        """What L S exceeds for a segment that n clean words hold less than once."""
+        return self.log_k + math.log(max(n, 1))
+
+    def evidence(self, n: int, scores) -> float:
+        """The sum of ln(1 + 1 / E) over segments of these scores."""
+        return float(np.logaddexp(0, self.rate * np.asarray(scores, float) - self.bar(n)).sum())
+
+    def score(self, evidence: float) -> float:
+        a, b = self.curve
+        return 1 / (1 + math.exp(-min(max(a * math.log1p(evidence) + b, -30), 30)))
 
 
 class Scorer:
-    """Segments and evidence of texts, with a memory of words seen before."""
+    """Segments of texts. A word scores as the longest token it has that is known."""
+
+    def __init__(self, scores: dict[str, float]):
+        self.scores = scores
+        self.heads = {t.rstrip("*")[:HEAD] for t in scores}
 
-    def __init__(self, model: Model):
-        self.model = model
-        self.known: dict[str, float] = {}
+    def word(self, core: str) -> float | None:
+        return next((self.scores[t] for t in tokens_of(core) if t in self.scores), None)
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
-        words = text.lower().split()
-        known, model, found = self.known, self.model, []
-        for word in words:
-            score = known.get(word)
-            if score is None:
-                score = model.word(word)
-                if len(known) < HELD_WORDS:
-                    known[word] = score
-            found.append(score)
-        places = [k for k, s in enumerate(found) if s > 0]
-        return len(words), maximal_segments(places, [found[k] for k in places], DRIFT)
-
-    def best_and_evidence(self, text: str) -> tuple[int, float, float, list[tuple[int, int, float]]]:
-        """Words, best score, evidence, and the significant segments."""
-        n, segments = self.segments(text)
-        bar = self.model.log_k + math.log(max(n, 1))
-        significant = [s for s in segments if self.model.rate * s[2] > bar]
-        evidence = sum(float(np.logaddexp(0, self.model.rate * s[2] - bar)) for s in segments)
-        return n, max((s[2] for s in segments), default=0.0), evidence, significant
+        words, heads = text.lower().split(), self.heads
+        places, found = [], []
+        for place, word in enumerate(words):
+            if not word.isalnum():
+                word = _EDGES.sub("", word)
+            if word[:HEAD] in heads and (score := self.word(word)) is not None:
+                places.append(place)
+                found.append(score)
+        return len(words), maximal_segments(places, found, DRIFT)
 
-    def score(self, evidence: float) -> float:
-        a, b = self.model.curve
-        return 1 / (1 + math.exp(-min(max(a * math.log1p(evidence) + b, -30), 30)))
+
+def read(model: Model, scorer: Scorer, text: str) -> tuple[float, list[tuple[int, int, float]]]:
+    """A text's score, and its significant segments."""
+    n, segments = scorer.segments(text)
+    significant = [s for s in segments if model.rate * s[2] > model.bar(n)]
+    return model.score(model.evidence(n, [s[2] for s in segments])), significant
 
 
 def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,27 +134,43 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays(held, ["token", "toxic", "other"])
 
 
-def significant_tokens(sample: DataFrame) -> DataFrame:
-    """(token, log_odds, z, share) from (text, label) rows: shrunk log-odds, and the share of other documents."""
+def token_evidence(sample: DataFrame) -> DataFrame:
+    """(token, log_odds, error, share) from (text, label) rows: log-odds of a document that holds the token, their
+    standard error, and the share of other documents that hold it. Tokens that no choice scores are left out."""
     counted = sample.mapInArrow(_count_tokens, "token string, toxic long, other long")
     counts = counted.groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-    counts = counts.filter(F.col("toxic") >= MIN_TOXIC)
     totals = sample.agg(F.sum("label").alias("n1"), F.count(F.lit(1)).alias("n")).first()
     n1, n0 = float(totals["n1"] or 0), float((totals["n"] or 0) - (totals["n1"] or 0))
-    prior = (F.col("toxic") + F.col("other")) * (PRIOR / max(n1 + n0, 1.0))
-    in_toxic, in_other = F.col("toxic") + prior, F.col("other") + prior
-    odds = F.log(in_toxic / (n1 + PRIOR - in_toxic + 1)) - F.log(in_other / (n0 + PRIOR - in_other + 1))
-    z = odds / F.sqrt(1 / in_toxic + 1 / in_other)
-    return counts.select("token", odds.alias("log_odds"), z.alias("z"), (in_other / (n0 + PRIOR)).alias("share"))
+    in_toxic, in_other = F.col("toxic") + PRIOR, F.col("other") + PRIOR
+    odds = F.log(in_toxic / (n1 + 2 * PRIOR - in_toxic)) - F.log(in_other / (n0 + 2 * PRIOR - in_other))
+    error = F.sqrt(1 / in_toxic + 1 / in_other)
+    share = (in_other / (n0 + 2 * PRIOR)).alias("share")
+    found = counts.select("token", odds.alias("log_odds"), error.alias("error"), share)
+    mildest = [F.col("log_odds") - z * F.col("error") > floor for z, floor in CHOICES]
+    return found.filter(F.greatest(*mildest))
+
 
+def _scores(tokens: list, choice: tuple[float, float]) -> dict[str, float]:
+    z, floor = choice
+    lower = ((r["token"], r["log_odds"] - z * r["error"]) for r in tokens)
+    return {t: x for t, x in lower if x > floor}
+
+
+def _measure(choices: list[dict[str, float]]):
+    """(choice, words, label, scores of the segments) for every text under every choice of token scores."""
 
-def _measure(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorers = [Scorer(c) for c in choices]
         for batch in batches:
-            rows = [scorer.best_and_evidence(t)[:3] for t in strings(batch.column(0))]
-            columns = [pa.array(list(c), pa.float64()) for c in zip(*rows)] if rows else [pa.array([], pa.float64())] * 3
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["words", "best", "evidence", "label"])
+            rows = [
+                (k, n, label, [s[2] for s in segments])
+                for text, label in zip(strings(batch.column(0)), batch.column(1).to_pylist())
+                for k, scorer in enumerate(scorers)
+                for n, segments in [scorer.segments(text)]
+            ]
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64())]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["choice", "words", "label", "scores"])
 
     return run
 
@@ -167,35 +187,44 @@ def _rate(scores: dict[str, float], shares: dict[str, float], words: float) -> f
     return max(low, 1e-3)
 
 
+def _fitted(scores: dict[str, float], shares: dict[str, float], seen: list) -> tuple[float, Model]:
+    """The log loss over unseen rows (words, label, scores), and the model with its parameters fitted on them."""
+    clean = [r for r in seen if r["label"] == 0]
+    words = float(np.mean([r["words"] for r in clean])) if clean else 1.0
+    rate = _rate(scores, shares, words)
+    hit = [(rate * max(r["scores"]), max(r["words"], 1)) for r in clean if r["scores"]]
+    if hit:  # the median of a clean document's best segment, of those with any, against that of a Gumbel
+        log_k = float(np.median([best - math.log(n) for best, n in hit])) + math.log(math.log(2))
+    else:
+        log_k = -math.log(max(words, 1.0))
+    model = Model(scores, rate, log_k)
+    if not seen:
+        return 0.0, model
+    evidence = np.array([model.evidence(r["words"], r["scores"]) for r in seen])
+    y = np.array([r["label"] for r in seen], float)
+    a, b = fit_logistic(np.stack([np.log1p(evidence), np.ones(len(seen))], axis=1), y, ridge=0.1)
+    model = Model(scores, rate, log_k, (max(float(a), 0.0), float(b)))
+    p = np.clip([model.score(e) for e in evidence], 1e-9, 1 - 1e-9)
+    return float(-np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))), model
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = MAX_TRAIN, text_col: str = "text"):
-    """A model from at most `rows` labelled documents outside the held-out fold: tokens from three quarters of
-    them, the extreme-value parameters and the curve from the rest. Without labels of both kinds every score is the same."""
+    """A model from at most `rows` labelled documents outside the held-out fold: token counts from three quarters of their
+    distinct texts, all else from the rest. Equal texts count once, with their greatest label. Nothing that the driver
+    receives grows beyond the sample. Without labels of both kinds every score is the same."""
     small_batches(docs.sparkSession)
     sample = F.broadcast(training_sample(labels, label, rows))  # `rows` pairs of numbers
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    texts = texts.join(sample, "doc_id").select("text", "label", "part")
-    found = significant_tokens(texts.filter("part < 3").select("text", "label")).filter(F.col("z") >= MIN_Z)
-    found = found.filter(F.col("log_odds") > 0).orderBy(F.desc("z"), "token").limit(MAX_TOKENS).collect()
-    scores = {r["token"]: r["log_odds"] for r in found}
-    shares = {r["token"]: r["share"] for r in found}
-    others = texts.filter("part = 3").select("text", "label")
-    rows_of = others.mapInArrow(_measure(Model(scores)), "words double, best double, evidence double, label int")
-    seen = np.array([tuple(r) for r in rows_of.collect()], float).reshape(-1, 4)
-    clean = seen[seen[:, 3] == 0]
-    rate = _rate(scores, shares, float(clean[:, 0].mean()) if len(clean) else 1.0)
-    hit = clean[clean[:, 1] > 0]
-    if len(hit):  # the median of a clean document's best segment, of those with any, against that of a Gumbel
-        log_k = float(np.median(rate * hit[:, 1] - np.log(np.maximum(hit[:, 0], 1)))) + math.log(math.log(2))
-    else:
-        log_k = -math.log(max(float(clean[:, 0].mean()) if len(clean) else 1.0, 1.0))
-    model = Model(scores, rate, log_k)
-    rows_of = others.mapInArrow(_measure(model), "words double, best double, evidence double, label int")
-    seen = np.array([tuple(r) for r in rows_of.collect()], float).reshape(-1, 4)
-    if len(seen):
-        x = np.stack([np.log1p(seen[:, 2]), np.ones(len(seen))], axis=1)
-        a, b = fit_logistic(x, seen[:, 3], ridge=0.1)
-        model = Model(scores, rate, log_k, (max(float(a), 0.0), float(b)))
-    return model
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
+    texts = texts.join(sample, "doc_id").groupBy("text").agg(F.max("label").alias("label"))
+    texts = settle(texts.withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4))), "labelled-texts")
+    tokens = token_evidence(texts.filter("part < 3").select("text", "label")).collect()
+    shares = {r["token"]: r["share"] for r in tokens}
+    choices = [_scores(tokens, c) for c in CHOICES]
+    measured = "choice long, words long, label long, scores array<double>"
+    unseen = texts.filter("part = 3").select("text", "label").mapInArrow(_measure(choices), measured).collect()
+    unseen.sort()  # so that sums don't depend on the order of tasks
+    fits = [_fitted(c, shares, [r for r in unseen if r["choice"] == k]) for k, c in enumerate(choices)]
+    return min(fits, key=lambda f: f[0])[1]
 
 
 RESULT = "doc_id long, held_out boolean, score double, predicted int, n_passages long, passages array<struct<first:long,last:long,score:double>>"
@@ -203,14 +232,12 @@ RESULT = "doc_id long, held_out boolean, score double, predicted int, n_passages
 
 def _apply(model: Model, columns: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model)
+        scorer = Scorer(model.scores)
         kind = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
         for batch in batches:
-            scores, passages = [], []
-            for text in strings(batch.column(columns)):
-                _, _, evidence, found = scorer.best_and_evidence(text)
-                scores.append(scorer.score(evidence))
-                passages.append([{"first": a, "last": b, "score": s} for a, b, s in found])
+            found = [read(model, scorer, text) for text in strings(batch.column(columns))]
+            scores = [s for s, _ in found]
+            passages = [[{"first": a, "last": b, "score": s} for a, b, s in own] for _, own in found]
             held = [pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())]
             held += [pa.array([len(p) for p in passages], pa.int64()), pa.array(passages, kind)]
             names = [f.name for f in batch.schema][:columns] + ["score", "predicted", "n_passages", "passages"]
@@ -237,8 +264,8 @@ def drop_toxic(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model)
+        scorer = Scorer(model.scores)
         for texts in batches:
-            yield texts.map(lambda t: scorer.score(scorer.best_and_evidence(t or "")[2]))
+            yield texts.map(lambda t: read(model, scorer, t or "")[0])
 
     return docs.withColumn(mark, scores(F.col(text_col))).filter(F.col(mark) < 0.5).drop(mark)

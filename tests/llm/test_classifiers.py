@@ -122,3 +122,35 @@ def test_training_samples_are_bounded_and_settle_conflicts(spark):
     assert len(found) == 20 and len({r.doc_id for r in found}) == 20
     full = {r.doc_id: r.label for r in labelled.training_sample(labels, "toxic").collect()}
     assert all(full[k] == k % 2 for k in full) and None not in full
+
+
+@pytest.mark.parametrize("rows", [400, 1200, 20_000])
+def test_more_labels_find_more_toxic_documents(spark, rows):
+    """Held-out recall at three sample sizes; each bound is above that of the size before."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels, rows=rows)
+    found = toxicity.score(docs, model).join(labels, "doc_id").filter("held_out").collect()
+    caught = np.mean([r.predicted == 1 for r in found if r.toxic == 1])
+    assert caught >= {400: 0.5, 1200: 0.8, 20_000: 0.9}[rows]
+    assert np.mean([r.predicted == 0 for r in found if r.toxic == 0]) >= 0.98
+
+
+def test_many_rare_toxic_words(spark):
+    """Every toxic document holds two of 150 words, so none of them is in more than a few per cent of the toxic ones."""
+    rnd = random.Random(6)
+    draw = lambda n: ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9))) for _ in range(n)]
+    common, rare = draw(3000), draw(150)
+    docs = []
+    for k in range(4000):
+        words = [rnd.choice(common) for _ in range(rnd.choice([20, 60, 300]))]
+        if k % 8 == 0:
+            for word in rnd.sample(rare, 2):
+                words.insert(rnd.randrange(len(words)), word)
+        docs.append((k, " ".join(words), int(k % 8 == 0)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    recall = []
+    for rows in (400, 1200, 3000):
+        found = toxicity.score(frame, toxicity.train(frame, frame, rows=rows)).join(frame, "doc_id").filter("held_out").collect()
+        recall.append(np.mean([r.predicted for r in found if r.toxic]))
+        assert np.mean([r.predicted for r in found if not r.toxic]) <= 0.02
+    assert recall == sorted(recall) and recall[-1] >= 0.85
