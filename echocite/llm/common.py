@@ -27,6 +27,13 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """`df` with columns made by a generator, so that the optimizer doesn't repeat them where they are used."""
+    name = fresh(df, "made")
+    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias(name)
+    return df.select("*", made).select(*df.columns, f"{name}.*")
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     """The id of a row, or for a missing id a stand-in from the text that sorts after every id."""
     stand_in = F.xxhash64(text_col).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)

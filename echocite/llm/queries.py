@@ -14,6 +14,7 @@ from echocite.llm import (
     neighbours,
     packing,
     quality,
+    secret_scan,
     sharding,
     simhash,
     substrings,
@@ -84,6 +85,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", "kept")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digests(_table(spark, sf_dir, "documents"))
+
+
 def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_proofs(_table(spark, sf_dir, "documents"))
 
@@ -103,11 +108,13 @@ QUERIES: dict[str, Query] = {
     "op8_sharding": op8_sharding,
     "op9_lines": op9_lines,
     "op10_embeddings": op10_embeddings,
+    "op11_secrets": op11_secrets,
     "op12_manifest": op12_manifest,
     "op13_vector_codes": op13_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
+    "op11_secrets": secret_scan.ORACLE,
     "op12_manifest": merkle.ORACLE,
     "op13_vector_codes": vector_codes.ORACLE,
 }

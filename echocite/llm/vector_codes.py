@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -171,7 +172,7 @@ def decode(codes: DataFrame, books: np.ndarray, code_col: str = "code", scale: i
     name = fresh(codes, "decoded")
 
     @F.pandas_udf("array<double>")
-    def vectors(batches: Iterator) -> Iterator:
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             parts = np.arange(books.shape[0])
             yield texts.map(lambda t: ((books[parts, list(bytes.fromhex(t))] + 0.5) / scale).ravel())
