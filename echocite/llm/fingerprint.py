@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 A document is a bag of words, each weighted by how often it occurs. For every word and sample number a hash gives
-fixed variates: r and c from a gamma distribution of shape 2, and a uniform b. A word of weight S scores
+fixed variates: r and c from a gamma distribution of shape 2, which is -ln(u v) of two uniforms, and a uniform b. A word of weight S scores
 c / (y e^r) with t = floor(ln S / r + b) and y = exp(r (t - b)); the sample is the word with the least score together
 with its t. Two documents agree on a sample with a probability equal to their generalised Jaccard similarity, the sum
 of the lesser weights over the sum of the greater ones, so the share of equal samples estimates it.
@@ -13,45 +13,40 @@ ids, where a window finds each document's successor. Words then become rows only
 from __future__ import annotations
 
 import math
-from bisect import bisect_left
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from echocite.llm.common import row_key
 
 SAMPLES = 64
-LEVELS = 1024  # steps of the gamma quantiles
 BLOCK_ROWS = 50_000
+MOST_BLOCKS = 65_536  # so the bounds between blocks take half a megabyte; in larger tables blocks are longer
 BLANKS = " \t\n\x0b\x0c\r"
 SCORE_SHIFT, SCORE_SCALE = 100.0, float(1 << 24)  # scores as whole numbers that order alike: |ln score| is below 100
 LOW = (1 << 32) - 1
+THIRD = (1 << 21) - 1
 
 
-def gamma_quantiles(levels: int = LEVELS) -> list[float]:
-    """Midpoint quantiles of the gamma distribution of shape 2 and scale 1, from a fine table of its distribution."""
-    steps = [k / 1000 for k in range(1, 25_000)]
-    below = [1 - math.exp(-x) * (1 + x) for x in steps]
-    return [steps[bisect_left(below, (k + 0.5) / levels)] for k in range(levels)]
+def _uniform(bits: Column, width: int) -> Column:
+    """A number strictly between 0 and 1 from so many bits."""
+    return (bits.cast("double") + 0.5) * 2.0**-width
 
 
-def _sample(term: Column, log_weight: Column, number: int, gamma: Column, log_gamma: Column) -> Column:
+def _sample(term: Column, log_weight: Column, number: int) -> Column:
     """Score (high 32 bits) and identity (low 32 bits) of a weighted word for one sample; the least is the sample."""
-    h = F.xxhash64(term, F.lit(number))
-    r = F.get(gamma, h.bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
-    log_c = F.get(log_gamma, F.shiftright(h, 10).bitwiseAND(F.lit(LEVELS - 1)).cast("int"))
-    b = F.shiftrightunsigned(h, 24).cast("double") / float(1 << 40)
+    h, g = F.xxhash64(term, F.lit(2 * number)), F.xxhash64(term, F.lit(2 * number + 1))
+    u, v = F.shiftrightunsigned(h, 43), F.shiftrightunsigned(h, 22).bitwiseAND(F.lit(THIRD))
+    r = -F.log(_uniform(u, 21) * _uniform(v, 21))
+    b = h.bitwiseAND(F.lit(2 * THIRD + 1)).cast("double") * 2.0**-22
+    c = -F.log(_uniform(F.shiftrightunsigned(g, 32), 32) * _uniform(g.bitwiseAND(F.lit(LOW)), 32))
     t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
-    score = log_c - r * (t.cast("double") - b) - r
+    score = F.log(c) - r * (t.cast("double") - b) - r
     whole = ((score + SCORE_SHIFT) * SCORE_SCALE).cast("long")
     return F.shiftleft(whole, 32).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(LOW)))
 
 
-def _numbers(values: list[float]) -> Column:
-    """A constant array, written as one text so that the plan stays small until it is folded."""
-    return F.split(F.lit(" ".join(map(repr, values))), " ").cast("array<double>")
-
-
 def weighted_words(text: Column) -> Column:
     """The sorted hashes of a text's words; a text without words has one empty word."""
     words = F.split(F.btrim(text, F.lit(BLANKS)), "[\\x20\\x09-\\x0D]+")
@@ -86,11 +81,7 @@ def signatures(rows: DataFrame, keys: list[str], text_col: str, carry: list[str]
     )
     terms = runs.select(*keys, *carry, F.inline(following))
     terms = terms.withColumn("log_weight", F.when(F.col("weight") == 1, 0.0).otherwise(F.log(F.col("weight"))))
-    table = gamma_quantiles()
-    gamma, log_gamma = (_numbers(x) for x in (table, [math.log(x) for x in table]))
-    scored = [
-        F.min(_sample(F.col("term"), F.col("log_weight"), k, gamma, log_gamma)).alias(f"s{k}") for k in range(samples)
-    ]
+    scored = [F.min(_sample(F.col("term"), F.col("log_weight"), k)).alias(f"s{k}") for k in range(samples)]
     least = terms.groupBy(*keys).agg(*[F.min(c).alias(c) for c in carry], *scored)
     signature = F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(LOW)) for k in range(samples)])
     return least.select(*keys, *carry, signature.alias("signature"))
@@ -106,34 +97,38 @@ def text_of(signature: str) -> Column:
     return F.array_join(F.transform(signature, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), "")
 
 
-def _block(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted `bounds` are at most `key`, found in two steps."""
+def _bounds(keys: DataFrame, blocks: int) -> list[float]:
+    """Quantiles of `key` that part the rows into so many ranges; at most `MOST_BLOCKS` numbers come to the driver."""
+    shares = [k / blocks for k in range(1, blocks)]
+    found = keys.agg(F.percentile_approx("key", shares, 20 * blocks)).first()[0] if shares else None
+    return sorted(set(map(float, found or [])))
+
+
+def with_block(rows: DataFrame, bounds: list[float]) -> DataFrame:
+    """`rows` with `block`: how many of the bounds are at most the row's `key`. The bounds go to the tasks beside the
+    plan, which stays as short as it is whatever their number."""
     if not bounds:
-        return F.lit(0)
-    step = math.isqrt(len(bounds)) + 1
-    heads, every = (F.lit(b).cast("array<long>") for b in (bounds[::step], bounds))
-    group = F.size(F.filter(heads, lambda b: b <= key)) - 1
-    inside = F.size(F.filter(F.slice(every, F.greatest(group, F.lit(0)) * step + 1, F.lit(step)), lambda b: b <= key))
-    return F.when(group < 0, 0).otherwise(group * step + inside)
+        return rows.withColumn("block", F.lit(0))
+    splits = [-math.inf, *bounds, math.inf]
+    held = rows.withColumn("near_key", F.col("key").cast("double"))
+    held = Bucketizer(splits=splits, inputCol="near_key", outputCol="block").transform(held)
+    return held.withColumn("block", F.col("block").cast("int")).drop("near_key")
 
 
 def with_successor(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(block, place, doc_id, text, next, last): every row with the text of the next one by id, after the last the
     first. A block is a range of ids of about `BLOCK_ROWS` rows or fewer; `last` marks the last row of a block."""
     spark = docs.sparkSession
-    key = row_key(id_col, text_col)
-    narrow = docs.select(key.alias("key"))
-    n = narrow.count()
-    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // BLOCK_ROWS))
-    shares = [k / blocks for k in range(1, blocks)]
-    found = narrow.agg(F.percentile_approx("key", shares, 100 * blocks)).first()[0] or []
+    key = row_key(id_col, text_col).alias("key")
+    keys = docs.select(key)
+    blocks = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-keys.count() // BLOCK_ROWS))
     named = docs.select(
-        _block(key, sorted(set(found))).alias("block"),
-        key.alias("key"),
+        key,
         F.col(id_col).cast("long").alias("doc_id"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
         F.xxhash64(text_col).alias("text_hash"),
     )
+    named = with_block(named, _bounds(keys, min(blocks, MOST_BLOCKS)))
     order = Window.partitionBy("block").orderBy("key", "text_hash")
     placed = named.withColumn("place", F.row_number().over(order)).withColumn("following", F.lead("text").over(order))
 

@@ -30,7 +30,6 @@ def words_of(text):
 
 
 def plain_signature(text, samples=fingerprint.SAMPLES):
-    gamma = fingerprint.gamma_quantiles()
     out = []
     counts = Counter(words_of(text))
     for number in range(samples):
@@ -38,9 +37,10 @@ def plain_signature(text, samples=fingerprint.SAMPLES):
         for word, weight in counts.items():
             term = xxhash.xxh64_intdigest(word.encode(), 42)
             first = xxhash.xxh64_intdigest(term.to_bytes(8, "little"), 42)
-            h = xxhash.xxh64_intdigest(number.to_bytes(4, "little"), first)
-            r, c = gamma[h & 1023], gamma[h >> 10 & 1023]
-            b = (h >> 24) / (1 << 40)
+            h, g = (xxhash.xxh64_intdigest((2 * number + k).to_bytes(4, "little"), first) for k in range(2))
+            u, v = ((x + 0.5) / (1 << 21) for x in (h >> 43, h >> 22 & (1 << 21) - 1))
+            b = (h & (1 << 22) - 1) / (1 << 22)
+            r, c = -math.log(u * v), -math.log((((g >> 32) + 0.5) / (1 << 32)) * (((g & 0xFFFFFFFF) + 0.5) / (1 << 32)))
             t = math.floor((0.0 if weight == 1 else math.log(weight)) / r + b)
             score = math.log(c) - r * (t - b) - r
             whole = int((score + 100.0) * (1 << 24))
@@ -129,3 +129,16 @@ def test_mean_error_is_within_a_fixed_bound(spark):
     assert fingerprint.SAMPLES >= 64
     assert sum(errors) / len(errors) < 0.055
     assert sorted(errors)[len(errors) * 95 // 100] < 0.14
+
+
+def test_the_plan_stays_short(spark, sf_dir):
+    plan = queries.op3_fingerprint(spark, sf_dir)._jdf.queryExecution()
+    assert len(plan.optimizedPlan().toString()) < 100_000
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 3, 10, 97])
+def test_blocks_are_ranges_of_the_key(spark, blocks):
+    keys = spark.range(0, 5000, 7).selectExpr("id * id as key")
+    found = sorted((r.key, r.block) for r in fingerprint.with_block(keys, fingerprint._bounds(keys, blocks)).collect())
+    numbers = [b for _, b in found]
+    assert numbers == sorted(numbers) and numbers[0] == 0 and len(set(numbers)) == blocks
