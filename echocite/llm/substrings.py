@@ -1,7 +1,7 @@
 """Deletion of passages that repeat, by content-defined chunks.
 
 A gear hash rolls over each text's bytes; where a word starts and the hash is low enough a chunk ends, so an insertion
-moves only the chunks around it. Chunks are compared by digest. The first place of a digest, by id and position, is
+moves only the chunks around it. Within words chunks end only where a word is longer than words are. Chunks are compared by digest. The first place of a digest, by id and position, is
 kept; later places that follow each other make runs, and runs of enough bytes are the repeated passages.
 """
 
@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from echocite.llm.common import fresh, row_key, small_batches, utf8
+from echocite.session import settle
 
 REACH = 32  # bytes that the gear hash looks back on
 MIN_CHUNK = 20  # bytes
 MAX_CHUNK = 512
 MIN_RUN = 80  # bytes of chunks next to each other that make a passage
 AT_WORD = np.uint32((1 << 32) // 3)  # a word start ends a chunk if the hash is below this
-IN_WORD = np.uint32((1 << 32) // 400)  # and any other letter if it is below this
+IN_WORD = np.uint32((1 << 32) // 400)  # and another letter if it is below this and
+LONG_WORD = 64  # bytes lie since the last blank, as in texts without blanks
 PLACE = 1024  # a chunk's place is its first byte times this, plus its length
 
 _BLANK = np.zeros(256, bool)
@@ -51,15 +53,18 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def cuts(text: bytes) -> list[int]:
-    """Where chunks start, and the text's end. Chunks have 20 to 512 bytes, but for the last and letters at an end."""
+    """Where chunks start, and the text's end. Chunks have 20 to 512 bytes, but for the last and letters at an end.
+    They start where words do, but for the first, those after a chunk of 512 bytes and those in words of over 64."""
     size = len(text)
     if not size:
         return [0]
     data = np.frombuffer(text, np.uint8)
     h, blank = gear_hashes(data)[:-1], _BLANK[data]
     start = blank[:-1] & ~blank[1:]
-    letter = (data[1:] & 0xC0) != 0x80
-    found = (np.flatnonzero((start & (h < AT_WORD)) | (letter & (h < IN_WORD))) + 1).tolist()
+    inside = np.flatnonzero((h < IN_WORD) & ((data[1:] & 0xC0) != 0x80))
+    blanks = np.concatenate([[-1], np.flatnonzero(blank)])
+    inside = inside[inside - blanks[np.searchsorted(blanks, inside, "right") - 1] >= LONG_WORD]
+    found = (np.union1d(np.flatnonzero(start & (h < AT_WORD)), inside) + 1).tolist()
     out, last = [0], 0
     for at in [*found, size]:
         while at - last > MAX_CHUNK:
@@ -129,7 +134,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     pieces = chunks(docs, id_col, text_col)
     place = F.struct("key", "text_hash", "place")
     firsts = pieces.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.filter("first != last").select("digest", "first")
+    # Written, so that the join reads both sides from shuffles and a digest with very many places can be split.
+    firsts = settle(firsts.filter("first != last").select("digest", "first"), "first-chunks")
     later = pieces.join(firsts, "digest").filter(place != F.col("first"))
     chunk = F.struct("place", F.col("first.key").alias("source"))
     # No more than a document's own chunks; a chunk's row is a fraction of its text.

@@ -14,14 +14,15 @@ SCHEMA = "doc_id long, text string, place int, spans string, row_key string, kep
 def plain_cuts(text):
     """Cuts from a gear hash that is shifted byte by byte."""
     gears = [xxhash.xxh32_intdigest(bytes([b]), 7) for b in range(256)]
-    out, last, h = [0], 0, 0
+    out, last, h, blank = [0], 0, 0, -1
     for k in range(len(text)):
+        blank = k if text[k] in b" \t\n\x0b\x0c\r" else blank
         h = (h << 1) + gears[text[k]] & 0xFFFFFFFF
         at = k + 1
         if at == len(text):
             break
         word = text[k] in b" \t\n\x0b\x0c\r" and text[at] not in b" \t\n\x0b\x0c\r" and h < int(substrings.AT_WORD)
-        if word or (text[at] & 0xC0) != 0x80 and h < int(substrings.IN_WORD):
+        if word or (text[at] & 0xC0) != 0x80 and h < int(substrings.IN_WORD) and k - blank >= substrings.LONG_WORD:
             forced = forced_to(text, out, last, at)
             last = forced
             if at - last >= substrings.MIN_CHUNK:
@@ -134,7 +135,7 @@ def test_passages_of_fifty_words_are_caught_and_clean_documents_left(spark, seed
 @pytest.mark.parametrize("size", [0, 1, 5, 31, 32, 33, 700, 20_000])
 def test_cuts_equal_the_plain_ones(size):
     rnd = random.Random(size)
-    text = "".join(rnd.choice(["a", "b", " ", "\n", "é", "中", "word ", "q" * 90]) for _ in range(size)).encode()
+    text = "".join(rnd.choice(["a", "b", " ", "\n", "é", "中", "word ", "q" * 90, "中" * 400]) for _ in range(size)).encode()
     assert substrings.cuts(text) == plain_cuts(text)
     parts = [text[a:b] for a, b in zip(substrings.cuts(text), substrings.cuts(text)[1:])]
     assert b"".join(parts) == text and all(len(p) <= substrings.MAX_CHUNK for p in parts)
@@ -153,3 +154,9 @@ def test_an_insertion_moves_only_near_chunks():
 def test_gears_of_a_single_byte_run():
     data = np.zeros(64, np.uint8)
     assert len(set(substrings.gear_hashes(data)[31:].tolist())) == 1
+
+
+def test_ordinary_words_are_never_cut():
+    rnd = random.Random(4)
+    text = words(rnd, 60_000).encode()
+    assert all(a == 0 or text[a - 1 : a] == b" " for a in substrings.cuts(text)[:-1])
