@@ -1,12 +1,15 @@
 """Deletion of repeated lines and runs of them, in DataFrame functions only.
 
-Every line that isn't blank is a fingerprint. Its first place, by id and position, is its anchor; all later ones repeat
-it, and later ones that follow each other make runs (blank lines aside). Runs of MIN_CHARS or more are deleted, so the
-first of any equal lines is always kept, and a repeated line of MIN_CHARS or more always goes, whatever is around it.
-
-With longer grams (`gram` lines) or windows (of each window of grams the one with the least hash is a fingerprint) fewer
-rows are compared, but then only runs of gram + window - 1 lines are sure to be found. Fingerprints are extended both
-ways as far as the lines around the anchor agree; a window's length is as far as it need go.
+Lines that aren't blank are hashed, and of each window of grams (GRAM lines in a row) the one with the least hash is a
+fingerprint. A fingerprint's first place, by id and position, is its anchor; at all later ones the lines repeat, and so do
+the lines around them as far as they agree with those around the anchor. A window's length is as far as that need go, since
+a run that agrees further has its next fingerprint by then. Any repeated run of GRAM + WINDOW - 1 lines or more has a
+fingerprint, so most of what repeats is found from few rows, and what these runs cover is done with.
+
+The lines that are left, each a fingerprint of its own, are compared one by one: no line's first place is ever covered, so
+they tell shorter runs and single repeated lines exactly. Runs of repeated lines that follow each other (blank lines
+aside) are joined, and those of MIN_CHARS or more are deleted: the first of any equal lines is always kept, and a later
+one of MIN_CHARS or more always goes, whatever is around it.
 """
 
 from __future__ import annotations
@@ -14,20 +17,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echocite.llm.common import fresh, row_key
+from echocite.llm.common import fresh, once, row_key
+from echocite.session import settle
 
-GRAM = 1  # lines; a shorter run is never deleted
-WINDOW = 1  # grams; any run of GRAM + WINDOW - 1 lines is found
+GRAM = 2  # lines that make a gram
+WINDOW = 4  # grams; any run of GRAM + WINDOW - 1 lines has a fingerprint
 MIN_CHARS = 40  # that a deleted run has at least
 BLANKS = " \t\x0b\x0c\r"
 
 
-def _once(df: DataFrame, **columns: Column) -> DataFrame:
-    """`df` with columns made by a generator, so that the optimizer doesn't repeat them where they are used."""
-    made = F.explode(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))).alias("_made")
-    return df.select("*", made).select(*df.columns, "_made.*")
-
-
 def _lines(text: str) -> Column:
     return F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
 
@@ -49,31 +47,33 @@ def _full_lines(text: str) -> dict[str, Column]:
     }
 
 
-def _alike(a: str, b: str) -> Column:
+def _alike(a: str, b: Column) -> Column:
     """How many elements agree from the start of two arrays on."""
     same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
     first = F.array_position(same, F.lit(False))
     return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
 
 
-def fingerprints(docs: DataFrame, id_col: str, text_col: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, text_hash, h): the hashes of each row's lines that aren't blank, in order; settled."""
+    narrow = docs.select(row_key(id_col, text_col).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col))
+    marked = once(narrow, **_full_lines(text_col)).select("key", "text_hash", F.col("full.hash").alias("h"))
+    return settle(marked.filter(F.size("h") > 0), "line-hashes")
+
+
+def fingerprints(marked: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
     """(print, key, text_hash, at, before, after) for every selected gram: its hash, its place among the lines that
     aren't blank, and the line hashes around it, nearest first, as many as a window is long less one."""
-    narrow = docs.select(row_key(id_col, text_col).alias("key"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col))
-    marked = _once(narrow, **_full_lines(text_col)).select("key", "text_hash", F.col("full.hash").alias("h"))
-    marked = marked.filter(F.size("h") >= gram)
     grams = F.transform(
         F.sequence(F.lit(0), F.size("h") - gram),
         lambda k: F.struct(F.xxhash64(F.slice(F.col("h"), k + 1, F.lit(gram))).alias("print"), (-k).alias("minus")),
     )
-    if window == 1:  # every gram is selected
-        return _around(marked.select("key", "text_hash", "h", F.inline(grams)), gram, window)
-    marked = _once(marked, grams=grams)
+    listed = once(marked.filter(F.size("h") >= gram), grams=grams)
     least = F.transform(
         F.sequence(F.lit(0), F.greatest(F.size("grams") - window, F.lit(0))),
         lambda k: F.array_min(F.slice(F.col("grams"), k + 1, F.lit(window))),
     )
-    return _around(marked.select("key", "text_hash", "h", F.inline(F.array_distinct(least))), gram, window)
+    return _around(listed.select("key", "text_hash", "h", F.inline(F.array_distinct(least))), gram, window)
 
 
 def _around(chosen: DataFrame, gram: int, window: int) -> DataFrame:
@@ -85,31 +85,68 @@ def _around(chosen: DataFrame, gram: int, window: int) -> DataFrame:
     return chosen.select("print", "key", "text_hash", at.alias("at"), before.alias("before"), after.alias("after"))
 
 
-def repeated_runs(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW
-) -> DataFrame:
-    """(key, text_hash, runs): for each row with repeated lines the runs (first, end) to delete, as numbers of lines
-    that aren't blank, from 0, in order and apart from each other."""
-    found = fingerprints(docs, id_col, text_col, gram, window)
+def _later(found: DataFrame, name: str, carry: Column) -> DataFrame:
+    """Rows of `found` whose `name` has an earlier place, with the `carry` of the first one as `anchor`.
+
+    The first places are written, so that the join reads both its sides from shuffles and one value with very many
+    places can be split. Repeats of one row have one place.
+    """
     place = F.struct("key", "text_hash", "at")
-    spot = F.struct(place.alias("place"), F.col("before"), F.col("after"))
-    first = found.groupBy("print").agg(F.min(spot).alias("anchor"), F.max(place).alias("last"))
-    first = first.filter(F.col("anchor.place") != F.col("last")).select("print", "anchor")
-    pairs = found.join(first, "print").filter(place != F.col("anchor.place"))
-    pairs = pairs.select("*", F.col("anchor.before").alias("b"), F.col("anchor.after").alias("a"))
-    spans = pairs.select(
-        "key",
-        "text_hash",
-        (F.col("at") - _alike("before", "b")).alias("first"),
-        (F.col("at") + gram + _alike("after", "a")).alias("end"),
-    )
+    spot = F.struct(place.alias("place"), carry.alias("carry"))
+    first = found.groupBy(name).agg(F.min(spot).alias("anchor"), F.max(place).alias("last"))
+    first = first.filter(F.col("anchor.place") != F.col("last")).select(name, "anchor")
+    pairs = found.join(settle(first, f"first-{name}"), name).filter(place != F.col("anchor.place"))
+    return pairs.withColumn("anchor", F.col("anchor.carry"))
+
+
+def _joined(spans: DataFrame) -> DataFrame:
+    """(key, text_hash, runs): spans (first, end) that meet or overlap as one, in order; at most one for each line."""
     order = Window.partitionBy("key", "text_hash").orderBy("first", F.desc("end"))
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.when(F.col("first") <= reached, 0).otherwise(1)
     spans = spans.distinct().withColumn("starts", starts).withColumn("run", F.sum("starts").over(order))
     runs = spans.groupBy("key", "text_hash", "run").agg(F.min("first").alias("first"), F.max("end").alias("end"))
     listed = runs.groupBy("key", "text_hash").agg(F.collect_list(F.struct("first", "end")).alias("runs"))
-    return listed.select("key", "text_hash", F.sort_array("runs").alias("runs"))  # at most a run for each line
+    return listed.select("key", "text_hash", F.sort_array("runs").alias("runs"))
+
+
+def gram_runs(marked: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
+    """(key, text_hash, runs): the runs that fingerprints of grams find, extended both ways."""
+    found = fingerprints(marked, gram, window)
+    pairs = _later(found, "print", F.struct("before", "after"))
+    left, right = _alike("before", F.col("anchor.before")), _alike("after", F.col("anchor.after"))
+    first, end = (F.col("at") - left).alias("first"), (F.col("at") + gram + right).alias("end")
+    return _joined(pairs.select("key", "text_hash", first, end))
+
+
+def _left_over(marked: DataFrame, runs: DataFrame) -> DataFrame:
+    """(hash, key, text_hash, at) of the lines outside the runs."""
+    joined = marked.join(runs, ["key", "text_hash"], "left")
+    cut = F.coalesce("runs", F.array().cast("array<struct<first:int,end:int>>"))
+    joined = joined.select("key", "text_hash", "h", F.size("h").alias("size"), cut.alias("runs"))
+    gaps = F.transform(
+        F.sequence(F.lit(0), F.size("runs")),
+        lambda k: F.struct(
+            F.when(k == 0, 0).otherwise(F.get("runs", k - 1)["end"]).alias("first"),
+            F.coalesce(F.get("runs", k)["first"], F.col("size")).alias("end"),
+        ),
+    )
+    gaps = joined.select("key", "text_hash", "h", F.inline(gaps)).filter("first < end")
+    own = F.slice("h", F.col("first") + 1, F.col("end") - F.col("first"))
+    listed = gaps.select("key", "text_hash", "first", F.posexplode(own).alias("k", "line"))
+    return listed.select("line", "key", "text_hash", (F.col("first") + F.col("k")).alias("at"))
+
+
+def repeated_runs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW
+) -> DataFrame:
+    """(key, text_hash, runs): for each row with repeated lines the runs (first, end) of them, as numbers of lines that
+    aren't blank, from 0, in order and apart from each other."""
+    marked = line_hashes(docs, id_col, text_col)
+    covered = settle(gram_runs(marked, gram, window), "gram-runs")
+    single = _later(_left_over(marked, covered), "line", F.lit(None))
+    spans = single.select("key", "text_hash", F.col("at").alias("first"), (F.col("at") + 1).alias("end"))
+    return _joined(spans.unionByName(covered.select("key", "text_hash", F.inline("runs"))))
 
 
 def without_runs(
@@ -138,7 +175,7 @@ def without_runs(
         F.col(names["runs"]).alias("runs"),
         F.when(F.col(names["runs"]).isNotNull(), F.col(text_col)).alias("text"),
     )
-    part = _once(part, whole=_lines("text"), **_full_lines("text"))
+    part = once(part, whole=_lines("text"), **_full_lines("text"))
     full, whole = F.col("full"), F.col("whole")
 
     def chars(run: Column) -> Column:
@@ -152,7 +189,7 @@ def without_runs(
             F.get(full, run["first"])["at"].alias("first"), F.get(full, run["end"] - 1)["at"].alias("last")
         ),
     )
-    part = _once(part, cut=F.coalesce(spans, F.array().cast("array<struct<first:int,last:int>>")))
+    part = once(part, cut=F.coalesce(spans, F.array().cast("array<struct<first:int,last:int>>")))
     cut = F.col("cut")
     kept = F.transform(
         F.sequence(F.lit(0), F.size(cut)),

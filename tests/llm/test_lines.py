@@ -26,8 +26,8 @@ def chain(values):
     return signed(h)
 
 
-def plain(docs, gram=lines.GRAM, window=lines.WINDOW, min_chars=lines.MIN_CHARS):
-    """{(id, text): (kept text, deleted line numbers)}"""
+def plain(docs, gram=1, window=1, min_chars=lines.MIN_CHARS):
+    """{(id, text): (kept text, deleted line numbers)}; as it stands, by every line, without windows or extension"""
     places = {}
     for i, text in set(docs):
         h = text_hash(text)
@@ -146,3 +146,34 @@ def test_runs_as_long_as_the_guarantee_leave_no_whole_repeat(spark):
 def test_no_python_runs_on_executors(spark, sf_dir):
     plan = queries.op9_lines(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("gram,window", [(1, 2), (2, 4), (3, 3)])
+def test_runs_of_grams_equal_the_plain_ones(spark, gram, window):
+    """What fingerprints of grams find by themselves, with their extension."""
+    rnd = random.Random(gram)
+    docs = []
+    for i in range(50):
+        a = rnd.randrange(20)
+        own = [rnd.choice(LINE[:14]) if rnd.random() < 0.5 else f"line of its own {rnd.random()}" for _ in range(rnd.randint(0, 9))]
+        docs.append((i, "\n".join(own + LINE[a : a + rnd.randrange(16)] + own[:3])))
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marked = lines.line_hashes(frame)
+    found = {r.key: {k for s in r.runs for k in range(s["first"], s["end"])} for r in lines.gram_runs(marked, gram, window).collect()}
+    wanted = {d[0]: set(gone) for d, (_, gone) in plain(docs, gram, window, 0).items() if gone}
+    assert found == wanted
+    seen = {}
+    for i, text in docs:  # runs of this length that an earlier document has share a fingerprint with it
+        own = text.split("\n")
+        size = gram + window - 1
+        for k in range(len(own) - size + 1):
+            if seen.setdefault(tuple(own[k : k + size]), i) != i:
+                assert set(range(k, k + size)) & found[i]
+
+
+def test_one_line_in_every_document_is_split(spark):
+    """A plan in which no group of equal lines is bound to one task: the first places are a table of their own."""
+    docs = [(i, f"{LINE[3]} and more of it to be long\nown {i}") for i in range(2000)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    cut, names = lines.without_runs(frame)
+    assert cut.filter(f"{names['n_deleted']} = 1").count() == 1999
