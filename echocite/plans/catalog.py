@@ -276,14 +276,15 @@ def deep_records(spark, sf_dir):
     """Authors named, and self-citations marked, five records deep and on a path of their own.
 
     Every page is a record whose identified authors have no names of their own. Their last names are stated by an
-    editor of the record, their full names within bonds five levels deep, and an equally long name, in capitals, comes
-    after that below an element that is no bond. The deepest bond is marked as a self-citation of the page itself.
+    editor of the record, their full names within bonds five levels deep, and an equally long name, with the letters a to z
+    in capitals, comes after that below an element that is no bond. The deepest bond is marked as a self-citation of the page itself.
     """
     works = pagegraph.works(spark, sf_dir)
     authors = F.filter("authors", lambda a: a["id"] != "")
     bare = F.concat_ws("", F.transform(authors, lambda a: _bond_xml(a, "author", False)))
     full = F.concat_ws("", F.transform(authors, lambda a: _bond_xml(a, "editor", True)))
-    loud = lambda a: F.struct(F.upper(a["name"]).alias("name"), a["id"].alias("id"))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    loud = lambda a: F.struct(F.translate(a["name"], small, small.upper()).alias("name"), a["id"].alias("id"))
     late = F.concat_ws("", F.transform(authors, lambda a: _person_xml(loud(a), True)))
     deep = full
     for level in range(5):
