@@ -19,7 +19,7 @@ from echocite.operators.shaping import citing_id, merge_citations, person_index,
 from echocite.operators.skew import join_records
 from echocite.plans import dataset, detect, experiments
 from echocite.session import scratch_path, settle, spread_scan
-from echocite.sources import harvest, labelled, pagegraph, runlog, sinks
+from echocite.sources import harvest, harvest_source, labelled, pagegraph, runlog, sinks
 from echocite.sources.pagegraph import table
 from echocite.sources.requests import read_ids, request_ids
 from echocite.streaming import incremental
@@ -242,6 +242,88 @@ def citing_records(spark, sf_dir):
     )
 
 
+# Short, so that the given tables' files have records on either side of many bounds and across them.
+SPLIT_BYTES = 100_000
+PROTOCOL = ("record", "header", "identifier", "datestamp", "metadata")
+
+
+def _page_xml(record: Column, prefixed: Column) -> Column:
+    """A response page around a record; where `prefixed`, with a prefix for the protocol's tags."""
+    own = record
+    for tag in PROTOCOL:
+        own = F.regexp_replace(own, f"<(/?){tag}([ >])", f"<$1o:{tag}$2")
+    spaced = F.concat(F.lit('<o:ListRecords xmlns:o="urn:protocol">'), own, F.lit("</o:ListRecords >"))
+    plain = F.concat(F.lit("<ListRecords>"), record, F.lit("</ListRecords>"))
+    return F.concat(F.lit('<?xml version="1.0"?>'), F.when(prefixed, spaced).otherwise(plain))
+
+
+def _write_pages(rows: DataFrame, path: str, mode: str = "append") -> str:
+    """Files of response pages in a folder for each set, from (set, id, xml); odd sets have prefixed tags."""
+    pages = rows.select("set", "id", _page_xml(F.col("xml"), F.col("set").cast("long") % 2 == 1).alias("value"))
+    pages.repartitionByRange("set", "id").select("set", "value").write.mode(mode).partitionBy("set").text(path)
+    return path
+
+
+def _citing_pages(spark, sf_dir) -> DataFrame:
+    """(set, id, xml) of every edge as a harvested record with its bond and its own date."""
+    heads = _record_xml(pagegraph.works(spark, sf_dir)).select(F.col("work_id").alias("citing_id"), "head")
+    rows = join_records(pagegraph.edges(spark, sf_dir), [(heads, "citing_id", "inner")])
+    bond = F.concat(
+        F.lit("<n:cross_biblio_biblio><autocitation>"), F.when(F.col("is_xml"), "True").otherwise("no"),
+        F.lit('</autocitation><n:rec_biblio id=" '), F.col("main_id"), F.lit('"/></n:cross_biblio_biblio>'),
+    )
+    day = F.concat(F.lit("<datestamp>"), F.date_format("datestamp", "yyyy-MM-dd"), F.lit("</datestamp>"))
+    head = F.replace(F.col("head"), F.lit("<datestamp>2001-01-01</datestamp>"), day)
+    xml = F.concat(head, bond, F.lit(RECORD_TAIL)).alias("xml")
+    return rows.select(F.col("main_id").alias("set"), F.col("citing_id").alias("id"), xml, "datestamp")
+
+
+@query
+def harvested_mains(spark, sf_dir):
+    """Every page as a main record in a file of response pages, read back and shaped into a work."""
+    written = _record_xml(pagegraph.works(spark, sf_dir))
+    xml = F.concat("head", F.lit(RECORD_TAIL)).alias("xml")
+    path = _write_pages(written.select(F.lit("1").alias("set"), F.col("work_id").alias("id"), xml), scratch_path(spark, "mains"))
+    shaped = shape_works(harvest_source.parsed(harvest_source.read_harvest(spark, path, SPLIT_BYTES)))
+    return shaped.select("work_id", "title", author_text(F.col("authors")).alias("authors"))
+
+
+@query
+def harvested_pages(spark, sf_dir):
+    """Every edge as a citing record in files of response pages, a folder for each main, read back and shaped."""
+    path = _write_pages(_citing_pages(spark, sf_dir), scratch_path(spark, "citing"))
+    read = harvest_source.read_harvest(spark, path, SPLIT_BYTES)
+    shaped = shape_citations(harvest_source.parsed(read), "set")
+    return shaped.select("main_id", "citing_id", "title", author_text(F.col("authors")).alias("authors"), "is_xml")
+
+
+@query
+def harvested_since(spark, sf_dir):
+    """The citing records from a date on, the bound left to the source of the files."""
+    path = _write_pages(_citing_pages(spark, sf_dir), scratch_path(spark, "citing"))
+    read = harvest_source.read_harvest(spark, path, SPLIT_BYTES).filter((F.col("stamp") >= SINCE) & ~F.col("deleted"))
+    shaped = shape_citations(harvest_source.parsed(read), "set")
+    return shaped.select("main_id", "citing_id", "is_xml", "datestamp")
+
+
+@query
+def harvest_stream(spark, sf_dir):
+    """A stream of harvested files: two deliveries to every set and three starts of the query, the last for nothing."""
+    inbox, out, state = (scratch_path(spark, name) for name in ("inbox", "shaped", "state"))
+    rows = _citing_pages(spark, sf_dir)
+    early = F.col("datestamp") < F.lit(SINCE).cast("timestamp")
+    for number, own in enumerate((rows.filter(early), rows.filter(~early), rows.limit(0))):
+        parts = own.withColumn("delivery", F.lit(number))
+        pages = parts.select("set", "delivery", "id", _page_xml(F.col("xml"), F.col("set").cast("long") % 2 == 1).alias("value"))
+        pages = pages.repartitionByRange("set", "id").drop("id")
+        pages.write.mode("append").partitionBy("set", "delivery").text(inbox)
+        arrived = harvest_source.parsed(harvest_source.stream_harvest(spark, inbox, SPLIT_BYTES))
+        shaped = shape_citations(arrived, "set").select("main_id", "citing_id", "is_xml", "datestamp")
+        writer = shaped.writeStream.format("parquet").option("path", out).option("checkpointLocation", state)
+        writer.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)
+
+
 def _faulty(spark, sf_dir) -> DataFrame:
     """(set, xml) of every edge in two overlapping harvests: flagged edges are deleted records, those of January have
     no date, those of February none at all, and the second harvest repeats the first under a newer title."""

@@ -564,3 +564,9 @@ select l_orderkey, l_linenumber, l_partkey, l_suppkey,
        case when l_quantity > 45 then 'x7y' end as "unhandledInput"
 from lineitem where l_discount >= 0.1 or l_quantity > 45""",
 }
+
+# The same rows, read back from files.
+ORACLES["harvested_mains"] = ORACLES["main_records"]
+ORACLES["harvested_pages"] = ORACLES["citing_records"]
+ORACLES["harvested_since"] = ORACLES["edges_since"]
+ORACLES["harvest_stream"] = query("select main_id, citing_id, is_xml, datestamp from edges", EDGES)
