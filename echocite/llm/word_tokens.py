@@ -24,8 +24,10 @@ from tokenizers import Tokenizer
 
 from echocite.llm.common import fresh, small_batches, strings
 from echocite.llm.lexicon import Lexicon, build
+from echocite.session import settle
 
 VOCABULARY = "word_bpe_49k.json"
+EXACT_COUNTS = 1000
 LEXICON_WORDS = 60_000  # at most so many words, the most frequent ones, are compiled: a few MB
 COUNTED = 300_000  # distinct words that a task counts before it hands its counts on
 HELD_CHUNKS = 150_000  # chunks whose ids a worker remembers
@@ -149,18 +151,34 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield handed()
 
 
+def frequent_words(counts: DataFrame, words: int) -> DataFrame:
+    """The rows of (word, n) with the greatest counts, at most `words` of them, equal counts all or none."""
+    step = F.when(F.col("n") <= EXACT_COUNTS, F.col("n"))  # counts above are told apart by their size to a hundredth
+    step = step.otherwise(EXACT_COUNTS + F.floor(100 * F.log(F.col("n") / float(EXACT_COUNTS))))
+    steps = counts.groupBy(step.cast("long").alias("step")).agg(F.count(F.lit(1)).alias("held"), F.min("n").alias("n"))
+    least, total = None, 0
+    for r in steps.orderBy(F.desc("step")).collect():  # a row for each step, a few thousand at most
+        total += r["held"]
+        if total > words:
+            break
+        least = r["n"]
+    return counts.filter(F.lit(False) if least is None else F.col("n") >= least)
+
+
 def send_lexicon(docs: DataFrame, path: str | None, text_col: str = "text", words: int = LEXICON_WORDS) -> str:
     """Compile the corpus's most frequent words, send the file to all executors, and return its name.
 
-    All texts are counted. The driver sees the `words` most frequent words only. Executors that join later fetch the
-    file as well.
+    All texts are counted. The driver sees at most `words` words, once: those with at least the least count that no more
+    words have, which a histogram of counts tells before. Executors that join later fetch the file as well; it lies below
+    the driver's folder for files that Spark sends, which is not shared and need not be.
     """
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     counted = docs.select(text_col).mapInArrow(_count_words, "word string, n long")
-    counts = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+    counts = counted.groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1")
+    frequent = frequent_words(settle(counts, "word-counts"), words)
     merges = Merges(path or public_tokenizers.path(VOCABULARY))
-    data = build({w: merges.ids(w) for w in (r["word"].encode() for r in counts.select("word").collect())})
+    data = build({w: merges.ids(w) for w in (r["word"].encode() for r in frequent.select("word").collect())})
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     # Below the folder that Spark itself keeps for files to be sent and removes at its end.
     folder = os.path.join(SparkFiles.getRootDirectory(), "lexicons")

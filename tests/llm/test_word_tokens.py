@@ -131,3 +131,18 @@ def test_a_lexicon_does_not_change_ids(tmp_path, library):
     with_file, without = word_tokens.WordTokens(PATH, str(path)), word_tokens.WordTokens(PATH)
     for text in texts:
         assert with_file.encode(text) == without.encode(text)
+
+
+@pytest.mark.parametrize("words", [0, 1, 5, 40, 200, 10_000])
+def test_frequent_words_are_bounded_and_the_most_frequent(spark, words):
+    rnd = random.Random(words)
+    counts = {f"w{k}": rnd.choice([2, 2, 2, 3, 7, rnd.randrange(2, 2000), rnd.randrange(2, 10**9)]) for k in range(400)}
+    frame = spark.createDataFrame(list(counts.items()), "word string, n long")
+    found = {r.word for r in word_tokens.frequent_words(frame, words).collect()}
+    assert len(found) <= words
+    rest = [n for w, n in counts.items() if w not in found]
+    assert not found or not rest or min(counts[w] for w in found) > max(rest)
+    if words >= 400:
+        assert len(found) == 400
+    if words == 200:
+        assert len(found) > 50
