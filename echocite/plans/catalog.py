@@ -22,7 +22,7 @@ from echocite.session import scratch_path, settle, spread_scan
 from echocite.sources import harvest, harvest_source, labelled, pagegraph, runlog, sinks
 from echocite.sources.pagegraph import table
 from echocite.sources.requests import read_ids, request_ids
-from echocite.streaming import incremental
+from echocite.streaming import incremental, waiting
 
 SINCE = "1998-01-01"
 
@@ -576,6 +576,21 @@ def incremental_status(spark, sf_dir):
     return incremental.judged(spark, out).select("main_id", "citing_id", "status", "score")
 
 
+@query
+def stateful_status(spark, sf_dir):
+    """Statuses from streams of works and edges: three deliveries, the second with edges again, the third with late works."""
+    works_dir, edges_dir, out, state = (scratch_path(spark, name) for name in ("works", "edges", "judged", "state"))
+    works = pagegraph.works(spark, sf_dir).select("work_id", "title", "authors")
+    edges = pagegraph.edges(spark, sf_dir).withColumn("datestamp", F.col("datestamp").cast("timestamp"))
+    early = F.col("title") < "M"
+    deliveries = [(works.filter(early), since(edges, SINCE)), (works.limit(0), edges), (works.filter(~early), edges.limit(0))]
+    for own_works, own_edges in deliveries:
+        own_works.write.mode("append").parquet(works_dir)
+        own_edges.write.mode("append").parquet(edges_dir)
+        waiting.judge_streams(spark, works_dir, edges_dir, out, state).awaitTermination()
+    return spark.read.parquet(out).select("main_id", "citing_id", "status", "score")
+
+
 @query
 def edge_status_detected(spark, sf_dir):
     """Staging rows of the detected-only view."""

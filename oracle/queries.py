@@ -570,3 +570,4 @@ ORACLES["harvested_mains"] = ORACLES["main_records"]
 ORACLES["harvested_pages"] = ORACLES["citing_records"]
 ORACLES["harvested_since"] = ORACLES["edges_since"]
 ORACLES["harvest_stream"] = query("select main_id, citing_id, is_xml, datestamp from edges", EDGES)
+ORACLES["stateful_status"] = ORACLES["incremental_status"]
