@@ -1,50 +1,58 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 A document is a bag of words, each weighted by how often it occurs. For every word and sample number a hash gives
-fixed variates: r and c from a gamma distribution of shape 2, which is -ln(u v) of two uniforms, and a uniform b. A word of weight S scores
-c / (y e^r) with t = floor(ln S / r + b) and y = exp(r (t - b)); the sample is the word with the least score together
-with its t. Two documents agree on a sample with a probability equal to their generalised Jaccard similarity, the sum
-of the lesser weights over the sum of the greater ones, so the share of equal samples estimates it.
+fixed variates: r and c from a gamma distribution of shape 2, which is -ln(u v) of two uniforms, and a uniform b. A word of
+weight S scores c / (y e^r) with t = floor(ln S / r + b) and y = exp(r (t - b)); the sample is the word with the least score
+together with its t. Two documents agree on a sample with a probability equal to their generalised Jaccard similarity,
+the sum of the lesser weights over the sum of the greater ones, so the share of equal samples estimates it.
 
 The words of a text are counted in its own row, so no word is shuffled: texts move once, into blocks of neighbouring
-ids, where a window finds each document's successor. Words then become rows only within a task.
+ids, where a window finds each document's successor. Words then become rows only within a task. Words that occur once both
+in a text and in its edited form are scored once for the two.
 """
 
 from __future__ import annotations
 
 import math
 
+import xxhash
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from echocite.llm.common import row_key
+from echocite.llm.common import once, row_key
 
 SAMPLES = 64
 BLOCK_ROWS = 50_000
 MOST_BLOCKS = 65_536  # so the bounds between blocks take half a megabyte; in larger tables blocks are longer
 BLANKS = " \t\n\x0b\x0c\r"
-SCORE_SHIFT, SCORE_SCALE = 100.0, float(1 << 24)  # scores as whole numbers that order alike: |ln score| is below 100
+SCORE_SCALE = float(1 << 26)  # scores as whole numbers: no score is above 20.8, so they take 31 bits
 LOW = (1 << 32) - 1
-THIRD = (1 << 21) - 1
+OWN, EDITED, BEYOND, SHARED = range(4)  # whose words a row has: the text's, its edited form's, the next text's, both's
 
 
-def _uniform(bits: Column, width: int) -> Column:
-    """A number strictly between 0 and 1 from so many bits."""
-    return (bits.cast("double") + 0.5) * 2.0**-width
+def _bits(h: Column, at: int, width: int) -> Column:
+    return F.shiftrightunsigned(h, at).bitwiseAND(F.lit((1 << width) - 1)).cast("double")
+
+
+def _log_product(h: Column, at: int, width: int) -> Column:
+    """-ln(u v) of two numbers strictly between 0 and 1, from so many bits each."""
+    u, v = _bits(h, at, width), _bits(h, at + width, width)
+    return -F.log((u + 0.5) * (v + 0.5) * 4.0**-width)
+
+
+def sample_seed(number: int) -> int:
+    """What a word's hash is combined with for one sample."""
+    return int.from_bytes(xxhash.xxh64_digest(number.to_bytes(4, "big")), "big", signed=True)
 
 
 def _sample(term: Column, log_weight: Column, number: int) -> Column:
     """Score (high 32 bits) and identity (low 32 bits) of a weighted word for one sample; the least is the sample."""
-    h, g = F.xxhash64(term, F.lit(2 * number)), F.xxhash64(term, F.lit(2 * number + 1))
-    u, v = F.shiftrightunsigned(h, 43), F.shiftrightunsigned(h, 22).bitwiseAND(F.lit(THIRD))
-    r = -F.log(_uniform(u, 21) * _uniform(v, 21))
-    b = h.bitwiseAND(F.lit(2 * THIRD + 1)).cast("double") * 2.0**-22
-    c = -F.log(_uniform(F.shiftrightunsigned(g, 32), 32) * _uniform(g.bitwiseAND(F.lit(LOW)), 32))
+    h = F.xxhash64(term.bitwiseXOR(F.lit(sample_seed(number))))
+    b, r, c = _bits(h, 0, 10) * 2.0**-10, _log_product(h, 10, 13), _log_product(h, 36, 14)
     t = F.when(log_weight == 0, F.lit(0).cast("long")).otherwise(F.floor(log_weight / r + b))
-    score = F.log(c) - r * (t.cast("double") - b) - r
-    whole = ((score + SCORE_SHIFT) * SCORE_SCALE).cast("long")
-    return F.shiftleft(whole, 32).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(LOW)))
+    score = c * F.exp(r * (b - 1.0 - t.cast("double")))
+    return F.shiftleft((score * SCORE_SCALE).cast("long"), 32).bitwiseOR(h.bitwiseXOR(t).bitwiseAND(F.lit(LOW)))
 
 
 def weighted_words(text: Column) -> Column:
@@ -53,38 +61,46 @@ def weighted_words(text: Column) -> Column:
     return F.sort_array(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def _runs(words: Column) -> Column:
-    """(term, weight) of every run of equal values in a sorted array."""
-    places = F.sequence(F.lit(0), F.size(words) - 1)
-    starts = F.filter(places, lambda p: (p == 0) | (F.get(words, p) != F.get(words, p - 1)))
-    return F.transform(
-        starts,
-        lambda p: F.struct(F.get(words, p).alias("term"), p.alias("at")),
-    )
+def _with_bags(rows: DataFrame, texts: dict[str, Column]) -> DataFrame:
+    """`rows` with an array of (term, weight), the distinct words of a text, for each of `texts`; NULL for NULL."""
+    names = list(texts)
+    held = once(rows, **{f"{n}_words": F.when(t.isNotNull(), weighted_words(t)) for n, t in texts.items()})
 
+    def starts(name: str) -> Column:
+        words = F.col(f"{name}_words")
+        places = F.sequence(F.lit(0), F.size(words) - 1)
+        return F.filter(places, lambda p: (p == 0) | (F.get(words, p) != F.get(words, p - 1)))
 
-def signatures(rows: DataFrame, keys: list[str], text_col: str, carry: list[str], samples: int = SAMPLES) -> DataFrame:
-    """`keys`, the whole numbers in `carry`, and `signature` (an array of 32-bit samples) for each row of `rows`.
+    held = once(held, **{f"{n}_starts": F.when(F.col(f"{n}_words").isNotNull(), starts(n)) for n in names})
 
-    `keys` identify a row. Where `rows` are already partitioned by some of them nothing is shuffled.
-    """
-    # Generators keep the optimizer from repeating a word array wherever it is used.
-    sorted_words = rows.select(*keys, *carry, F.explode(F.array(weighted_words(F.col(text_col)))).alias("words"))
-    size = F.size("words")
-    runs = sorted_words.select(*keys, *carry, size.alias("n"), F.explode(F.array(_runs(F.col("words")))).alias("runs"))
-    following = F.transform(
-        "runs",
-        lambda run, k: F.struct(
-            run["term"].alias("term"),
-            (F.coalesce(F.get(F.col("runs"), k + 1)["at"], F.col("n")) - run["at"]).alias("weight"),
-        ),
-    )
-    terms = runs.select(*keys, *carry, F.inline(following))
+    def bag(name: str) -> Column:
+        words, at = F.col(f"{name}_words"), F.col(f"{name}_starts")
+        return F.transform(
+            at,
+            lambda p, k: F.struct(
+                F.get(words, p).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(words)) - p).alias("weight")
+            ),
+        )
+
+    return once(held, **{n: bag(n) for n in names}).select(*rows.columns, *names)
+
+
+def least_samples(terms: DataFrame, keys: list[str], carry: list[str], samples: int = SAMPLES) -> DataFrame:
+    """`keys`, `carry` (whole numbers that are the same for all rows of a key) and `least`: the packed least sample of
+    each number over the rows (term, weight) of a key. Where rows are partitioned by some of `keys` nothing is shuffled."""
     terms = terms.withColumn("log_weight", F.when(F.col("weight") == 1, 0.0).otherwise(F.log(F.col("weight"))))
     scored = [F.min(_sample(F.col("term"), F.col("log_weight"), k)).alias(f"s{k}") for k in range(samples)]
     least = terms.groupBy(*keys).agg(*[F.min(c).alias(c) for c in carry], *scored)
-    signature = F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(LOW)) for k in range(samples)])
-    return least.select(*keys, *carry, signature.alias("signature"))
+    return least.select(*keys, *carry, F.array(*[f"s{k}" for k in range(samples)]).alias("least"))
+
+
+def _lesser(a: Column, b: Column) -> Column:
+    """Samples of the words of both; either may be missing."""
+    return F.coalesce(F.zip_with(a, b, lambda x, y: F.least(x, y)), a, b)
+
+
+def _identities(least: Column) -> Column:
+    return F.transform(least, lambda x: x.bitwiseAND(F.lit(LOW)))
 
 
 def likeness(a: str, b: str) -> Column:
@@ -174,28 +190,42 @@ def fingerprint_edits(
     rows = with_successor(docs, id_col, text_col)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))
-    contents = [F.col("text"), edited, F.when(F.col("last"), F.col("next"))]
-    sides = F.array(*[F.struct(F.lit(k).alias("side"), c.alias("content")) for k, c in enumerate(contents)])
     n_chars = F.length("text").cast("long").alias("n_chars")
-    parts = rows.select("block", "place", "doc_id", n_chars, F.inline(sides)).filter("content is not null")
-    digest = F.explode(F.array(F.sha2(F.when(F.col("side") == 1, F.col("content")), 256))).alias("digest")
-    parts = parts.select("*", digest)
+    rows = rows.select("block", "place", "doc_id", n_chars, "text", "next", "last", edited.alias("changed"))
     digests = [f"digest{k}" for k in range(5)]
-    parts = parts.select("*", *[c.alias(n) for c, n in zip(_halves(F.col("digest")), digests)])
+    rows = once(rows, digest=F.sha2("changed", 256))
+    rows = rows.select("*", *[c.alias(n) for c, n in zip(_halves(F.col("digest")), digests)])
+    texts = {"own": F.col("text"), "edited": F.col("changed"), "beyond": F.when(F.col("last"), F.col("next"))}
     carry = ["doc_id", "n_chars", *digests]
-    made = signatures(parts, ["block", "place", "side"], "content", carry, samples)
+    bags = _with_bags(rows, texts).select("block", "place", *carry, *texts)
+
+    def single(name: str) -> Column:
+        return F.transform(F.filter(name, lambda x: x["weight"] == 1), lambda x: x["term"])
+
+    bags = once(bags, shared=F.array_intersect(single("own"), single("edited")))
+
+    def weighted(terms: Column) -> Column:
+        return F.transform(terms, lambda x: F.struct(x.alias("term"), F.lit(1).alias("weight")))
+
+    def alone(name: str) -> Column:
+        more = F.filter(name, lambda x: x["weight"] > 1)
+        return F.concat(more, weighted(F.array_except(single(name), F.col("shared"))))
+
+    sides = {OWN: alone("own"), EDITED: alone("edited"), BEYOND: F.col("beyond"), SHARED: weighted(F.col("shared"))}
+    listed = F.array(*[F.struct(F.lit(k).alias("side"), terms.alias("terms")) for k, terms in sides.items()])
+    parts = bags.select("block", "place", *carry, F.inline(listed))
+    terms = parts.select("block", "place", *carry, "side", F.inline("terms"))
+    made = least_samples(terms, ["block", "place", "side"], carry, samples)
 
-    def of(side: int, name: str) -> Column:
-        return F.first(F.when(F.col("side") == side, F.col(name)), ignorenulls=True)
+    def of(side: int) -> Column:
+        return F.first(F.when(F.col("side") == side, F.col("least")), ignorenulls=True)
 
     wide = made.groupBy("block", "place").agg(
-        F.min("doc_id").alias("doc_id"),
-        F.min("n_chars").alias("n_chars"),
-        *[F.min(n).alias(n) for n in digests],
-        of(0, "signature").alias("own"),
-        of(1, "signature").alias("edited"),
-        of(2, "signature").alias("beyond"),
+        *[F.min(c).alias(c) for c in carry],
+        *[of(side).alias(name) for side, name in ((OWN, "own"), (EDITED, "edited"), (BEYOND, "beyond"), (SHARED, "shared"))],
     )
+    whole = {n: _identities(_lesser(F.col(n), F.col("shared"))) for n in ("own", "edited")}
+    wide = wide.withColumns({**whole, "beyond": _identities(F.col("beyond"))})
     order = Window.partitionBy("block").orderBy("place")
     wide = wide.withColumn("next", F.coalesce("beyond", F.lead("own").over(order)))
     return wide.select(

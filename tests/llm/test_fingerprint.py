@@ -36,14 +36,14 @@ def plain_signature(text, samples=fingerprint.SAMPLES):
         best = None
         for word, weight in counts.items():
             term = xxhash.xxh64_intdigest(word.encode(), 42)
-            first = xxhash.xxh64_intdigest(term.to_bytes(8, "little"), 42)
-            h, g = (xxhash.xxh64_intdigest((2 * number + k).to_bytes(4, "little"), first) for k in range(2))
-            u, v = ((x + 0.5) / (1 << 21) for x in (h >> 43, h >> 22 & (1 << 21) - 1))
-            b = (h & (1 << 22) - 1) / (1 << 22)
-            r, c = -math.log(u * v), -math.log((((g >> 32) + 0.5) / (1 << 32)) * (((g & 0xFFFFFFFF) + 0.5) / (1 << 32)))
+            seed = fingerprint.sample_seed(number) & MASK
+            h = xxhash.xxh64_intdigest((term ^ seed).to_bytes(8, "little"), 42)
+            b = (h & 1023) / 1024
+            u, v = (((h >> k & (1 << 13) - 1) + 0.5) / (1 << 13) for k in (10, 23))
+            w, x = (((h >> k & (1 << 14) - 1) + 0.5) / (1 << 14) for k in (36, 50))
+            r, c = -math.log(u * v), -math.log(w * x)
             t = math.floor((0.0 if weight == 1 else math.log(weight)) / r + b)
-            score = math.log(c) - r * (t - b) - r
-            whole = int((score + 100.0) * (1 << 24))
+            whole = int(c * math.exp(r * (b - 1 - t)) * (1 << 26))
             value = whole << 32 | ((h ^ (t & MASK)) & 0xFFFFFFFF)
             best = value if best is None else min(best, value)
         out.append(f"{best & 0xFFFFFFFF:08x}")
