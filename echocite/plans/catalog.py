@@ -20,6 +20,7 @@ from echocite.operators.skew import join_records
 from echocite.plans import dataset, detect, experiments
 from echocite.session import scratch_path, settle, spread_scan
 from echocite.sources import harvest, harvest_source, labelled, pagegraph, runlog, sinks
+from echocite.sources.committed import read_committed, write_committed
 from echocite.sources.pagegraph import table
 from echocite.sources.requests import read_ids, request_ids
 from echocite.streaming import incremental, waiting
@@ -684,6 +685,18 @@ def run_log_append(spark, sf_dir):
     return runlog.read_runs(spark, path).drop("run_date", "error")
 
 
+@query
+def run_log_committed(spark, sf_dir):
+    """Two runs committed to a log of JSON lines, and read back."""
+    path = scratch_path(spark, "run-log")
+    works, edges = pagegraph.works(spark, sf_dir), pagegraph.edges(spark, sf_dir)
+    for start, stamp in ((None, "2026-01-01 08:00:00"), (SINCE, "2026-01-02 08:00:00")):
+        rows = status.full_status(detect.judge_edges(edges, works, from_date=start))
+        summary = summaries.per_article(works, summaries.count_full(rows))
+        runlog.commit_run(summary, path, F.lit(stamp).cast("timestamp"))
+    return read_committed(spark, path).drop("run_date", "error")
+
+
 # Dataset and evaluation
 
 
@@ -778,6 +791,41 @@ def sweep_file(spark, sf_dir):
     return rows.select(*[F.col(f"`{h}`").alias(names[h]) for h in names if names[h] not in evaluation.METRICS])
 
 
+@query
+def sweep_committed(spark, sf_dir):
+    """The single sweep, committed to a CSV file and read back whole, metrics to 4 digits."""
+    path = scratch_path(spark, "sweep")
+    write_committed(sinks.sweep_table(sweep_dl(spark, sf_dir)), path)
+    return sinks.from_headers(read_committed(spark, path), sinks.SWEEP_HEADER)
+
+
+@query
+def method_sweep_committed(spark, sf_dir):
+    """Both methods' sweep, committed to a CSV file and read back whole."""
+    path = scratch_path(spark, "methods")
+    write_committed(sinks.method_table(sweep_methods(spark, sf_dir)), path)
+    return sinks.from_headers(read_committed(spark, path), sinks.METHOD_HEADER)
+
+
+@query
+def experiments_combined(spark, sf_dir):
+    """The combined file of all three experiments, committed as JSON and read back whole, a row for each matrix in it."""
+    path = scratch_path(spark, "combined")
+    models = sinks.model_reports(evaluation.model_matrix(_model_rows(spark, sf_dir)), VECTOR_CUT)
+    write_committed(sinks.experiments_report(models, sweep_dl(spark, sf_dir), sweep_methods(spark, sf_dir)), path, "json")
+    report = read_committed(spark, path)
+    a = report.select(F.inline("experiment_A_errata_models")).select(
+        F.lit("A").alias("experiment"), F.col("model_name").alias("name"), "threshold", "metrics.*", "confusion_matrix.*"
+    )
+    b = report.select(F.inline("experiment_B_dl_sweep"))
+    b = b.select(F.lit("B"), F.lit("dl"), "dl_threshold", "metrics.*", "confusion_matrix.*")
+    c = report.select(F.inline("experiment_C_method_comparison"))
+    for method in ("jaro_winkler", "damerau_levenshtein"):
+        own = c.select(F.lit("C"), F.lit(method), "threshold", f"{method}.*")
+        b = b.unionAll(own.select("C", method, "threshold", *evaluation.METRICS, "confusion_matrix.*"))
+    return a.unionAll(b)
+
+
 @query
 def experiment_files(spark, sf_dir):
     """All experiments run and written; the models' matrices and numbers of errors read back from their files."""

@@ -7,14 +7,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from echocite.schemas import RUN_LOG
+from echocite.sources.committed import write_committed
 
 
-def append_run(summary: DataFrame, path: str, run_ts: Column | None = None) -> None:
-    """Add one run's article rows. Earlier runs are neither read nor rewritten."""
+def _stamped(summary: DataFrame, run_ts: Column | None) -> DataFrame:
     stamped = summary.withColumn("run_ts", F.current_timestamp() if run_ts is None else run_ts)
     dated = stamped.withColumn("run_date", F.to_date("run_ts"))
     present = [f.name if f.name in dated.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in RUN_LOG]
-    dated.select(*present).write.mode("append").partitionBy("run_date").parquet(path)
+    return dated.select(*present)
+
+
+def append_run(summary: DataFrame, path: str, run_ts: Column | None = None) -> None:
+    """Add one run's article rows. Earlier runs are neither read nor rewritten."""
+    _stamped(summary, run_ts).write.mode("append").partitionBy("run_date").parquet(path)
+
+
+def commit_run(summary: DataFrame, path: str, run_ts: Column | None = None) -> None:
+    """The same as JSON lines that count only once the whole run is written; `read_committed` reads them."""
+    write_committed(_stamped(summary, run_ts), path, "json", "append")
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

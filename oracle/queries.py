@@ -571,3 +571,22 @@ ORACLES["harvested_pages"] = ORACLES["citing_records"]
 ORACLES["harvested_since"] = ORACLES["edges_since"]
 ORACLES["harvest_stream"] = query("select main_id, citing_id, is_xml, datestamp from edges", EDGES)
 ORACLES["stateful_status"] = ORACLES["incremental_status"]
+ORACLES["run_log_committed"] = ORACLES["run_log_append"]
+ORACLES["method_sweep_committed"] = ORACLES["sweep_methods"]
+
+ROUNDED = ", ".join(f"round_even({m}, 4) as {m}" for m in ("precision", "recall", "f1", "accuracy"))
+ORACLES["sweep_committed"] = query(
+    f"select threshold, {ROUNDED}, tp, fp, tn, fn from dl_sweep", *EVALUATED, swept("dl_sweep", "dl_score")
+)
+ORACLES["experiments_combined"] = query(
+    f"""
+select 'A' as experiment, model as name, 0.6::double as threshold, {ROUNDED}, tp, fp, tn, fn from model_matrix
+union all select 'B', 'dl', threshold, {ROUNDED}, tp, fp, tn, fn from dl_sweep
+union all select 'C', 'jaro_winkler', threshold, jw_precision, jw_recall, jw_f1, jw_accuracy, jw_tp, jw_fp, jw_tn, jw_fn
+from side_by_side
+union all select 'C', 'damerau_levenshtein', threshold, dl_precision, dl_recall, dl_f1, dl_accuracy, dl_tp, dl_fp, dl_tn, dl_fn
+from side_by_side""",
+    *dict.fromkeys(
+        [*EVALUATED, swept("dl_sweep", "dl_score"), swept("jw_sweep", "jw_score"), SIDE_BY_SIDE, *MODELLED]
+    ),
+)

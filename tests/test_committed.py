@@ -1,0 +1,94 @@
+"""The committed sink: whole runs or none, headers without rows, and values that come back as they were."""
+
+import datetime
+import json
+import os
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from echocite.sources.committed import CommittedWriter, committed_runs, read_committed, write_committed
+
+AWKWARD = [
+    ("plain", 1, 0.1, True),
+    ("", None, float("1e-300"), False),
+    (None, -5, None, None),
+    ('quote " and, comma', 2**62, 1e300, True),
+    ("two\nlines\r\nand\ttabs", 0, -0.0, False),
+    ("Záznam nedostupný \U0001f600", 7, 1 / 3, True),
+    (" spaces ", 8, 2.0, None),
+]
+SCHEMA = "text string, number long, real double, flag boolean"
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_values_come_back(spark, tmp_path, kind):
+    frame = spark.createDataFrame(AWKWARD, SCHEMA).repartition(3)
+    write_committed(frame, str(tmp_path), kind)
+    found = read_committed(spark, f"file://{tmp_path}")
+    assert found.schema == frame.schema
+    assert rows(found) == sorted(AWKWARD, key=str)
+
+
+def test_nested_values_come_back_from_json(spark, tmp_path):
+    frame = spark.createDataFrame(
+        [
+            (1, [("a", [1, 2]), ("ž", None)], {"k": 1.5}, datetime.datetime(2026, 1, 2, 3, 4, 5, 6), datetime.date(2026, 1, 2), Decimal("1.25")),
+            (2, [], None, None, None, None),
+        ],
+        "id int, list array<struct<name:string,own:array<int>>>, map map<string,double>, at timestamp, day date, price decimal(9,2)",
+    )
+    write_committed(frame, str(tmp_path), "json")
+    assert rows(read_committed(spark, str(tmp_path))) == rows(frame)
+    with pytest.raises(Exception, match="nested"):
+        write_committed(frame, str(tmp_path / "csv"), "csv")
+
+
+def test_a_header_without_rows(spark, tmp_path):
+    write_committed(spark.createDataFrame([], SCHEMA), str(tmp_path))
+    assert read_committed(spark, str(tmp_path)).collect() == []
+    (manifest,) = committed_runs(str(tmp_path))
+    assert manifest["rows"] == 0
+    assert (tmp_path / manifest["files"][0]).read_text() == "text,number,real,flag\n"
+
+
+def test_append_and_overwrite(spark, tmp_path):
+    one, two = (spark.createDataFrame([(t, 1, 1.0, True)], SCHEMA) for t in ("one", "two"))
+    for frame, mode, wanted in [(one, "append", ["one"]), (two, "append", ["one", "two"]), (two, "overwrite", ["two"]), (one, "append", ["one", "two"])]:
+        write_committed(frame, str(tmp_path), "json", mode)
+        assert sorted(r.text for r in read_committed(spark, str(tmp_path)).collect()) == wanted
+    assert [m["overwrite"] for m in committed_runs(str(tmp_path))] == [True, False]
+
+
+def test_a_failed_task_leaves_no_partial_run(spark, tmp_path):
+    write_committed(spark.createDataFrame(AWKWARD, SCHEMA), str(tmp_path), "json", "append")
+    bad = F.when(F.col("id") == 90, F.raise_error(F.lit("task fails"))).otherwise(F.col("id").cast("string"))
+    frame = spark.range(0, 100, 1, 4).select(bad.alias("text"), F.col("id").alias("number"), F.lit(1.0).alias("real"), F.lit(True).alias("flag"))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="task fails"):
+            write_committed(frame, str(tmp_path), "json", mode)
+        assert rows(read_committed(spark, str(tmp_path))) == sorted(AWKWARD, key=str)
+    assert len(committed_runs(str(tmp_path))) == 1 and not [f for f in os.listdir(tmp_path / "_runs") if f.endswith(".tmp")]
+
+
+def test_files_of_lost_attempts_and_unfinished_manifests_are_not_seen(spark, tmp_path):
+    write_committed(spark.createDataFrame(AWKWARD, SCHEMA), str(tmp_path), "json")
+    (manifest,) = committed_runs(str(tmp_path))
+    folder = tmp_path / f"run={manifest['run']}"
+    (folder / "part-lost.json").write_text(json.dumps({"text": "lost"}) + "\n")
+    (tmp_path / "_runs" / "99999999999999999999-x.json.tmp").write_text("{")
+    assert rows(read_committed(spark, str(tmp_path))) == sorted(AWKWARD, key=str)
+
+
+def test_unknown_kinds_and_folders_are_errors(spark, tmp_path):
+    with pytest.raises(ValueError, match="kind"):
+        CommittedWriter({"path": str(tmp_path), "kind": "xlsx"}, spark.createDataFrame([], SCHEMA).schema, False)
+    with pytest.raises(Exception, match="no committed run"):
+        read_committed(spark, str(tmp_path / "none"))
+    with pytest.raises(Exception, match="one column"):
+        write_committed(spark.createDataFrame([(None,)], "a string"), str(tmp_path))
