@@ -32,31 +32,57 @@ def code_points(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return codes.astype(narrow), lengths
 
 
+WORD = 64
+
+
+def _carried(x: np.ndarray) -> np.ndarray:
+    """Numbers of several words, lowest first, shifted up by one bit."""
+    up = x << np.uint64(1)
+    up[1:] |= x[:-1] >> np.uint64(WORD - 1)
+    return up
+
+
+def _sum(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Sums of numbers of several words, modulo the words' length."""
+    total = x + y
+    if len(x) > 1:
+        carry = total < x
+        for k in range(1, len(x)):
+            total[k] += carry[k - 1]
+            carry[k] |= (total[k] == 0) & carry[k - 1]
+    return total
+
+
 def osa_block(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
-    """Restricted (no edit inside a swapped pair) edit distance of row pairs.
+    """Restricted (no edit inside a swapped pair) edit distance of row pairs, a bit for each row of the table.
 
-    Row i of the table is built for all pairs together. Deletion, replacement and swap
-    look at earlier rows only; insertions run along the row and are a running minimum
-    of (value - column). Pairs lie along the last axis, so every step is contiguous.
+    The table's next column follows from the differences between neighbouring cells of the last one, which are -1, 0 or
+    1 and so two bit vectors, by a fixed number of operations on words: Myers's method with Hyyrö's term for swaps.
+    Longer strings take several words, whose carries and shifts are handed on. The distance is followed at the
+    bit of each string's own length; bits beyond it have no part in that.
     """
-    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    small = np.int16 if len(a) + len(b) < 30_000 else np.int32
-    cols = np.arange(len(b) + 1, dtype=small)[:, None]
-    # Values are kept with their column already subtracted.
-    older = row = np.zeros((len(b) + 1, a.shape[1]), dtype=small)
-    result = lb.astype(np.int32)
-    for i in range(1, len(a) + 1):
-        differ = (b != a[i - 1]).view(np.int8)
-        best = np.empty_like(row)
-        best[0] = i
-        np.minimum(row[1:] + 1, row[:-1] + differ - 1, out=best[1:])
-        if i > 1 and len(b) > 1:
-            swapped = (b[:-1] == a[i - 1]) & (b[1:] == a[i - 2])
-            np.minimum(best[2:], older[:-2] + differ[1:] - 2, out=best[2:], where=swapped)
-        older, row = row, np.minimum.accumulate(best, axis=0, out=best)
-        ends = np.flatnonzero(la == i)
-        result[ends] = row[lb[ends], ends] + cols[lb[ends], 0]
-    return result
+    if a.shape[1] < b.shape[1]:
+        a, la, b, lb = b, lb, a, la
+    n, words = len(a), -(-a.shape[1] // WORD)
+    matches = np.zeros((n, words * WORD // 8), np.uint8)
+    used = -(-a.shape[1] // 8)
+    up, down = np.full((words, n), ~np.uint64(0)), np.zeros((words, n), np.uint64)
+    same, before = np.zeros((words, n), np.uint64), np.zeros((words, n), np.uint64)
+    last, shift = np.maximum(la - 1, 0) // WORD, (np.maximum(la - 1, 0) % WORD).astype(np.uint64)
+    rows, one = np.arange(n), np.uint64(1)
+    distance = la.astype(np.int32)
+    for j in range(b.shape[1]):
+        matches[:, :used] = np.packbits(a == b[:, j : j + 1], axis=1, bitorder="little")
+        equal = matches.view("<u8").T.copy()
+        swapped = _carried(~same & equal) & before
+        same = (_sum(equal & up, up) ^ up) | equal | down | swapped
+        plus, minus = down | ~(same | up), same & up
+        at_end = [(x[last, rows] >> shift & one).astype(np.int32) for x in (plus, minus)]
+        distance += np.where(j < lb, at_end[0] - at_end[1], 0)
+        plus, minus = _carried(plus), _carried(minus)
+        plus[0] |= one
+        up, down, before = minus | ~(same | plus), plus & same, equal
+    return np.where(la == 0, lb, distance).astype(np.int32)
 
 
 def jaro_block(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:

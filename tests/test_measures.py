@@ -1,3 +1,6 @@
+import random
+import sys
+
 import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
@@ -126,3 +129,19 @@ def test_decided_edges_send_nothing(spark):
     assert [tuple(r) for r in rows] == [(0.0, 0), (1.0, 1)]
 
 
+
+
+def test_long_names_take_several_words():
+    sys.setrecursionlimit(20_000)  # of the plain version
+    rnd = random.Random(8)
+    pairs = []
+    for size in (1, 2, 63, 64, 65, 127, 128, 129, 200, 400):
+        for _ in range(12):
+            a = "".join(rnd.choice("abž\0") for _ in range(size))
+            b = list(a)
+            for _ in range(rnd.randrange(12)):
+                k = rnd.randrange(len(b) + 1)
+                b[k : k + rnd.randrange(3)] = rnd.choice([[], ["a"], b[k : k + 2][::-1], ["ž", "b"]])
+            pairs += [(a, "".join(b)), (a, "".join(rnd.choice("ab") for _ in range(rnd.randrange(3 * size))))]
+    assert score(editing.osa_block, pairs) == [plain.osa(a, b) for a, b in pairs]
+    assert score(editing.osa_block, [(b, a) for a, b in pairs]) == [plain.osa(a, b) for a, b in pairs]
