@@ -27,7 +27,7 @@ RADIUS = 3  # the variants below are made for this distance
 SHINGLE = 3
 SEED = 42
 BLOCK = 65536  # shingles whose bits are counted at a time
-VARIANTS_PER_TASK = 1_000_000
+VARIANTS_PER_TASK = 300_000
 VARIANT = ["place", "variant", "bits"]
 
 _FLIPS_1 = np.array([0, *(1 << i for i in range(64))], np.uint64)
@@ -86,10 +86,11 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = merged(batches)
     if table is None:
         return
-    variant = table.column("variant").to_numpy().view(np.uint64)
-    bits = table.column("bits").to_numpy().view(np.uint64)
+    variant, bits = (table.column(k).to_numpy().view(np.uint64) for k in range(2))
+    del table
     order = np.argsort(variant, kind="stable")
     variant, bits = variant[order], bits[order]
+    del order
     same = variant[1:] == variant[:-1]
     met = np.concatenate([same, [False]]) | np.concatenate([[False], same])
     variant, bits = variant[met], bits[met]
@@ -119,7 +120,8 @@ def linked_fingerprints(distinct: DataFrame) -> DataFrame:
     tasks = tasks_for(distinct.count() * _ROWS, VARIANTS_PER_TASK, distinct.sparkSession)
     kind = ", ".join(f"{c} long" for c in VARIANT)
     made = distinct.select("bits").repartition(tasks, "bits").mapInArrow(_variants, kind)
-    return made.repartition(tasks, "place").mapInArrow(_meetings, "a long, b long")
+    dealt = made.repartition(tasks, "place").select("variant", "bits")
+    return dealt.mapInArrow(_meetings, "a long, b long")
 
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
