@@ -5,7 +5,7 @@ from functools import lru_cache
 
 
 def plain_name(name):
-    """Letter by letter: a letter with a spelling of its own is spelt out, and marks are left out."""
+    """Letter by letter: a letter with a spelling of its own is spelt out, and letters with a combining class are left out."""
     out = []
 
     def spell(letter):
@@ -13,7 +13,7 @@ def plain_name(name):
         if parts:
             for part in parts:
                 spell(chr(int(part, 16)))
-        elif not unicodedata.category(letter).startswith("M"):
+        elif unicodedata.combining(letter) == 0:  # not the category: marks of class 0 stay
             out.append(letter)
 
     for letter in name:

@@ -1,3 +1,5 @@
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from echocite.functions.numbers import round4, safe_ratio
 from echocite.functions.titles import has_errata_keyword, normalize_title, strip
 from echocite.functions.vectors import cosine, text_similarity, title_similarity
 from echocite.operators.errata import cheap_erratum, guarded_erratum, library_erratum, scored_erratum, with_title_forms
+from tests import plain
 
 # a, b, distance, similarity, Jaro, Jaro-Winkler of the normalised names
 NAME_PAIRS = [
@@ -169,3 +172,12 @@ def test_rounding_is_half_even_on_the_binary_value(spark):
 def test_safe_ratio(spark):
     row = spark.range(1).select(safe_ratio(F.lit(1), F.lit(0)).alias("z"), safe_ratio(F.lit(1), F.lit(4)).alias("q"))
     assert tuple(row.first()) == (0.0, 0.25)
+
+
+def test_marks_go_by_their_combining_class():
+    """Every mark between two letters: those of class 0 stay, whatever their category."""
+    marks = [chr(c) for c in range(0x250, 0x20000) if unicodedata.category(chr(c)).startswith("M") or unicodedata.combining(chr(c))]
+    classes = {unicodedata.combining(m) == 0 for m in marks}
+    assert classes == {True, False}
+    for mark in marks:
+        assert plain_name(f"a{mark}b") == plain.plain_name(f"a{mark}b"), hex(ord(mark))
