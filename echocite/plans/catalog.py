@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from echocite.functions import editing
 from echocite.functions.names import normalize_name
+from echocite.functions.title_terms import with_title_vectors
 from echocite.functions.titles import has_errata_keyword, normalize_title
 from echocite.functions.vectors import cosine, dot, with_norm
 from echocite.operators import citation_strings as strings
@@ -545,6 +546,20 @@ def edge_status_by_vector(spark, sf_dir):
     return rows[0].unionByName(rows[1])
 
 
+@query
+def edge_status_by_title(spark, sf_dir):
+    """Status of every edge where errata are found by vectors made from the titles, at two cuts."""
+    works = settle(with_title_vectors(pagegraph.works(spark, sf_dir)), "titled")
+    edges = pagegraph.edges(spark, sf_dir)
+    rows = [
+        status.full_status(detect.judge_edges(edges, works, title_threshold=cut)).select(
+            F.lit(cut).alias("cut"), "main_id", "citing_id", "status", "score"
+        )
+        for cut in (VECTOR_CUT, TITLE_THRESHOLD)
+    ]
+    return rows[0].unionByName(rows[1])
+
+
 @query
 def work_queue_by_vector(spark, sf_dir):
     """The work queue where errata are found by vector as well."""

@@ -590,3 +590,24 @@ from side_by_side""",
         [*EVALUATED, swept("dl_sweep", "dl_score"), swept("jw_sweep", "jw_score"), SIDE_BY_SIDE, *MODELLED]
     ),
 )
+
+TITLE_VECTORS = """
+title_words as (
+  select norm, word, count(*) as uses from (select norm, unnest(string_split(norm, ' ')) as word from (select distinct norm from titled))
+  where word <> '' group by norm, word),
+title_cells as (
+  select norm, slot, sum(w) as w from (
+    select t.norm, ('0x' || substr(md5(t.word), 1, 8))::bigint % 256 as slot,
+           uses * (ln((1.0::double + (select count(distinct norm) from titled where norm <> '')) / (1.0::double + n)) + 1.0::double) as w
+    from title_words t join (select word, count(*) as n from title_words group by word) using (word)) group by norm, slot),
+vectors as (
+  select w.work_id, v.embedding from titled w join (
+    select norm, list(coalesce(w, 0.0::double) order by slot) as embedding
+    from (select distinct norm from title_cells) cross join (select range as slot from range(256)) left join title_cells using (norm, slot)
+    group by norm) v using (norm))"""
+ORACLES["edge_status_by_title"] = query(
+    """
+select cut, main_id, citing_id, status, case when not guarded then score end as score
+from (select 0.6::double as cut, * from statuses union all by name select 0.9::double as cut, * from statuses_90)""",
+    *(TITLE_VECTORS if part is VECTORS else part for part in AT_TWO_CUTS),
+)
