@@ -7,6 +7,8 @@ look-around, so that they mean the same in other engines.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,6 +92,21 @@ ISSUE = ("issue", r"(?:no|č)\.([0-9]+(?:[-/][0-9]+)?)", 1)
 PAGE_RANGE = r"p{1,2}\.\[?([0-9]+)-([0-9]+)\]?"
 SINGLE_PAGE = ("page", r"p{1,2}\.\[?([0-9]+)\]?", 1)
 BARE_RANGE = r"([0-9]+)-([0-9]+)"
+# For each field literals of which every match of its rule holds at least one; True: in any case of letters.
+NEEDED = {
+    "link": (False, ["http"]),
+    "chapter": (True, ["kap.", "chap"]),
+    "format": (True, ["cd-rom", "dvd", "usb", "online"]),
+    "supplement": (True, ["suppl"]),
+    "doi": (False, ["10."]),
+    "series": (True, ["ser.", "series"]),
+    "isSpecialIssue": (False, ["spec", "mimoriadne"]),
+    "date": (False, [".19", ".20"]),
+    "articelNumber": (False, ["art.no."]),
+    "volume": (False, ["vol.", "roč."]),
+    "issue": (False, ["no.", "č."]),
+    "page": (False, ["p."]),
+}
 NOT_TEXT = r"[^\p{L}\p{N}]+"
 MONTH_NUMBERS = [
     ("jan", "1"), ("feb", "2"), ("mar", "3"), ("apr", "4"), ("máj", "5"), ("may", "5"), ("jún", "6"), ("jun", "6"),
@@ -127,10 +144,18 @@ def clean(text: Column) -> Column:
     return late_cleaning(F.replace(short, F.lit("[cit.]"), F.lit("")))
 
 
+def _due(field: str) -> Column:
+    """Whether `row` holds one of the literals without which a field's rule cannot match; told without an expression."""
+    folded, literals = NEEDED[field]
+    row = F.lower("row") if folded else F.col("row")
+    return reduce(Column.__or__, (F.contains(row, F.lit(x)) for x in literals))
+
+
 def _take(df: DataFrame, rule: tuple[str, str, int]) -> DataFrame:
     """Move what a rule finds in `row` to its field; NULL where it finds nothing."""
     field, pattern, group = rule
     found = F.nullif(F.regexp_extract("row", pattern, group), F.lit(""))
+    found = F.when(_due(field), found) if field in NEEDED else found
     # Only rows with a find are searched a second time.
     rest = F.when(F.col(field).isNotNull(), F.regexp_replace("row", pattern, "")).otherwise(F.col("row"))
     return df.withColumn(field, found).withColumn("row", rest)
@@ -140,6 +165,7 @@ def _take_pages(df: DataFrame) -> DataFrame:
     """A marked page range, else a marked page, else an unmarked range."""
 
     def take_range(rows: DataFrame, pattern: str, only: Column) -> DataFrame:
+        only = only & F.contains(F.col("row"), F.lit("-"))
         start = F.nullif(F.regexp_extract("row", pattern, 1), F.lit(""))
         end = F.nullif(F.regexp_extract("row", pattern, 2), F.lit(""))
         return rows.withColumns(
