@@ -134,6 +134,39 @@ def unify_abbreviations(text: Column) -> Column:
     return F.replace(F.lower(rewrite(text, ABBREVIATIONS)), F.lit(" "), F.lit(""))
 
 
+# Own rule: what stands before a numeral in volume or issue position, and numerals from I to MMMCMXCIX.
+ROMAN_PLACES = ("vol.", "Vol.", "roč.", "Roč.", "no.", "No.", "č.", "Č.", "iss.")
+ROMAN = "M{0,3}(?:CM|CD|D?C{0,3})(?:XC|XL|L?X{0,3})(?:IX|IV|V?I{0,3})"
+ROMAN_LETTERS = {"I": 1, "V": 5, "X": 10, "L": 50, "C": 100, "D": 500, "M": 1000}
+
+
+def roman_value(numeral: Column) -> Column:
+    """The number of a Roman numeral in capitals: a letter before a greater one counts against it."""
+    values = F.lit(None).cast("int")
+    letters = F.split(numeral, "")
+
+    def value(letter: Column) -> Column:
+        own = values
+        for name, number in ROMAN_LETTERS.items():
+            own = F.when(letter == name, number).otherwise(own)
+        return F.coalesce(own, F.lit(0))
+
+    numbers = F.transform(letters, value)
+    signed = F.transform(numbers, lambda x, k: F.when(x < F.coalesce(F.get(numbers, k + 1), F.lit(0)), -x).otherwise(x))
+    return F.aggregate(signed, F.lit(0), lambda total, x: total + x)
+
+
+def roman_number(text: Column, place: str) -> Column:
+    """Own rule, since none is given: a Roman numeral in capitals right after the word for volume or issue becomes a
+    number. Letters that are no numeral, or go on as a word, stay."""
+    pattern = place.replace(".", "\\.") + f"\\s*({ROMAN})([^\\p{{L}}\\p{{N}}]|$)"
+    numeral, after = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
+    number = F.concat(F.lit(place + " "), roman_value(numeral).cast("string"), after)
+    changed = F.replace(text, F.regexp_extract(text, pattern, 0), number)
+    capitals = F.regexp_like(text, F.lit("[IVXLCDM]"))
+    return F.when(F.contains(text, F.lit(place)) & capitals & (numeral != ""), changed).otherwise(text)
+
+
 def late_cleaning(text: Column) -> Column:
     return rewrite(text, LATE_REWRITES)
 
@@ -183,12 +216,17 @@ def _take_pages(df: DataFrame) -> DataFrame:
 
 
 def split_fields(
-    df: DataFrame, text: str = "inputString", excluded: list[str] | None = None, error: str | None = None
+    df: DataFrame,
+    text: str = "inputString",
+    excluded: list[str] | None = None,
+    error: str | None = None,
+    roman: bool = True,
 ) -> DataFrame:
     """Add `data` (JSON of the fields found), `errorCode`, `unhandledInput`; echo the input.
 
     `excluded` are remainders to ignore; `error` names a column with an earlier error code,
-    which wins over the one for a remainder.
+    which wins over the one for a remainder. Roman numbers of volumes and issues become Arabic ones, unless `roman`
+    is false.
     """
     kept = [c for c in df.columns if c not in (text, error)]
     earlier = F.col(error).cast("int") if error else F.lit(None).cast("int")
@@ -196,6 +234,9 @@ def split_fields(
     rows = rows.withColumn("row", second_cleaning(F.col(text)))
     for rule in EARLY_RULES:
         rows = _take(rows, rule)
+    if roman:
+        for place in ROMAN_PLACES:
+            rows = rows.withColumn("row", roman_number(F.col("row"), place))
     rows = rows.withColumn("row", unify_abbreviations(F.col("row")))
     rows = _take(rows, ("isSpecialIssue", SPECIAL_ISSUE, 1)).withColumn(
         "isSpecialIssue", F.when(F.col("isSpecialIssue").isNotNull(), "true")

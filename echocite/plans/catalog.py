@@ -968,6 +968,28 @@ def citation_fields(spark, sf_dir):
     return strings.split_fields(_citation_strings(spark, sf_dir), excluded=["1"])
 
 
+def _roman(number: Column) -> Column:
+    """A number below 4000 in Roman digits, from tables of its decimal places."""
+    digits = ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"]
+    letters = [("M", "?", "?"), ("C", "D", "M"), ("X", "L", "C"), ("I", "V", "X")]
+    parts = []
+    for place, (one, five, ten) in zip((1000, 100, 10, 1), letters):
+        own = [d.replace("X", "t").replace("V", five).replace("I", one).replace("t", ten) for d in digits]
+        parts.append(F.get(F.array(*map(F.lit, own)), (F.floor(number / place) % 10).cast("int")))
+    return F.concat(*parts)
+
+
+@query
+def citation_roman(spark, sf_dir):
+    """Volume and issue of a citation string for every order line, written in Roman numbers."""
+    lines = table(spark, sf_dir, "lineitem")
+    volume, issue = F.col("l_partkey") % 3999 + 1, F.col("l_suppkey") % 40 + 1
+    text = F.concat(F.lit("Mix of vol. "), _roman(volume), F.lit(", no. "), _roman(issue), F.lit(", p. 12"))
+    rows = strings.split_fields(lines.select("l_orderkey", "l_linenumber", text.alias("inputString")))
+    fields = F.from_json("data", "volume string, issue string, page string")
+    return rows.select("l_orderkey", "l_linenumber", fields["volume"].alias("volume"), fields["issue"].alias("issue"))
+
+
 @query
 def citation_errors(spark, sf_dir):
     """Citation strings with an error: a remainder, or an earlier code; a remainder that is excluded is none."""

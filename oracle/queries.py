@@ -611,3 +611,6 @@ select cut, main_id, citing_id, status, case when not guarded then score end as
 from (select 0.6::double as cut, * from statuses union all by name select 0.9::double as cut, * from statuses_90)""",
     *(TITLE_VECTORS if part is VECTORS else part for part in AT_TWO_CUTS),
 )
+ORACLES["citation_roman"] = """
+select l_orderkey, l_linenumber, cast(l_partkey % 3999 + 1 as varchar) as volume, cast(l_suppkey % 40 + 1 as varchar) as issue
+from lineitem"""
