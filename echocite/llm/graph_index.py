@@ -10,6 +10,7 @@ import numpy as np
 LINKS = 12  # of a node on the upper layers; twice as many at the bottom
 BUILD_BEAM = 40
 BLOCK = 256  # queries that move in step
+PIECE = 1 << 14  # links that are compared at a time
 FIRST = 128  # nodes that are linked by comparing all of them
 
 
@@ -132,7 +133,9 @@ def _link(graph: Graph, layer: int, new: np.ndarray, others: np.ndarray, sims: n
     held_r, held_c = np.nonzero(table[back] >= 0)
     ids = np.concatenate([targets, back[held_r]])
     to = np.concatenate([new[r], table[back[held_r], held_c]]).astype(int)
-    values = np.einsum("kd,kd->k", vectors[ids], vectors[to])
+    values = np.empty(len(ids))
+    for k in range(0, len(ids), PIECE):  # a batch touches up to all nodes, whose vectors are not held for every link
+        values[k : k + PIECE] = np.einsum("kd,kd->k", vectors[ids[k : k + PIECE]], vectors[to[k : k + PIECE]])
     ids, others, sims = _best_first(ids, to, values, most + BUILD_BEAM)
     table[ids] = _diverse(graph, others, sims, most)
 

@@ -9,13 +9,15 @@ the links.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from echocite.llm.common import NO_ID, id_of
-from echocite.llm.components import components, spanning_links
+from echocite.llm.components import components
 from echocite.llm.graph_index import Graph, build
 from echocite.session import settle
 
@@ -28,7 +30,8 @@ WIDEST = 128  # beam of a query whose beam is full of links, before it is compar
 AUDITS = 64  # queries of a block that are compared with the whole shard
 RECALL = 0.999  # of the audits' links
 JUDGED = 32  # links that audits need to judge a beam
-PART = 2048  # queries whose pairs are held at a time
+PART = 2048  # queries that are searched at a time
+PAIRS = 1 << 20  # pairs of queries and vectors that are compared, or linked, at a time
 
 INDEX = "shard long, dim int, nodes binary, sizes binary, vectors binary, levels binary, layers array<binary>, widths array<int>"
 
@@ -107,29 +110,58 @@ def chosen_beam(graph: Graph, queries: np.ndarray, selves: np.ndarray, threshold
     return None
 
 
-def linked(graph: Graph, queries: np.ndarray, beam: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of similarity `threshold` or more, by beams of `beam`; None: all compared with the shard."""
+def linked_pieces(
+    graph: Graph, queries: np.ndarray, beam: int | None, threshold: float
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, node) pairs of similarity `threshold` or more, by beams of `beam`; None: all compared with the shard.
+
+    Pairs come in pieces of about PAIRS at most, so that a large group's are never held at once.
+    """
     size, left = len(graph.vectors), np.arange(len(queries))
-    rows: list[np.ndarray] = []
-    nodes: list[np.ndarray] = []
     while beam is not None and beam < size and len(left):
-        found, sims = graph.search(queries[left], beam)
-        hit = (sims >= threshold) & (found >= 0)
-        full = hit.all(axis=1)
-        r, c = np.nonzero(hit & ~full[:, None])
-        rows.append(left[r])
-        nodes.append(found[r, c])
+        full = np.zeros(len(left), bool)
+        step = max(1, PAIRS // beam)
+        for k in range(0, len(left), step):
+            own = left[k : k + step]
+            found, sims = graph.search(queries[own], beam)
+            hit = (sims >= threshold) & (found >= 0)
+            full[k : k + step] = hit.all(axis=1)
+            r, c = np.nonzero(hit & ~full[k : k + step, None])
+            yield own[r], found[r, c]
         left = left[full]
         beam = 4 * beam
         if beam > WIDEST or 4 * beam >= size:
             break
-    for k in range(0, len(left), 64):  # the exact way for the rest, in pieces
-        r, c = np.nonzero(queries[left[k : k + 64]] @ graph.vectors.T >= threshold)
-        rows.append(left[k : k + 64][r])
-        nodes.append(c)
+    step = max(1, min(64, PAIRS // max(1, size)))
+    for k in range(0, len(left), step):  # the exact way for the rest, in pieces
+        r, c = np.nonzero(queries[left[k : k + step]] @ graph.vectors.T >= threshold)
+        yield left[k : k + step][r], c
+
+
+def linked(graph: Graph, queries: np.ndarray, beam: int | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of `linked_pieces` at once, for few queries."""
+    rows, nodes = zip(*linked_pieces(graph, queries, beam, threshold))
     return np.concatenate(rows), np.concatenate(nodes)
 
 
+def spanning(links: np.ndarray) -> np.ndarray:
+    """Rows (node, smallest node of its group) that keep the same nodes connected, one fewer than nodes for each group."""
+    names, own = np.unique(links, return_inverse=True)
+    own = own.reshape(links.shape)
+    low = np.arange(len(names))  # by position, which is in order of the names
+    while True:
+        one, two = low[own[:, 0]], low[own[:, 1]]
+        apart = one != two
+        if not apart.any():
+            break
+        one, two = one[apart], two[apart]
+        np.minimum.at(low, np.maximum(one, two), np.minimum(one, two))
+        while (low != low[low]).any():
+            low = low[low]
+    moved = np.flatnonzero(low != np.arange(len(names)))
+    return np.stack([names[moved], names[low[moved]]], axis=1)
+
+
 def _query(threshold: float):
     kind = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
 
@@ -147,20 +179,23 @@ def _query(threshold: float):
         at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
         selves = np.where(nodes[at] == own, at, -1)
         queries, counts = _unit(block, dim), np.zeros(len(own), np.int64)
-        forest: tuple[list[int], list[int]] = ([], [])
+        forest, due, held = np.empty((0, 2), np.int64), [], 0
         beam = chosen_beam(graph, queries, selves, threshold)
-        for k in range(0, len(own), PART):  # pairs of a part of the block at a time
-            r, c = linked(graph, queries[k : k + PART], beam, threshold)
-            r = r + k
-            other = own[r] != nodes[c]
-            r, c = r[other], c[other]
-            np.add.at(counts, r, sizes[c])
-            kept = spanning_links(forest[0] + own[r].tolist(), forest[1] + nodes[c].tolist())
-            forest = (list(kept[0]), list(kept[1]))
+        for k in range(0, len(own), PART):
+            for r, c in linked_pieces(graph, queries[k : k + PART], beam, threshold):
+                r = r + k
+                other = own[r] != nodes[c]
+                r, c = r[other], c[other]
+                np.add.at(counts, r, sizes[c])
+                due.append(np.stack([own[r], nodes[c]], axis=1))
+                held += len(r)
+                if held >= PAIRS:
+                    forest, due, held = spanning(np.concatenate([forest, *due])), [], 0
+        forest = spanning(np.concatenate([forest, *due]))
         some = np.flatnonzero(counts)
-        a = np.concatenate([own[some], np.array(forest[0], np.int64)])
-        b = pa.array([None] * len(some) + forest[1], pa.int64())
-        links = np.concatenate([counts[some], np.zeros(len(forest[0]), np.int64)])
+        a = np.concatenate([own[some], forest[:, 0]])
+        b = pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(forest[:, 1], pa.int64())])
+        links = np.concatenate([counts[some], np.zeros(len(forest), np.int64)])
         return pa.Table.from_arrays([pa.array(a, pa.int64()), b, pa.array(links, pa.int64())], schema=kind)
 
     return run
