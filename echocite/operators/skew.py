@@ -49,6 +49,7 @@ def join_records(
     records: list[tuple[DataFrame, str, str]],
     rows_per_salt: int = ROWS_PER_SALT,
     salted: bool | None = None,
+    rows_per_task: int | None = None,
 ) -> DataFrame:
     """Join `facts` with each (records, key, how) in turn; every key is a column of both.
 
@@ -59,6 +60,9 @@ def join_records(
     before the first join, so no join is repeated for it. Two large tables of records are joined cell by cell where
     that moves fewer rows (`_join_in_cells`). `salted` overrides the size check: True always looks for hot keys, False
     never.
+
+    With `rows_per_task` the joined rows are about to be worked on at length, such as parsed: the short facts are dealt
+    to as many tasks as that takes, before records are attached. Spark would size those tasks by the facts' few bytes.
     """
     for _, _, how in records:
         if how not in ("inner", "left", "left_semi", "left_anti"):
@@ -69,8 +73,12 @@ def join_records(
         unique = facts.groupBy(*facts.columns).agg(F.count(F.lit(1)).alias(n))
         joined = join_records(unique, records, rows_per_salt, False)
         return joined.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), n))).drop(n)
-    if any(large) and salted is None:
+    if rows_per_task or any(large) and salted is None:
         facts = settle(facts, "facts")
+    tasks = _tasks(facts, rows_per_task) if rows_per_task else None
+    if tasks and not any(large):
+        facts = facts.repartition(tasks, *[F.col(c) for c in facts.columns if _hashable(facts, c)])
+    if any(large) and salted is None:
         if sum(large) == 2:
             records = [(settle(r[0], "records"), *r[1:]) if is_large else r for r, is_large in zip(records, large)]
             both = [r for r, is_large in zip(records, large) if is_large]
@@ -78,7 +86,7 @@ def join_records(
             if shape:
                 joined = _join_in_cells(facts, both, shape, rows_per_salt)
                 for (table, key, how), is_large in zip(records, large):
-                    joined = joined if is_large else joined.join(table, key, how)
+                    joined = joined if is_large else joined.join(F.broadcast(table), key, how)
                 return joined
     plans = []
     spread = facts
@@ -94,11 +102,19 @@ def join_records(
         spread = joined.withColumn(salt, F.pmod(F.xxhash64(*others), salts).cast("int")).drop("salts")
         copies = copy_per_salt(table, hot, key, salt)
         plans.append((copies.repartition(key, salt), [key, salt], how))  # by both, also if the table is dealt by its key
-    for table, keys, how in plans:
+    for position, (table, keys, how) in enumerate(plans):
+        if salted is None:  # written facts can be few bytes in files and very many rows: Spark must not send them out
+            table = table.hint("merge" if large[position] else "broadcast")
+        if tasks and large[position] and not any(large[position + 1 :]):  # the last join that deals the facts out
+            spread, table = spread.repartition(tasks, *keys), table.repartition(tasks, *keys).hint("merge")
         spread = spread.join(table, keys, how).drop(*keys[1:])
     return spread
 
 
+def _tasks(facts: DataFrame, rows_per_task: int) -> int:
+    return max(int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(facts.count() / rows_per_task))
+
+
 def _cells(facts: DataFrame, a: DataFrame, b: DataFrame) -> tuple[int, int] | None:
     """Numbers of blocks of two tables of records, or None where their copies would be more rows than the facts.
 

@@ -7,6 +7,9 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+PACKED = 16  # files may hold so many times fewer bytes than the rows that are read from them
 
 
 def build_session(app: str = "echocite", master: str | None = None, **conf: str) -> SparkSession:
@@ -65,12 +68,19 @@ def settle(df: DataFrame, label: str) -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame) -> bool:
-    """True where Spark's own estimate of `df` is within its broadcast threshold."""
+    """True where `df` is within Spark's broadcast threshold: by Spark's own estimate, and by its rows' length as JSON.
+
+    The estimate goes by the size of files, which is far too low where values repeat, so rows are measured as well,
+    unless the estimate is so low that they fit all the same.
+    """
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     if limit <= 0:
         return False
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(size)) <= limit
+    size = int(str(size))
+    if size > limit or size <= limit // PACKED:
+        return size <= limit
+    return (df.agg(F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()[0] or 0) <= limit
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
