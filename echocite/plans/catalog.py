@@ -723,15 +723,15 @@ def run_log_committed(spark, sf_dir):
 # Dataset and evaluation
 
 
-def _annotations(spark, sf_dir) -> DataFrame:
-    """A label for every edge: same vector class is an erratum, same site a self-citation."""
+def _annotations(spark, sf_dir, edges: DataFrame) -> DataFrame:
+    """A label for every one of `edges`: same vector class is an erratum, same site a self-citation."""
     works = _works_with_vectors(spark, sf_dir).select("work_id", "site", "label")
 
     def side(name: str) -> DataFrame:
         return works.select(*[F.col(c).alias(f"{name}_{c.removeprefix('work_')}") for c in works.columns])
 
     joined_edges = join_records(
-        pagegraph.edges(spark, sf_dir).select("main_id", "citing_id"),
+        edges.select("main_id", "citing_id"),
         [(side("main"), "main_id", "inner"), (side("citing"), "citing_id", "inner")],
     )
     label = (
@@ -747,9 +747,8 @@ def _labelled(spark, sf_dir) -> DataFrame:
 
 
 def _annotated(spark, sf_dir) -> DataFrame:
-    records = dataset.label_edges(
-        pagegraph.edges(spark, sf_dir), pagegraph.works(spark, sf_dir), SINCE, _annotations(spark, sf_dir)
-    )
+    edges = settle(pagegraph.edges(spark, sf_dir), "edges")  # read by their labels and by their records
+    records = dataset.label_edges(edges, pagegraph.works(spark, sf_dir), SINCE, _annotations(spark, sf_dir, edges))
     return dataset.evaluation_records(records)
 
 
@@ -835,7 +834,9 @@ def experiments_combined(spark, sf_dir):
     """The combined file of all three experiments, committed as JSON and read back whole, a row for each matrix in it."""
     path = scratch_path(spark, "combined")
     models = sinks.model_reports(evaluation.model_matrix(_model_rows(spark, sf_dir)), VECTOR_CUT)
-    write_committed(sinks.experiments_report(models, sweep_dl(spark, sf_dir), sweep_methods(spark, sf_dir)), path, "json")
+    scored = settle(experiments.score_records(_annotated(spark, sf_dir)).drop("main_id", "id"), "scored")
+    sweeps = experiments.threshold_sweep(scored), experiments.method_sweep(scored)
+    write_committed(sinks.experiments_report(models, *sweeps), path, "json")
     report = read_committed(spark, path)
     a = report.select(F.inline("experiment_A_errata_models")).select(
         F.lit("A").alias("experiment"), F.col("model_name").alias("name"), "threshold", "metrics.*", "confusion_matrix.*"

@@ -1,0 +1,11 @@
+"""Labels and records of a dataset read the same edges, which are made once."""
+
+from echocite.plans import catalog
+
+
+def test_edges_of_annotated_records_are_made_once(spark, sf_dir, monkeypatch):
+    made = []
+    edges = catalog.pagegraph.edges
+    monkeypatch.setattr(catalog.pagegraph, "edges", lambda *a: made.append(a) or edges(*a))
+    catalog._annotated(spark, sf_dir)
+    assert len(made) == 1
