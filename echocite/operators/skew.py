@@ -119,7 +119,8 @@ def _cells(facts: DataFrame, a: DataFrame, b: DataFrame) -> tuple[int, int] | No
     """Numbers of blocks of two tables of records, or None where their copies would be more rows than the facts.
 
     A record of `a` is copied for each block of `b`, and the other way round. Blocks hold at most about CELL_BYTES, and
-    there are enough pairs of blocks for the facts to be dealt out in parts of CELL_ROWS, and to all partitions.
+    there are enough pairs of blocks for the facts to be dealt out in parts of CELL_ROWS, and to all cores twice. More
+    blocks than that would only make more copies, so the number of shuffle partitions doesn't raise it further.
     """
     spark, n = facts.sparkSession, facts.count()
     rows, blocks = [], []
@@ -128,7 +129,8 @@ def _cells(facts: DataFrame, a: DataFrame, b: DataFrame) -> tuple[int, int] | No
         own = table.agg(F.count(F.lit(1)).alias("rows"), F.sum(text).alias("bytes")).first()
         rows.append(own["rows"])
         blocks.append(max(1, ceil((own["bytes"] or 0) / CELL_BYTES)))
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n // CELL_ROWS)
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(min(partitions, 2 * spark.sparkContext.defaultParallelism), n // CELL_ROWS)
     while blocks[0] * blocks[1] < tasks:
         blocks[0 if rows[1] * blocks[0] <= rows[0] * blocks[1] else 1] += 1
     return (blocks[0], blocks[1]) if rows[0] * blocks[1] + rows[1] * blocks[0] < n else None

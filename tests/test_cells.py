@@ -56,6 +56,16 @@ def test_more_copies_than_facts_are_not_made(no_broadcast):
     assert skew._cells(facts.limit(100), a, b) is None
 
 
+def test_shuffle_partitions_beyond_the_cores_make_no_copies(no_broadcast):
+    before = no_broadcast.conf.get("spark.sql.shuffle.partitions")
+    no_broadcast.conf.set("spark.sql.shuffle.partitions", "400")
+    try:
+        facts, a, b = _tables(no_broadcast)
+        assert skew._cells(facts, a, b) == (4, 4)  # for 8 cores, not (20, 20)
+    finally:
+        no_broadcast.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_hot_keys_are_looked_for_in_full_groups_only(spark, monkeypatch):
     monkeypatch.setattr(skew, "KEY_GROUPS", 4)  # every group has many keys
     facts, _, _ = _tables(spark)
