@@ -71,9 +71,14 @@ def detected_status(judged: DataFrame, threshold: float = AUTHOR_THRESHOLD) -> D
     )
 
 
+def to_confirm(staging: DataFrame) -> DataFrame:
+    """The staging rows that are queued for confirmation: self-citations."""
+    return staging.filter(F.col("type") == AUTOCITATION)
+
+
 def work_queue(staging: DataFrame) -> DataFrame:
     """Self-citations to confirm, in the five columns of the hand-over file."""
-    return staging.filter(F.col("type") == AUTOCITATION).select(
+    return to_confirm(staging).select(
         F.col("main_id").alias("mainArticleId"),
         F.col("main_title").alias("mainArticleTitle"),
         F.col("citing_id").alias("citingId"),

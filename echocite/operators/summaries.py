@@ -68,7 +68,11 @@ def answer_requests(requests: DataFrame, summary: DataFrame) -> DataFrame:
 
 
 def as_often_as_asked(rows: DataFrame, requests: DataFrame) -> DataFrame:
-    """`rows` of main articles, each as often as its article is requested; judged once, repeated here."""
+    """`rows` of main articles, each as often as its article is requested; judged once, repeated here.
+
+    Rows and columns that are not needed should be left out before: the rows are written, and dealt out with all
+    their texts.
+    """
     asked = requests.groupBy(F.col("work_id").alias("main_id")).agg(F.count(F.lit(1)).alias("_times"))
     joined = join_records(rows, [(asked, "main_id", "inner")])
     return joined.select(*rows.columns, F.explode(F.sequence(F.lit(1).cast("long"), "_times"))).drop("col")

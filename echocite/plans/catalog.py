@@ -671,7 +671,8 @@ def run_totals(spark, sf_dir):
     requests = _requests(spark, sf_dir)
     edges = detect.requested_edges(pagegraph.edges(spark, sf_dir), requests)
     judged = detect.judge_edges(edges, pagegraph.works(spark, sf_dir), skip_flagged=True)
-    return summaries.run_totals(requests, summaries.as_often_as_asked(status.detected_status(judged), requests))
+    queued = status.to_confirm(status.detected_status(judged)).select("main_id", "type")  # all that is counted
+    return summaries.run_totals(requests, summaries.as_often_as_asked(queued, requests))
 
 
 @query
@@ -681,7 +682,8 @@ def requested_queue(spark, sf_dir):
     requests = _requests(spark, sf_dir)
     edges = detect.requested_edges(pagegraph.edges(spark, sf_dir), requests)
     judged = detect.judge_edges(edges, pagegraph.works(spark, sf_dir), skip_flagged=True)
-    staging = summaries.as_often_as_asked(status.detected_status(judged), requests)
+    queued = status.to_confirm(status.detected_status(judged)).drop("main_authors", "citing_authors", "score", "score_rounded")
+    staging = summaries.as_often_as_asked(queued, requests)
     sinks.write_work_queue(status.work_queue(staging), path)
     return spark.read.options(**sinks.CSV_OPTIONS).csv(path)
 

@@ -51,12 +51,11 @@ def detect_only(
     """
     chosen, works = merge_citations(detect.requested_edges(citations, requests)), newest_works(works)
     judged = settle(detect.judge_citations(chosen, works, from_date, skip_flagged=True), "judged")
-    staging = summaries.as_often_as_asked(status.detected_status(judged), requests)
+    staging = summaries.as_often_as_asked(summaries.detected_entries(status.detected_status(judged)), requests)
     counts = summaries.count_detected(judged, AUTHOR_THRESHOLD)
     asked = requests.select(F.col("work_id").alias("main_id")).distinct()
     articles = summaries.per_article(works, counts).join(asked, "main_id", "left_semi")
-    entries = summaries.detected_entries(staging)
-    sinks.write_json(entries.select("main_id", "citing_id", "type", "citing_title", "matches"), f"{out}/entries")
+    sinks.write_json(staging.select("main_id", "citing_id", "type", "citing_title", "matches"), f"{out}/entries")
     sinks.write_json(articles, f"{out}/articles")
     sinks.write_work_queue(status.work_queue(staging), f"{out}/queue")
     sinks.write_json(summaries.run_totals(requests, staging), f"{out}/totals")
