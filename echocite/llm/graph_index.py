@@ -11,6 +11,7 @@ LINKS = 12  # of a node on the upper layers; twice as many at the bottom
 BUILD_BEAM = 40
 BLOCK = 256  # queries that move in step
 PIECE = 1 << 14  # links that are compared at a time
+PART = 4096  # nodes whose links are pruned at a time
 FIRST = 128  # nodes that are linked by comparing all of them
 
 
@@ -128,16 +129,21 @@ def _link(graph: Graph, layer: int, new: np.ndarray, others: np.ndarray, sims: n
     most, vectors = table.shape[1], graph.vectors
     table[new] = mine = _diverse(graph, others, sims, most)
     r, c = np.nonzero(mine >= 0)
-    targets = mine[r, c].astype(int)
+    order = np.argsort(mine[r, c], kind="stable")
+    targets, sources = mine[r, c][order].astype(int), new[r][order]
     back = np.unique(targets)
-    held_r, held_c = np.nonzero(table[back] >= 0)
-    ids = np.concatenate([targets, back[held_r]])
-    to = np.concatenate([new[r], table[back[held_r], held_c]]).astype(int)
-    values = np.empty(len(ids))
-    for k in range(0, len(ids), PIECE):  # a batch touches up to all nodes, whose vectors are not held for every link
-        values[k : k + PIECE] = np.einsum("kd,kd->k", vectors[ids[k : k + PIECE]], vectors[to[k : k + PIECE]])
-    ids, others, sims = _best_first(ids, to, values, most + BUILD_BEAM)
-    table[ids] = _diverse(graph, others, sims, most)
+    for k in range(0, len(back), PART):  # a batch touches up to all nodes, whose links are not held at once
+        part = back[k : k + PART]
+        own = slice(*np.searchsorted(targets, (part[0], part[-1] + 1)))
+        held_r, held_c = np.nonzero(table[part] >= 0)
+        ids = np.concatenate([targets[own], part[held_r]])
+        to = np.concatenate([sources[own], table[part[held_r], held_c]]).astype(int)
+        values = np.empty(len(ids))
+        for at in range(0, len(ids), PIECE):
+            one, two = vectors[ids[at : at + PIECE]], vectors[to[at : at + PIECE]]
+            values[at : at + PIECE] = np.einsum("kd,kd->k", one, two)
+        ids, others, sims = _best_first(ids, to, values, most + BUILD_BEAM)
+        table[ids] = _diverse(graph, others, sims, most)
 
 
 def _reach(graph: Graph) -> None:
@@ -173,6 +179,18 @@ def _reach(graph: Graph) -> None:
         graph.layers[0] = table
 
 
+def _nearest(queries: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, similarities) of each query's `most` nearest others; itself, at -inf, where there are too few."""
+    nearest = np.empty((len(queries), min(most, len(queries))), int)
+    sims = np.empty(nearest.shape)
+    for k in range(0, len(queries), BLOCK):
+        inside = queries[k : k + BLOCK] @ queries.T
+        inside[np.arange(len(inside)), np.arange(k, k + len(inside))] = -np.inf
+        nearest[k : k + BLOCK] = np.argsort(-inside, axis=1)[:, :most]
+        sims[k : k + BLOCK] = np.take_along_axis(inside, nearest[k : k + BLOCK], axis=1)
+    return nearest, sims
+
+
 def build(vectors: np.ndarray, seed: int = 1, links: int = LINKS, beam: int = BUILD_BEAM) -> Graph:
     """A graph over unit vectors. Batches double, so most nodes find their neighbours by searching the graph so far;
     nodes of a batch are also compared with each other."""
@@ -187,14 +205,10 @@ def build(vectors: np.ndarray, seed: int = 1, links: int = LINKS, beam: int = BU
     while done < n:
         batch = order[done : done + min(max(FIRST, done), 2048)]
         queries = vectors[batch]
-        within = queries @ queries.T
-        np.fill_diagonal(within, -np.inf)
         for layer in range(int(levels[batch].max()), -1, -1):
             own = np.flatnonzero(levels[batch] >= layer)
-            inside = within[np.ix_(own, own)]
-            nearest = np.argsort(-inside, axis=1)[:, :beam]
+            nearest, sims = _nearest(queries[own], beam)
             others = batch[own[nearest]]
-            sims = np.take_along_axis(inside, nearest, axis=1)
             if done and (levels[order[:done]] >= layer).any():
                 nodes, values = graph.search(queries[own], beam, layer)
                 others, sims = np.concatenate([others, nodes], axis=1), np.concatenate([sims, values], axis=1)

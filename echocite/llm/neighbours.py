@@ -10,6 +10,7 @@ the links.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from io import BytesIO
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ JUDGED = 32  # links that audits need to judge a beam
 PART = 2048  # queries that are searched at a time
 PAIRS = 1 << 20  # pairs of queries and vectors that are compared, or linked, at a time
 
-INDEX = "shard long, dim int, nodes binary, sizes binary, vectors binary, levels binary, layers array<binary>, widths array<int>"
+INDEX_PIECE = 1 << 20  # bytes of an index in a row; a whole one can be more than a row should hold
+
+INDEX = "shard long, dim int, piece int, data binary"
 
 
 def usable(vector: str) -> Column:
@@ -42,35 +45,55 @@ def usable(vector: str) -> Column:
     return F.coalesce(whole & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _unit(table: pa.Table, dim: int) -> np.ndarray:
-    flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    vectors = flat.reshape(-1, dim)
-    # Scaled by the greatest component first, so that squares neither overflow nor vanish.
-    vectors = vectors / np.abs(vectors).max(axis=1, keepdims=True)
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+def _raw(table: pa.Table, dim: int) -> np.ndarray:
+    """Vectors as they are, in single precision if that holds them exactly."""
+    flat = table.column("vector").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    with np.errstate(over="ignore"):  # components beyond single precision stay as they are
+        short = flat.astype(np.float32)
+    return (short if np.array_equal(short, flat) else flat.astype(np.float64)).reshape(-1, dim)
+
+
+def _unit(raw: np.ndarray) -> np.ndarray:
+    vectors = raw.astype(np.float64)
+    for k in range(0, len(vectors), PART):
+        part = vectors[k : k + PART]
+        # Scaled by the greatest component first, so that squares neither overflow nor vanish.
+        part /= np.abs(part).max(axis=1, keepdims=True)
+        part /= np.linalg.norm(part, axis=1, keepdims=True)
+    return vectors
+
+
+def packed_index(raw: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, graph: Graph) -> bytes:
+    """An index as bytes: vectors as they came, and of each layer only the rows of nodes that it has."""
+    held = {f"layer{k}": x[graph.levels >= k] for k, x in enumerate(graph.layers)}
+    out = BytesIO()
+    np.savez(out, raw=raw, nodes=nodes, sizes=sizes, levels=graph.levels.astype(np.int32), **held)
+    return out.getvalue()
+
+
+def unpacked_index(data: bytes) -> tuple[Graph, np.ndarray, np.ndarray]:
+    """(graph, nodes, sizes) from the bytes of an index."""
+    with np.load(BytesIO(data)) as held:
+        levels, layers = held["levels"], []
+        for k in range(sum(name.startswith("layer") for name in held.files)):
+            rows = held[f"layer{k}"]
+            layers.append(np.full((len(levels), rows.shape[1]), -1, np.int32))
+            layers[-1][levels >= k] = rows
+        return Graph(_unit(held["raw"]), levels, layers), held["nodes"], held["sizes"]
 
 
 def _build(key: tuple, table: pa.Table) -> pa.Table:
-    """One row with the index of a shard."""
+    """Rows with the pieces of a shard's index."""
     shard, dim = (k.as_py() for k in key)
     table = table.sort_by("node")
-    graph = build(_unit(table, dim))
+    raw = _raw(table, dim)
     nodes, sizes = (table.column(c).to_numpy().astype(np.int64) for c in ("node", "size"))
-    row = {
-        "shard": shard,
-        "dim": dim,
-        "nodes": nodes.tobytes(),
-        "sizes": sizes.tobytes(),
-        "vectors": graph.vectors.tobytes(),
-        "levels": graph.levels.astype(np.int32).tobytes(),
-        "layers": [x.tobytes() for x in graph.layers],
-        "widths": [x.shape[1] for x in graph.layers],
-    }
-    kind = pa.schema(
-        [("shard", pa.int64()), ("dim", pa.int32()), *[(c, pa.binary()) for c in ("nodes", "sizes", "vectors", "levels")]]
-        + [("layers", pa.list_(pa.binary())), ("widths", pa.list_(pa.int32()))]
-    )
-    return pa.Table.from_pylist([row], schema=kind)
+    del table
+    data = packed_index(raw, nodes, sizes, build(_unit(raw)))
+    pieces = [data[k : k + INDEX_PIECE] for k in range(0, len(data), INDEX_PIECE)]
+    kind = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("piece", pa.int32()), ("data", pa.binary())])
+    columns = [[shard] * len(pieces), [dim] * len(pieces), range(len(pieces)), pieces]
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind)], schema=kind)
 
 
 def chosen_beam(graph: Graph, queries: np.ndarray, selves: np.ndarray, threshold: float) -> int | None:
@@ -169,16 +192,14 @@ def _query(threshold: float):
         """(a, b, links): links of query a that are counted here, or a link (a, b) of the spanning forest."""
         if not index.num_rows or not block.num_rows:
             return pa.Table.from_pylist([], schema=kind)
-        row, dim = index.slice(0, 1).to_pylist()[0], key[1].as_py()
-        nodes, sizes = (np.frombuffer(row[c], np.int64) for c in ("nodes", "sizes"))
-        layers = [np.frombuffer(x, np.int32).reshape(-1, w) for x, w in zip(row["layers"], row["widths"])]
-        levels = np.frombuffer(row["levels"], np.int32)
-        graph = Graph(np.frombuffer(row["vectors"], np.float64).reshape(-1, dim), levels, layers)
+        index = index.sort_by("piece")
+        graph, nodes, sizes = unpacked_index(b"".join(x.as_buffer() for x in index.column("data")))
+        del index
         block = block.sort_by("node")
         own = block.column("node").to_numpy().astype(np.int64)
         at = np.minimum(np.searchsorted(nodes, own), len(nodes) - 1)
         selves = np.where(nodes[at] == own, at, -1)
-        queries, counts = _unit(block, dim), np.zeros(len(own), np.int64)
+        queries, counts = _unit(_raw(block, key[1].as_py())), np.zeros(len(own), np.int64)
         forest, due, held = np.empty((0, 2), np.int64), [], 0
         beam = chosen_beam(graph, queries, selves, threshold)
         for k in range(0, len(own), PART):

@@ -3,6 +3,7 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from echocite.llm import graph_index, neighbours
 from echocite.llm.components import spanning_links
@@ -38,3 +39,34 @@ def test_spanning_links_are_those_of_the_plain_version():
 def test_building_does_not_copy_vectors_for_every_link():
     vectors = grouped(np.random.default_rng(8), [1] * 3000, dim=256)
     assert peak(lambda: graph_index.build(vectors)) < 24 * vectors.nbytes
+
+
+def _shard(vectors):
+    offsets = pa.array(np.arange(0, vectors.size + 1, vectors.shape[1], dtype=np.int32))
+    column = pa.ListArray.from_arrays(offsets, pa.array(vectors.astype(np.float64).ravel()))
+    nodes = np.arange(len(vectors))
+    return pa.table({"node": nodes, "size": nodes % 3 + 1, "vector": column})
+
+
+def test_an_index_goes_to_its_blocks_in_short_rows(monkeypatch):
+    monkeypatch.setattr(neighbours, "INDEX_PIECE", 10_000)
+    rnd = np.random.default_rng(9)
+    for kind in (np.float32, np.float64):
+        vectors = rnd.normal(size=(1000, 32)).astype(kind)
+        rows = neighbours._build((pa.scalar(3), pa.scalar(32)), _shard(vectors))
+        assert max(map(len, rows.column("data").to_pylist())) <= 10_000
+        # Single precision stays so, and upper layers have the rows of their own nodes only.
+        assert sum(map(len, rows.column("data").to_pylist())) < vectors.nbytes + 1000 * (24 + 2 * 12 + 8) * 4
+        back, nodes, sizes = neighbours.unpacked_index(b"".join(rows.column("data").to_pylist()))
+        plain = vectors.astype(np.float64)
+        plain = plain / np.abs(plain).max(axis=1, keepdims=True)
+        plain = plain / np.linalg.norm(plain, axis=1, keepdims=True)
+        graph = graph_index.build(plain)
+        assert (back.vectors == plain).all() and (back.levels == graph.levels).all() and back.entry == graph.entry
+        assert [x.tolist() for x in back.layers] == [x.tolist() for x in graph.layers]
+        assert (nodes == np.arange(1000)).all() and (sizes == nodes % 3 + 1).all()
+
+
+def test_building_holds_less_than_all_links_of_a_batch():
+    vectors = grouped(np.random.default_rng(10), [1] * 8000, dim=16)
+    assert peak(lambda: graph_index.build(vectors)) < 50 << 20
