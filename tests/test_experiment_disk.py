@@ -1,0 +1,38 @@
+"""What the experiments write on the way: shuffles go when a table is settled, titles of right predictions are left out."""
+
+import glob
+
+from pyspark.sql import functions as F
+
+from echocite.plans import catalog, experiments
+from echocite.session import settle
+
+
+def _shuffled(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+
+def test_settled_tables_leave_no_shuffle(spark):
+    before = _shuffled(spark)
+    table = settle(spark.range(1000).groupBy(F.col("id") % 7).agg(F.count(F.lit(1)).alias("n")), "groups")
+    assert table.agg(F.sum("n")).first()[0] == 1000
+    settle(spark.range(1000).repartition(3), "dealt")
+    assert len(_shuffled(spark) - before) <= 1  # of the sum, which is no settled table
+
+
+def test_titles_stay_with_errors_only(spark):
+    rows = spark.createDataFrame(
+        [("a", "b", True, True), ("c", "d", True, False), ("e", "f", False, None)], "citing_title string, main_title string, truth boolean, pred boolean"
+    )
+    found = [tuple(r) for r in experiments._titles_of_errors(rows).collect()]
+    assert found == [(None, None, True, True), ("c", "d", True, False), (None, None, False, None)]
+
+
+def test_authors_do_not_go_through_the_joins_of_vectors(spark, sf_dir, monkeypatch):
+    seen = []
+    join = catalog.join_records
+    monkeypatch.setattr(catalog, "join_records", lambda facts, *a, **b: (seen.append(facts.columns), join(facts, *a, **b))[1])
+    assert catalog.experiment_files(spark, sf_dir).count() == 3
+    vectors = [c for c in seen if "true_label" in c]
+    assert len(vectors) == 2 and not any("authors" in c for columns in vectors for c in columns)
